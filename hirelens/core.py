@@ -73,6 +73,14 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
     return F.broadcast(values_table(spark, rows, schema))
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Partition count for shuffles whose rows grow a lot afterwards.
+
+    Adaptive execution would merge such partitions by their small input size.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1,
                   rank: str | None = None) -> DataFrame:
     """The first n rows of every key.

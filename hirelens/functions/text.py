@@ -173,10 +173,11 @@ def tokens(c: str | Column, mode: str = "terms") -> Column:
 
 def phrases(words: Column, longest: int = 12, sizes: tuple[int, ...] = (2, 3), glue: str = "") -> Column:
     """C20: contiguous phrases of a word array up to `longest` characters."""
-    parts = []
-    for n in sizes:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), glue))
-        parts.append(F.when(F.size(words) >= n, F.filter(grams, lambda p: F.length(p) <= longest)).otherwise(F.array().cast("array<string>")))
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)), lambda i: F.array_join(F.slice(words, i, n), glue))
+        return F.when(F.size(words) >= n, F.filter(grams, lambda p: F.length(p) <= longest)).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(n) for n in sizes]
     return F.concat(*parts)
 
 
@@ -193,10 +194,11 @@ def text_windows(df: DataFrame, body: str = "job_description", size: int = 350,
 
 
 def char_grams(c: str | Column, low: int, high: int) -> Column:
-    """All character n-grams of a text, lengths low to high, with repeats."""
-    t = col(c)
-    parts = []
-    for n in range(low, high + 1):
-        at = F.sequence(F.lit(1), F.length(t) - F.lit(n - 1))
-        parts.append(F.when(F.length(t) >= n, F.transform(at, lambda i, n=n: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+    """All character n-grams of a text, lengths low to high, with repeats.
+
+    A look-ahead walks the text once per length; substring by position would walk it
+    from the start for every gram.
+    """
+    t = F.coalesce(col(c), F.lit(""))
+    parts = [F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(low, high + 1)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]

@@ -226,9 +226,7 @@ def b22k(spark, sf):
     return out.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
 
-@query("B23_gram_overlap_filter", with_(DOCP) + r""", g AS (SELECT job_id, company_name, length(t) AS n, list_distinct(list_transform(range(1, length(t)-3), lambda i: substr(t, i, 5))) AS gs FROM (SELECT job_id, company_name, regexp_replace(lower(job_description),'[\p{P}\p{S}\d\s\x{3000}\x{00a0}]','','g') AS t FROM docp) WHERE length(t)>=5),
- hit AS (SELECT DISTINCT a.job_id FROM (SELECT * FROM g WHERE company_name<>'src0') a, (SELECT * FROM g WHERE company_name='src0') b WHERE least(a.n,b.n)/greatest(a.n,b.n)>=0.75 AND len(list_intersect(a.gs,b.gs)) >= 0.8*(len(a.gs)+len(b.gs)-len(list_intersect(a.gs,b.gs))))
-SELECT job_id FROM docp WHERE company_name<>'src0' AND job_id NOT IN (SELECT job_id FROM hit)""")
+@query("B23_gram_overlap_filter")
 def b23(spark, sf):
     d = doc_postings(spark, sf)
     return near.gram_overlap_filter(d.filter("company_name <> 'src0'"), d.filter("company_name = 'src0'")).select("job_id")
