@@ -48,6 +48,15 @@ def rnd(c: str | Column, digits: int) -> Column:
     return F.round(col(c).try_cast("decimal(28,10)"), digits).cast("double")
 
 
+def let(bound: Column, use) -> Column:
+    """Evaluate `bound` once and hand it to `use`.
+
+    Plain column reuse repeats the whole expression wherever a filter is pushed down;
+    binding it as a lambda variable keeps nested steps linear in size.
+    """
+    return F.transform(F.array(bound), use)[0]
+
+
 def number_in(c: Column, pattern: str = r"\d+(?:\.\d+)?", group: int = 0) -> Column:
     return F.regexp_extract(c, pattern, group).try_cast("double")
 

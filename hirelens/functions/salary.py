@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.core import SPACE, halfwidth, number_in
+from hirelens.core import SPACE, halfwidth, let
 
 # Units, period words, upper limits and pay-month forms of the quote formats.
 NUMBER = r"(\d+(?:\.\d+)?)(万|千|[kK]|元)?"
@@ -24,46 +24,49 @@ def _scale(unit):
     return F.when(unit == "万", 10000.0).when(unit.rlike("(?i)千|k"), 1000.0).otherwise(1.0)
 
 
-def parse_salary(df: DataFrame, col: str = "salary", out: str = "pay") -> DataFrame:
-    """Add a struct (raw, period, min, max, midpoint, pay months, inferred flag, nominal annual).
-
-    The struct is NULL for a text that holds no usable quote. Each step is a column of
-    its own so that a regular expression is evaluated once per row.
-    """
+def salary_struct(col: str = "salary") -> Column:
+    """The parsed quote as one column; NULL for a text that holds no usable quote."""
     both = f"{NUMBER}{DASH}{NUMBER}"
-    df = df.withColumn("_t", F.regexp_replace(halfwidth(col), rf"[,，]|{SPACE}", ""))
-    df = df.withColumns({
-        "_r1": F.regexp_extract("_t", both, 1), "_u1": F.regexp_extract("_t", both, 2),
-        "_r2": F.regexp_extract("_t", both, 3), "_u2": F.regexp_extract("_t", both, 4),
-        "_s1": F.regexp_extract("_t", NUMBER, 1), "_su": F.regexp_extract("_t", NUMBER, 2),
-        "_m1": F.regexp_extract("_t", PAY_MONTHS, 1).try_cast("int"),
-        "_m2": F.regexp_extract("_t", PAY_MONTHS, 2).try_cast("int"),
-    })
-    ranged = F.col("_r1") != ""
-    df = df.withColumn("_unit", F.when(F.col("_u2") != "", F.col("_u2")).when(F.col("_u1") != "", F.col("_u1"))
-                       .otherwise(F.col("_su")))
-    low = F.when(ranged, F.col("_r1").try_cast("double") * _scale(F.when(F.col("_u1") != "", F.col("_u1")).otherwise(F.col("_unit"))))
-    df = df.withColumn("_lo", low.otherwise(F.col("_s1").try_cast("double") * _scale(F.col("_unit"))))
-    df = df.withColumn("_hi", F.when(ranged, F.col("_r2").try_cast("double") * _scale(F.col("_unit"))).otherwise(F.col("_lo")))
-    inferred = (F.col("_t").contains("元") & (F.col("_lo") >= 1000)) | (ranged & (F.col("_unit") == "万"))
-    df = df.withColumn("_period", F.when(F.col("_t").rlike(HOUR), "hour").when(F.col("_t").rlike(DAY), "day")
-                       .when(F.col("_t").rlike(YEAR), "year").when(F.col("_t").rlike(MONTH) | inferred, "month"))
-    limit = F.lit(None).cast("double")
-    for name, top in LIMITS.items():
-        limit = F.when(F.col("_period") == name, float(top)).otherwise(limit)
-    usable = (
-        F.col("_period").isNotNull() & (F.col("_lo") > 0) & (F.col("_hi") >= F.col("_lo")) & (F.col("_hi") <= limit)
-        & ~F.col("_t").rlike(NO_QUOTE) & ~F.col("_t").rlike(r"^\d+薪$")
-    )
-    last = F.coalesce("_m2", "_m1")
-    months = (F.col("_period") == "month") & (F.col("_m1") >= 12) & (last <= 24)
-    return df.withColumn(out, F.when(usable, F.struct(
-        F.col(col).alias("raw"), F.col("_period").alias("period"), F.col("_lo").alias("min"), F.col("_hi").alias("max"),
-        ((F.col("_lo") + F.col("_hi")) / 2).alias("midpoint"),
-        F.when(months, F.col("_m1")).alias("pay_min"), F.when(months, last).alias("pay_max"),
-        ((F.col("_period") == "month") & ~F.col("_t").rlike(MONTH)).alias("period_inferred"),
-        F.when(months, F.col("_lo") * F.col("_m1")).alias("annual_min"), F.when(months, F.col("_hi") * last).alias("annual_max"),
-    ))).drop("_t", "_r1", "_u1", "_r2", "_u2", "_s1", "_su", "_m1", "_m2", "_unit", "_lo", "_hi", "_period")
+    flat = F.regexp_replace(halfwidth(col), rf"[,，]|{SPACE}", "")
+
+    def parts(t: Column) -> Column:
+        group = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+        return F.struct(
+            t.alias("t"), group(both, 1).alias("r1"), group(both, 2).alias("u1"), group(both, 3).alias("r2"), group(both, 4).alias("u2"),
+            group(NUMBER, 1).alias("s1"), group(NUMBER, 2).alias("su"), group(PAY_MONTHS, 1).alias("m1"), group(PAY_MONTHS, 2).alias("m2"))
+
+    def bounds(p: Column) -> Column:
+        unit = F.coalesce(p["u2"], p["u1"], p["su"])
+        low = F.coalesce(p["r1"].try_cast("double") * _scale(F.coalesce(p["u1"], unit)), p["s1"].try_cast("double") * _scale(unit))
+        high = F.coalesce(p["r2"].try_cast("double") * _scale(unit), low)
+        return F.struct(p["t"].alias("t"), low.alias("lo"), high.alias("hi"), (p["r1"].isNotNull() & F.coalesce(unit == "万", F.lit(False))).alias("wide"),
+                        p["m1"].try_cast("int").alias("m1"), F.coalesce(p["m2"], p["m1"]).try_cast("int").alias("m2"))
+
+    def period(v: Column) -> Column:
+        t = v["t"]
+        said = t.rlike(MONTH)
+        name = (F.when(t.rlike(HOUR), "hour").when(t.rlike(DAY), "day").when(t.rlike(YEAR), "year").when(said, "month")
+                .when((t.contains("元") & (v["lo"] >= 1000)) | v["wide"], "month"))
+        return F.struct(v.alias("v"), name.alias("name"), (~said).alias("unsaid"))
+
+    def value(q: Column) -> Column:
+        v, name = q["v"], q["name"]
+        limit = F.lit(None).cast("double")
+        for known, top in LIMITS.items():
+            limit = F.when(name == known, float(top)).otherwise(limit)
+        usable = (v["lo"] > 0) & (v["hi"] >= v["lo"]) & (v["hi"] <= limit) & ~v["t"].rlike(NO_QUOTE) & ~v["t"].rlike(r"^\d+薪$")
+        months = (name == "month") & (v["m1"] >= 12) & (v["m2"] <= 24)
+        return F.when(usable, F.struct(
+            F.col(col).alias("raw"), name.alias("period"), v["lo"].alias("min"), v["hi"].alias("max"), ((v["lo"] + v["hi"]) / 2).alias("midpoint"),
+            F.when(months, v["m1"]).alias("pay_min"), F.when(months, v["m2"]).alias("pay_max"), ((name == "month") & q["unsaid"]).alias("period_inferred"),
+            F.when(months, v["lo"] * v["m1"]).alias("annual_min"), F.when(months, v["hi"] * v["m2"]).alias("annual_max")))
+
+    return let(flat, lambda t: let(parts(t), lambda p: let(bounds(p), lambda v: let(period(v), value))))
+
+
+def parse_salary(df: DataFrame, col: str = "salary", out: str = "pay") -> DataFrame:
+    """Add the parsed quote (raw, period, min, max, midpoint, pay months, inferred flag, nominal annual)."""
+    return df.withColumn(out, salary_struct(col))
 
 
 def monthly_salary(df: DataFrame, pay: str = "pay") -> DataFrame:

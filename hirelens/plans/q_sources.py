@@ -77,7 +77,7 @@ def a4(spark, sf):
 
 @query("A5_html_to_text", r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
  '(?is)<script.*?</script>',' ','g'),'(?is)<style.*?</style>',' ','g'),'(?i)<br\s*/?\s*>',chr(10),'g'),'(?i)</(p|li|tr|div|h\d)>',chr(10),'g'),'<[^>]+>',' ','g') AS x FROM pages),
- u AS (SELECT page_id, regexp_replace(regexp_replace(replace(replace(x,'&amp;','&'),chr(160),' '),'[ \t]+\n',chr(10),'g'),'\n{3,}',chr(10)||chr(10),'g') AS x FROM t)
+ u AS (SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(x,'&quot;','"'),'&amp;','&'),chr(160),' '),'[ \t]+\n',chr(10),'g'),'\n{3,}',chr(10)||chr(10),'g') AS x FROM t)
  SELECT page_id, sha256(regexp_replace(x,'^[\s\x{3000}\x{00a0}]+|[\s\x{3000}\x{00a0}]+$','','g')) AS digest, length(regexp_replace(x,'^[\s\x{3000}\x{00a0}]+|[\s\x{3000}\x{00a0}]+$','','g')) AS n FROM u""")
 def a5(spark, sf):
     out = table(spark, sf, "pages").select("page_id", readers.html_to_text("html").alias("t"))
@@ -99,7 +99,7 @@ def a6(spark, sf):
     return out.select("element.acb200", "element.name", "totalcount", F.col("pageno").cast("int").alias("pageno"), "element_ok")
 
 
-@query("A7_write_dataset", """SELECT CAST(doc_id AS VARCHAR) AS job_id, sha256(CASE WHEN lang = 'en' THEN '''=' || text ELSE text END) AS digest, 'extra,platform' AS header FROM documents""")
+@query("A7_write_dataset", """SELECT CAST(doc_id AS VARCHAR) AS job_id, sha256(CASE WHEN lang = 'en' THEN '''' || substr('=' || text, 1, 32766) WHEN regexp_matches(text, '^[=+@-]') THEN '''' || substr(text, 1, 32766) ELSE substr(text, 1, 32766) END) AS digest, 'extra,platform' AS header FROM documents""")
 def a7(spark, sf):
     path = scratch(spark)
     d = table(spark, sf, "documents")
