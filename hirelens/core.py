@@ -40,7 +40,8 @@ def value(c: str | Column) -> Column:
 
 def halfwidth(c: str | Column) -> Column:
     """Full-width ASCII and the ideographic space to half width (the NFKC part these texts use)."""
-    return F.translate(F.coalesce(col(c).cast("string"), F.lit("")), _WIDE, _ASCII)
+    t = F.coalesce(col(c).cast("string"), F.lit(""))
+    return F.when(t.rlike("[！-～　]"), F.translate(t, _WIDE, _ASCII)).otherwise(t)
 
 
 def rnd(c: str | Column, digits: int) -> Column:

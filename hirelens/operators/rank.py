@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelens.core import SPACE, compact, filled, first_per_key, halfwidth, hot_key_join, position_within, rnd, text, top_rows
 from hirelens.functions.text import sections, tokens
+from hirelens.session import cut_lineage
 
 # Weight and scale anchor of each engagement counter.
 METRICS = [("view_count", 0.15, 1000), ("like_count", 0.2, 20), ("collect_count", 0.4, 20), ("total_comment_count", 0.25, 10)]
@@ -37,6 +39,8 @@ def influence_rank(df: DataFrame, now: str, half_life: float = 180.0, role: str
     weighted = sum((part(i, w) for i, (_, w, _) in enumerate(METRICS)), F.lit(0.0))
     score = 100 * weighted / F.col("coverage") * F.sqrt("coverage") * F.pow(F.lit(2.0), -F.col("_age") / half_life)
     rows = rows.withColumn("score", score).withColumn("_down", -F.col("score"))
+    # Numbering reads its input several times; the scored rows are written once for it.
+    rows = cut_lineage(rows)
     totals = rows.groupBy("_role").agg(F.sum("score").alias("_sum"))
     ranked = position_within(rows.withColumn("_id", F.col(ident)), [("_down", True), ("_id", True)], ["_role"], "rank").join(totals, "_role")
     confidence = F.when(F.col("cohort_size") < 10, "small-cohort").when(F.col("coverage") < 1, "partial-metrics").otherwise("complete-metrics")
@@ -148,14 +152,12 @@ def rrf(lists: Sequence[DataFrame], key: str, by: Sequence[str] = ("query_id",),
         every = part if every is None else every.unionByName(part)
     fused = every.groupBy(*by, key).agg(F.sum("_r").alias("rrf_score"))
     # A fused list holds at most the rows of its inputs, which are top-k lists already.
-    from pyspark.sql import Window as W
     return fused.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(rnd("rrf_score", 10).desc(), F.col(key))))
 
 
 def rerank(candidates: DataFrame, windows: DataFrame, key: str, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """Candidates by their best window score, then fusion score, then key."""
     best = windows.groupBy(*by, key).agg(F.max("window_score").alias("rerank_score"))
-    from pyspark.sql import Window as W
     out = candidates.withColumnRenamed("rank", "recall_rank").join(best, [*by, key])
     return out.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.col("rerank_score").desc(), rnd("rrf_score", 10).desc(), F.col(key))))
 
@@ -195,7 +197,8 @@ def company_diverse_order(df: DataFrame, order: str, company: str = "company", i
     Exact positions inside companies and overall, so a dominant company needs no single task.
     """
     own = df.withColumn("_company", F.coalesce(F.nullif(compact(halfwidth(company)), F.lit("")), F.concat(F.lit("row:"), F.col(ident).cast("string"))))
-    turn = position_within(own, [(order, True)], ["_company"], "_turn")
+    own = cut_lineage(own)
+    turn = cut_lineage(position_within(own, [(order, True)], ["_company"], "_turn"))
     first = own.groupBy("_company").agg(F.min(order).alias("_first"))
     return position_within(hot_key_join(turn, first, "_company"), [("_turn", True), ("_first", True)], name="place").drop("_company", "_turn", "_first")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hirelens.core import compact, col, first_per_key, halfwidth, position_within, text, top_rows
-from hirelens.operators.rank import company_diverse_order
+from hirelens.session import cut_lineage
 
 
 def even_sample(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, ends: bool = True) -> DataFrame:
@@ -33,6 +33,7 @@ def stratified_sample(source: DataFrame, n: int, background: DataFrame | None =
     (H9). Candidate lists are cut to what the sample can use, and only their sizes reach
     the driver. Adds stratum.
     """
+    source = cut_lineage(source)
     rq, tq = int(n * 0.2), int(n * 0.6)
     lq = n - rq - tq
     picked = even_sample(source, [(ident, True)], rq, ends=False).withColumn("stratum", F.lit("random_source")) if rq else source.limit(0).withColumn("stratum", F.lit(""))

@@ -15,7 +15,7 @@ from hirelens.plans.views import CONV, DOCP, P_LEAN, POSTS, R, conversation_post
 NOW = "2024-02-01 00:00:00"
 INFL = f"""lg AS (SELECT *, ln(1+view_count) AS m0, ln(1+like_count) AS m1, ln(1+collect_count) AS m2, ln(1+total_comment_count) AS m3, 0.15 + (like_count IS NOT NULL)::INT*0.2 + (collect_count IS NOT NULL)::INT*0.4 + (total_comment_count IS NOT NULL)::INT*0.25 AS cov, (epoch(TIMESTAMP '{NOW}')-epoch(created_at))/86400.0 AS age FROM posts),
  sc AS (SELECT role_key, greatest(ln(1001), quantile_cont(m0,0.5)) AS s0, greatest(ln(21), quantile_cont(m1,0.5)) AS s1, greatest(ln(21), quantile_cont(m2,0.5)) AS s2, greatest(ln(11), quantile_cont(m3,0.5)) AS s3 FROM lg GROUP BY 1),
- inf AS MATERIALIZED (SELECT id, role_key, 100*(0.15*(1-exp(-least(m0/s0,3))) + 0.2*coalesce(1-exp(-least(m1/s1,3)),0) + 0.4*coalesce(1-exp(-least(m2/s2,3)),0) + 0.25*coalesce(1-exp(-least(m3/s3,3)),0))/cov*sqrt(cov)*pow(2.0,-age/180) AS score FROM lg JOIN sc USING (role_key))"""
+ inf AS MATERIALIZED (SELECT id, role_key, 100*(0.15*(1-exp(-least(m0/s0,3))) + 0.2*(CASE WHEN m1 IS NULL THEN 0 ELSE 1-exp(-least(m1/s1,3)) END) + 0.4*(CASE WHEN m2 IS NULL THEN 0 ELSE 1-exp(-least(m2/s2,3)) END) + 0.25*(CASE WHEN m3 IS NULL THEN 0 ELSE 1-exp(-least(m3/s3,3)) END))/cov*sqrt(cov)*pow(2.0,-age/180) AS score FROM lg JOIN sc USING (role_key))"""
 
 
 @query("G1_influence_rank", with_(POSTS, INFL) + f"SELECT id, role_key, {R('score',6)} AS score, row_number() OVER (PARTITION BY role_key ORDER BY inf.score DESC, id) AS rank, {R('score/sum(score) OVER (PARTITION BY role_key)',8)} AS relative_weight FROM inf")
@@ -130,8 +130,8 @@ def g11(spark, sf):
     return rank.latest_per_context(o).select("context_key", "snapshot_key")
 
 
-@query("G12_evidence_snippet", with_(DOCP, SECTIONED, SENT.replace("SELECT job_id, location,", "SELECT job_id, at, location,").replace("'duties' AS location, unnest(", "'duties' AS location, generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'岗位职责')+4, instr(job_description,'任职要求')-instr(job_description,'岗位职责')-4), '[。；;\\n]'),1) AS at, unnest(").replace("SELECT job_id, 'requirements', unnest(", "SELECT job_id, 'requirements', 100000+generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'任职要求')+4), '[。；;\\n]'),1), unnest(")) + """
-, h AS (SELECT job_id, at, quote, (contains(lower(regexp_replace(quote,'\\s','','g')),'there'))::INT + (contains(lower(regexp_replace(quote,'\\s','','g')),'ing'))::INT AS hits FROM sent WHERE length(quote)>=16), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY hits DESC, at)=1)
+@query("G12_evidence_snippet", with_(DOCP, SECTIONED, SENT.replace("SELECT job_id, location,", "SELECT job_id, pos, location,").replace("'duties' AS location, unnest(", "'duties' AS location, generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'岗位职责')+4, instr(job_description,'任职要求')-instr(job_description,'岗位职责')-4), '[。；;\\n]'),1) AS pos, unnest(").replace("SELECT job_id, 'requirements', unnest(", "SELECT job_id, 'requirements', 100000+generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'任职要求')+4), '[。；;\\n]'),1), unnest(")) + """
+, h AS (SELECT job_id, pos, quote, (contains(lower(regexp_replace(quote,'\\s','','g')),'there'))::INT + (contains(lower(regexp_replace(quote,'\\s','','g')),'ing'))::INT AS hits FROM sent WHERE length(quote)>=16), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY hits DESC, pos)=1)
 SELECT d.job_id, coalesce(CAST(hits AS INT),0) AS snippet_hits, sha256(coalesce(substr(quote,1,650),'未提供可引用原文')) AS digest FROM docp d LEFT JOIN b ON b.job_id=d.job_id""")
 def g12(spark, sf):
     return rank.evidence_snippet(sectioned(spark, sf), "ing there").select("job_id", "snippet_hits", F.sha2("snippet", 256).alias("digest"))
