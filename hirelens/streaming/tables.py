@@ -1,0 +1,53 @@
+"""A keyed parquet table that batches can merge into: key buckets, versions, commit records.
+
+Parquet has no merge. A batch rewrites only the buckets its keys fall in, under a folder
+of its own version, and becomes visible by one commit record naming those buckets. A
+batch that is run again finds its commit, or overwrites its own unfinished folder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COMMIT = "version long, buckets array<int>"
+
+
+class BucketTable:
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 32):
+        self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
+
+    def _commits(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(COMMIT).json(f"{self.path}/commits")
+        except AnalysisException:
+            return None
+
+    def committed(self, version: int) -> bool:
+        c = self._commits()
+        return c is not None and c.filter(F.col("version") == version).limit(1).count() > 0
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """Newest state of all or some buckets; the manifest has one row per bucket."""
+        c = self._commits()
+        if c is None:
+            return None
+        newest = c.select("version", F.explode("buckets").alias("b")).groupBy("b").agg(F.max("version").alias("v")).collect()
+        paths = [f"{self.path}/data/version={r['v']}/bucket={r['b']}" for r in newest if buckets is None or r["b"] in set(buckets)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, version: int, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> bool:
+        """Merge a batch as this version; False if it was merged before."""
+        if self.committed(version):
+            return False
+        bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets)).alias("bucket")
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        if touched:
+            out = merge(self.read(touched), batch)
+            out.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        record = self.spark.createDataFrame([(version, [int(b) for b in touched])], COMMIT)
+        record.coalesce(1).write.mode("append").json(f"{self.path}/commits")
+        return True
