@@ -44,7 +44,8 @@ def i3(spark, sf):
 
 @query("I4_learn_role_keywords")
 def i4(spark, sf):
-    return mining.learn_role_keywords(sectioned(spark, sf), "(?i)ring").select("term", "seed_df", "background_df", rnd("lift", 4).alias("lift"))
+    d = sectioned(spark, sf).withColumn("job_name", F.col("platform"))
+    return mining.learn_role_keywords(d, "^fr$").select("term", "seed_df", "background_df", rnd("lift", 4).alias("lift"))
 
 
 @query("I5_match_keywords", """SELECT doc_id, array_to_string(list_sort(list_filter(h, lambda w: len(list_filter(h, lambda o: o<>w AND contains(o,w)))=0)),'|') AS hits FROM (SELECT doc_id, list_filter(['ther','the','ing','tion','ation','ung','que','leur'], lambda w: contains(regexp_replace(lower(text),'[\\s\\x{3000}\\x{00a0}]','','g'), w)) AS h FROM documents)""")

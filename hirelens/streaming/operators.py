@@ -142,7 +142,7 @@ def channel_health_stream(events: DataFrame, stale: int = 120, lost: int = 600,
             last, level = state.get
             if level == 0:
                 state.update((last, 1))
-                state.setTimeoutTimestamp(int((last + lost) * 1000))
+                state.setTimeoutTimestamp(max(int((last + lost) * 1000), state.getCurrentWatermarkMs() + 1))
                 yield pd.DataFrame([(name, "delayed", last + stale)], columns=["platform", "health", "at"])
             else:
                 state.remove()
