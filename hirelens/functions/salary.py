@@ -65,8 +65,15 @@ def salary_struct(col: str = "salary") -> Column:
 
 
 def parse_salary(df: DataFrame, col: str = "salary", out: str = "pay") -> DataFrame:
-    """Add the parsed quote (raw, period, min, max, midpoint, pay months, inferred flag, nominal annual)."""
-    return df.withColumn(out, salary_struct(col))
+    """Add the parsed quote (raw, period, min, max, midpoint, pay months, inferred flag, nominal annual).
+
+    Quotes repeat, so every distinct text is parsed once and joined back: a small table
+    becomes a broadcast at run time, a large one a shuffled join whose hot texts adaptive
+    execution splits.
+    """
+    quote = F.coalesce(F.col(col), F.lit("")).alias("_quote")
+    parsed = df.select(quote).distinct().select("_quote", salary_struct("_quote").alias(out))
+    return df.select("*", quote).join(parsed, "_quote", "left").drop("_quote")
 
 
 def monthly_salary(df: DataFrame, pay: str = "pay") -> DataFrame:
