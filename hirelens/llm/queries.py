@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.llm.common import table
+from hirelens.llm.language import identify_language
+from hirelens.llm.minhash import near_duplicates
+from hirelens.llm.quality import classify_quality
 from hirelens.llm.tokens import count_tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,3 +30,18 @@ def query(name: str, sql: str | None = None):
 @query("op1_token_counts")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query("op6_minhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"))
