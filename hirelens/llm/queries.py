@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirelens.llm.common import table
 from hirelens.llm.language import identify_language
 from hirelens.llm.minhash import near_duplicates
+from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
 from hirelens.llm.tokens import count_tokens
 
@@ -32,6 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
