@@ -14,6 +14,7 @@ from hirelens.llm.minhash import near_duplicates
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
 from hirelens.llm.tokens import count_tokens
+from hirelens.llm.wrappers import extract_main_text
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
