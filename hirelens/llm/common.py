@@ -75,8 +75,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased, ASCII white space separates) and the number of words of each text.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z lower-cased) and the number of words of each text.
+
+    `apart` marks the bytes that separate words, ASCII white space if not given.
 
     One prefix sum of byte values times powers of an odd base gives the hash of any
     stretch, so no word is ever cut out as a string.
@@ -84,7 +86,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1])) & ~edge[:n]

@@ -13,6 +13,7 @@ from hirelens.llm.language import identify_language
 from hirelens.llm.minhash import near_duplicates
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
+from hirelens.llm.search import top_k
 from hirelens.llm.tokens import count_tokens
 from hirelens.llm.wrappers import extract_main_text
 
@@ -63,3 +64,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op8_exact_top_k_search")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.filter("doc_id % 50 = 0"))
