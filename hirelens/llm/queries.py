@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirelens.llm.common import table
 from hirelens.llm.embeddings import near_embeddings
 from hirelens.llm.language import identify_language
+from hirelens.llm.licences import scan_licences
 from hirelens.llm.minhash import near_duplicates
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
@@ -70,3 +71,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return top_k(docs, docs.filter("doc_id % 50 = 0"))
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
