@@ -57,9 +57,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets become one representative before anything is compared. Signatures hold the
     minimum and the maximum under each permutation; texts sharing a band meet. Within a band
-    all first meet one head, then those still in different components meet a second head, and
-    what is then still apart is compared pair by pair, so connected groups cost a comparison a
-    member and nothing is left out. Two of the 2 * permutations / rows bands must agree (at
+    all first meet one head, then those still in different components meet a second head. What
+    is then still apart is compared pair by pair, unless the distances to the head rule a link
+    out, so large groups cost a few comparisons a member and nothing is left out. Two of the 2 * permutations / rows bands must agree (at
     the threshold all but 4 in 100,000 pairs do); full sets of 64-bit hashes then decide.
 
     Null, empty or blank text: 0 shingles, linked with nothing. A row without an id stands
@@ -106,48 +106,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _links(reps: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified edges (a, b) that connect every group of representatives."""
     spread = reps.select("id", "n", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).filter("head <> tail")
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     members = stored(spread.join(shared, "band"))
-    first = _verified(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), reps, src, words, percent)
-    edges = stored(first)
-    open_members = _apart(members.select("band", "id"), edges)
-    second = open_members.groupBy("band").agg(F.max(F.struct("component", "id")).alias("h"))
-    again = open_members.join(second, "band").filter("component <> h.component").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-    edges = stored(edges.unionByName(_verified(again.join(edges, ["a", "b"], "left_anti"), reps, src, words, percent)))
-    rest = _apart(members.select("band", "id"), edges)
-    sizes = rest.join(reps.select("id", "n"), "id")
-    other = sizes.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = (sizes.join(other, "band").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
+    # The head of a band is the member that meets most others in all its bands: it lies in the middle of a large group.
+    fame = members.groupBy("id").agg(F.sum("met").alias("fame"))
+    famed = members.join(fame, "id").select("band", "id", "n", "fame")
+    heads = famed.groupBy("band").agg(F.max(F.struct("fame", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
+    members = stored(famed.join(heads, "band"))
+    first = stored(_compared(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), reps, src, words, percent))
+    far = first.select(F.col("a").alias("head"), F.col("b").alias("id"), "distance")
+    members = members.join(far, ["head", "id"], "left").withColumn("distance", F.when(F.col("id") == F.col("head"), 0.0).otherwise(F.col("distance")))
+    edges = stored(first.filter("linked").select("a", "b"))
+    apart = _apart(members.select("band", "id", "n", "fame", "head", "distance"), edges)
+    own = apart.filter("id = head").select("band", F.col("component").alias("main"))
+    outer = apart.join(own, "band").filter("component <> main")
+    second = outer.groupBy("band").agg(F.max(F.struct("fame", "id", "component")).alias("h"))
+    again = apart.join(second, "band").filter("component <> h.component").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+    edges = stored(edges.unionByName(_compared(again, reps, src, words, percent).filter("linked").select("a", "b")))
+    rest = _apart(apart.drop("component"), edges)
+    other = rest.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
+    # Jaccard distance is a metric: two members of a link lie about equally far from the head of the band.
+    near = F.coalesce(F.abs(F.col("distance") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    pairs = (rest.join(other, "band").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
              .select(F.col("id").alias("a"), "b").distinct())
-    return edges.unionByName(_verified(pairs, reps, src, words, percent))
+    return edges.unionByName(_compared(pairs, reps, src, words, percent).filter("linked").select("a", "b"))
 
 
 def _apart(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Members of bands that hold more than one component, with their component; stored."""
-    placed = members.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = stored(members.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    return stored(placed.join(mixed, "band", "left_semi").select("band", "id", "component"))
+    return stored(placed.join(mixed, "band", "left_semi"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets share `percent` or more, after two bands and the sizes agree."""
+def _compared(pairs: DataFrame, reps: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, distance, linked) from the full sets of the pairs whose sizes and at least two bands agree."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"v{x}"))
     agree = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = stored(pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b")
+    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b")
                     .filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= 2)).select("a", "b"))
     text = lambda x: src.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
 
     def compare(batches):
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            distance, linked = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sides = [[s[o[i]:o[i + 1]] for _, s, o in shingle_sets(part.column(c), words) for i in range(len(o) - 1)] for c in (2, 3)]
                 for i, (x, y) in enumerate(zip(*sides)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    good[lo + i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(good))
+                    every = len(x) + len(y) - common
+                    distance[lo + i] = 1 - common / max(1, every)
+                    linked[lo + i] = common > 0 and 100 * common >= percent * every
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance), pa.array(linked)], ["a", "b", "distance", "linked"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    compared = both.mapInArrow(compare, f"a {kind}, b {kind}, distance double, linked boolean")
+    # Rows of one id with several texts: the closest decides.
+    return compared.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
