@@ -102,6 +102,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes:
     return names, np.log(documents[documents > 0] / max(1, documents.sum())), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def _predicted(texts: pa.Array, model: tuple, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    names, prior, table = model
+    for lo, rows, grams, letters in gram_buckets(texts, sizes, bits):
+        sums = np.repeat(prior[:, None], rows, axis=1) if names else np.zeros((1, rows))
+        for buckets, row in grams:
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            for i in range(len(names) if len(starts) else 0):
+                sums[i, row[starts]] += np.add.reduceat(table[i][buckets], starts)
+        known = (letters > 0) & bool(names)
+        share = np.where(known, 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0), 0.0)
+        yield lo, rows, [names[b] if k else "und" for b, k in zip(sums.argmax(axis=0), known)], share
+
+
 def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
                      sizes: tuple[int, ...] = (1, 2, 3), bits: int = 16) -> DataFrame:
     """The rows of docs (id, held_out) with lang_pred and score, the posterior of the language predicted.
@@ -109,28 +122,30 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
     Null texts and texts without a letter, and all if nothing was learned: `und`, score 0. Ties
     go to the first language by name. Rows are returned one for one; other columns are left out.
     """
-    key_type = docs.schema[id_col].dataType.simpleString()
-    names, prior, table = model
-    spread = docs.sparkSession.sparkContext.broadcast((names, prior, table))
+    spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        names, prior, table = spread.value
         for batch in batches:
-            for lo, rows, grams, letters in gram_buckets(batch.column(1), sizes, bits):
-                sums = np.repeat(prior[:, None], rows, axis=1) if names else np.zeros((1, rows))
-                for buckets, row in grams:
-                    starts = np.flatnonzero(np.diff(row, prepend=-1))
-                    for i in range(len(names) if len(starts) else 0):
-                        sums[i, row[starts]] += np.add.reduceat(table[i][buckets], starts)
-                best = sums.argmax(axis=0)
-                known = (letters > 0) & bool(names)
-                share = np.where(known, 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0), 0.0)
-                found = pa.array([names[b] if k else "und" for b, k in zip(best, known)], pa.string())
+            for lo, rows, found, share in _predicted(batch.column(1), spread.value, sizes, bits):
                 part = batch.slice(lo, rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), found, pa.array(share)], ["id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string()), pa.array(share)], ["id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
-    return src.mapInArrow(score, f"id {key_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return src.mapInArrow(score, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def keep_languages(docs: DataFrame, model: tuple, least: float = 0.5, languages: tuple[str, ...] | None = None, text_col: str = "text",
+                   sizes: tuple[int, ...] = (1, 2, 3), bits: int = 16) -> DataFrame:
+    """The rows whose language is predicted with a score of `least` or more, of those wanted if any are named; all columns, no join."""
+    spread, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            for lo, rows, found, share in _predicted(batch.column(at), spread.value, sizes, bits):
+                good = [s >= least and f != "und" and (languages is None or f in languages) for f, s in zip(found, share)]
+                yield batch.slice(lo, rows).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -22,6 +22,9 @@ _LETTER = (_KIND == ord("a")) | (_KIND == ord("A"))
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#$%&*!@^~+=<>{}[]\\_"])
 
 
+_SCALE = 3 ** np.arange(len(LABELLERS))
+
+
 def _vote(value: np.ndarray, good: tuple[float, float], bad_below: float = -np.inf, bad_above: float = np.inf) -> np.ndarray:
     return np.where((value < bad_below) | (value > bad_above), -1, np.where((value >= good[0]) & (value <= good[1]), 1, 0))
 
@@ -119,33 +122,26 @@ def fit_scorer(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, target: n
     return weights, float(bias)
 
 
-def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, sample: int = 4096, threshold: float = 0.5) -> DataFrame:
-    """(id, weak_label, score, kept) of every row: the label model's posterior and the linear scorer's probability of good text.
+def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, sample: int = 4096) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, weak label of every vote pattern).
 
     Votes of all rows are counted by pattern (3 ^ labellers patterns at most) and the label
     model is fitted on that histogram. The scorer is fitted on at most `sample` rows, those
     with the smallest hash of their id, which stand for all as ids say nothing about texts.
-
-    Null, empty and blank texts have no word: score 0, not kept, no part in fitting. Rows are
-    returned one for one, null ids too; other columns are left out. An empty table gives an
-    empty result.
     """
-    spark = docs.sparkSession
-    key_type = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scale = 3 ** np.arange(len(LABELLERS))
+    src = docs.select(F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def tally(batches):
         total = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
             for _, rows, votes, (row, _, _) in read_slices(batch.column(0), bits):
-                total += np.bincount((votes[np.unique(row)] + 1) @ scale, minlength=len(total))
+                total += np.bincount((votes[np.unique(row)] + 1) @ _SCALE, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pattern", "n"])
 
     seen = src.select("text").mapInArrow(tally, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     pattern, counts = seen.column(0).to_numpy(), seen.column(1).to_numpy()
-    _, posterior = fit_labellers(pattern[:, None] // scale % 3 - 1, counts)
+    _, posterior = fit_labellers(pattern[:, None] // _SCALE % 3 - 1, counts)
     weak = np.full(3 ** len(LABELLERS), 0.5)
     weak[pattern] = posterior
 
@@ -153,23 +149,52 @@ def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for lo, rows, votes, (row, bucket, value) in read_slices(batch.column(1), bits):
                 ends = pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(weak[(votes + 1) @ scale]), pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value))], ["h", "weak", "bucket", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(weak[(votes + 1) @ _SCALE]), pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value))], ["h", "weak", "bucket", "value"])
 
     share = min(1.0, 1.25 * sample / max(1, int(counts.sum())))
-    picked = src.select(F.xxhash64("id", F.lit(11)).alias("h"), "text").filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    picked = src.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     rows = picked.mapInArrow(features, "h long, weak double, bucket array<int>, value array<double>").filter(F.size("bucket") > 0).orderBy("h").limit(sample).toArrow().combine_chunks()
     buckets, values = (rows.column(c).combine_chunks() for c in ("bucket", "value"))
     sizes = [len(x) for x in buckets]
-    weights, bias = fit_scorer(np.repeat(np.arange(len(sizes)), sizes), np.concatenate([x.values.to_numpy() for x in buckets]) if sizes else np.zeros(0, int), np.concatenate([x.values.to_numpy() for x in values]) if sizes else np.zeros(0), rows.column("weak").to_numpy(), bits)
-    model = spark.sparkContext.broadcast((weights, bias, weak))
+    flat = [np.concatenate([x.values.to_numpy() for x in c]) if sizes else np.zeros(0, int) for c in (buckets, values)]
+    weights, bias = fit_scorer(np.repeat(np.arange(len(sizes)), sizes), *flat, rows.column("weak").to_numpy(), bits)
+    return weights, bias, weak
+
+
+def _scored(texts: pa.Array, model: tuple, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    weights, bias, weak = model
+    for lo, rows, votes, (row, bucket, value) in read_slices(texts, bits):
+        some = np.bincount(row, minlength=rows) > 0
+        p = 1 / (1 + np.exp(-(np.bincount(row, weights[bucket] * np.sqrt(value), rows) + bias)))
+        yield lo, rows, np.where(some, weak[(votes + 1) @ _SCALE], 0.0), np.where(some, p, 0.0)
+
+
+def classify_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, sample: int = 4096, threshold: float = 0.5) -> DataFrame:
+    """(id, weak_label, score, kept) of every row: the label model's posterior and the linear scorer's probability of good text.
+
+    Null, empty and blank texts have no word: score 0, not kept, no part in fitting. Rows are
+    returned one for one, null ids too; other columns are left out. An empty table gives an
+    empty result.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, id_col, text_col, bits, sample))
 
     def score(batches):
-        weights, bias, weak = model.value
         for batch in batches:
-            for lo, rows, votes, (row, bucket, value) in read_slices(batch.column(1), bits):
-                some = np.bincount(row, minlength=rows) > 0
-                p = np.where(some, 1 / (1 + np.exp(-(np.bincount(row, weights[bucket] * np.sqrt(value), rows) + bias))), 0.0)
-                label = np.where(some, weak[(votes + 1) @ scale], 0.0)
+            for lo, rows, label, p in _scored(batch.column(1), model.value, bits):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(label), pa.array(p), pa.array(p >= threshold)], ["id", "weak_label", "score", "kept"])
 
-    return src.mapInArrow(score, f"id {key_type}, weak_label double, score double, kept boolean").withColumnRenamed("id", id_col)
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(score, f"id {docs.schema[id_col].dataType.simpleString()}, weak_label double, score double, kept boolean").withColumnRenamed("id", id_col)
+
+
+def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, sample: int = 4096, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that classify_quality keeps, with all their columns: judged where they are read, without a join."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, id_col, text_col, bits, sample))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            for lo, rows, _, p in _scored(batch.column(at), model.value, bits):
+                yield batch.slice(lo, rows).filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

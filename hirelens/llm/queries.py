@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hirelens.llm.common import table
 from hirelens.llm.embeddings import near_embeddings
 from hirelens.llm.language import identify_language
 from hirelens.llm.licences import scan_licences
 from hirelens.llm.minhash import near_duplicates
+from hirelens.llm.mixing import mix_documents, mixing_sql
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
 from hirelens.llm.search import top_k
@@ -52,6 +54,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+@query("op5_mix_sources", mixing_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "lang", "topic", "tokens", *(F.round(c, 6).alias(c) for c in ("ratio", "probability", "epochs")), "kept")
+
+
 @query("op6_minhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
