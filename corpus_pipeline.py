@@ -35,7 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that tokens meet the weights of sources, languages and topics."""
-    return mix_documents(docs).filter("kept").select(*docs.columns)
+    # The row travels whole beside the columns that the mixture reads, so no column of its own can clash.
+    read = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
+    return mix_documents(read).filter("kept").select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
