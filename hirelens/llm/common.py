@@ -60,7 +60,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, SLICE + 1)
+        size = n + n // 4
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -116,3 +116,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = moved.select("id", F.col("new").alias("label"))
         if moved.filter("new <> label").isEmpty():
             return labels.select("id", F.col("label").alias("component"))
+
+
+def local_components(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest rank that each row of a block reaches by the pairs (a, b)."""
+    label = rank.copy()
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        by_rank = np.empty_like(new)
+        by_rank[rank] = new
+        new = by_rank[new]
+        if (new == label).all():
+            return label
+        label = new

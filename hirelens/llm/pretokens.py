@@ -46,7 +46,7 @@ def _plain(text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pre_token_slices(texts: pa.Array, tokenizer) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, Callable[[int], str]]]:
     """(first row, rows, hash, row and place of every pre-token, place to string) for slices of whole texts."""
     slow = pre_tokenizer(tokenizer)
-    for lo, hi, data, offsets in text_slices(texts):
+    for lo, hi, data, offsets in text_slices(texts, 1 << 18):
         whole = data.tobytes().decode("utf-8")
         if PLAIN.fullmatch(whole) and "<|" not in whole:
             heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -83,8 +83,22 @@ class PieceTable:
 
     def __init__(self, tokenizer, most: int = 1 << 20):
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each): all at once as words of one text, if its ids with a word end are as many as the words."""
+        if not any("<|" in t for t in texts):
+            ids = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(texts) and len(ids) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+
     def clear(self) -> None:
         self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -98,9 +112,8 @@ class PieceTable:
         new = np.union1d(new, np.flatnonzero(at == len(self.keys)))
         if len(new):
             texts = [string(sample[i]) for i in new]
-            lists = [e.ids for lo in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[lo:lo + 4096], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x], np.uint32)
+            parts = [self._encode(texts[lo:lo + 256]) for lo in range(0, len(texts), 256)]
+            flat, sizes = (np.concatenate(x) for x in zip(*parts))
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
             self.ids[self.used:self.used + len(flat)] = flat
