@@ -74,14 +74,14 @@ LABEL_SKILLS = [
     "BeautifulSoup", "Selenium", "Playwright", "Pyppeteer", "Puppeteer", "Appium", "MySQL", "PostgreSQL", "MongoDB", "Redis",
     "Elasticsearch", "Kafka", "RabbitMQ", "Hadoop", "Spark", "HTTP", "HTTPS", "TCP/IP", "XPath", "正则表达式", "数据清洗", "数据采集",
     "分布式爬虫", "反爬虫"]
-LABEL_TASKS = tables.parse_rules(r"""
-数据采集系统开发: 爬虫|数据采集系统|信息抽取|网页采集|采集程序|数据抓取|抓取数据|爬取数据
-数据清洗与入库: 数据清洗|清洗数据|清洗、|清洗，|入库|ETL|结构化处理|数据处理与存储
-分布式任务调度: 分布式|任务调度|调度系统|消息队列|去重
-采集稳定性与合规处理: 反爬|验证码|限流|封禁|风控|合规|稳定性
-数据接口与服务开发: (?:接口|API|服务化).{0,18}(?:开发|设计|研发|构建|维护)|(?:开发|设计|研发|构建|维护).{0,18}(?:接口|API|服务化)
-采集系统运维: (?:爬虫|采集)(?:系统|平台|程序|任务).{0,22}(?:维护|监控|告警|运维|部署)|(?:维护|监控|告警|运维|部署).{0,22}(?:爬虫|采集)(?:系统|平台|程序|任务)
-""")
+LABEL_TASKS = tables.ignoring_case([
+    ("数据采集系统开发", "爬虫|数据采集系统|信息抽取|网页采集|采集程序|数据抓取|抓取数据|爬取数据"),
+    ("数据清洗与入库", "数据清洗|清洗数据|清洗、|清洗，|入库|ETL|结构化处理|数据处理与存储"),
+    ("分布式任务调度", "分布式|任务调度|调度系统|消息队列|去重"),
+    ("采集稳定性与合规处理", "反爬|验证码|限流|封禁|风控|合规|稳定性"),
+    ("数据接口与服务开发", "(?:接口|API|服务化).{0,18}(?:开发|设计|研发|构建|维护)|(?:开发|设计|研发|构建|维护).{0,18}(?:接口|API|服务化)"),
+    ("采集系统运维", "(?:爬虫|采集)(?:系统|平台|程序|任务).{0,22}(?:维护|监控|告警|运维|部署)|(?:维护|监控|告警|运维|部署).{0,22}(?:爬虫|采集)(?:系统|平台|程序|任务)"),
+])
 OTHER_COLLECTION = "用电信息采集|信号采集|图像采集|音视频采集|采集卡|数据采集器|硬件采集|医学采集|样本采集|地质采集"
 TITLE_CUE = "(?i)爬虫|反爬|网页抓取|数据抓取|采集开发|采集工程师.*爬虫|爬虫.*采集工程师"
 WEB_CUE = "(?i)爬虫|反爬|网页抓取|数据抓取|网络抓取|scrapy|requests|beautifulsoup|selenium|playwright|puppeteer|xpath"
@@ -192,12 +192,12 @@ def minimum_degree(body: str | Column = "job_description", education: str | Colu
 def profile_from_text(df: DataFrame, body: str = "text", role_rules: Rules | None = None) -> DataFrame:
     """Education, student flag, graduation year, preference and target roles of a résumé text."""
     if role_rules is None:
-        role_rules = tables.parse_rules(r"""
-智能体/大模型应用: 智能体|<agent>|LLM|大模型应用
-后端开发: 后端|Python\s*开发
-数据分析
-嵌入式开发: 嵌入式
-""")
+        role_rules = tables.ignoring_case([
+            ("智能体/大模型应用", "智能体|" + word("agent") + "|LLM|大模型应用"),
+            ("后端开发", r"后端|Python\s*开发"),
+            ("数据分析", "数据分析"),
+            ("嵌入式开发", "嵌入式"),
+        ])
     raw = F.coalesce(F.col(body), F.lit(""))
     head = F.array_join(F.slice(F.split(raw, "\n"), 1, 7), " ")
     intent = F.coalesce(F.nullif(F.regexp_extract(raw, r"求职意向[^\n]{0,100}", 0), F.lit("")), head)
