@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import components, stored
+from hirelens.llm.common import components, local_components, stored
 
 #: A tree is ("leaf", number) or (direction, threshold, left, right).
 Tree = tuple
@@ -149,7 +149,7 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 a_all.append(a)
                 b_all.append(b)
         if a_all:
-            label = _local_components(rank, np.concatenate(a_all), np.concatenate(b_all))
+            label = local_components(rank, np.concatenate(a_all), np.concatenate(b_all))
             root = order[label]
         tied = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
         return pa.Table.from_arrays([names_of.take(pa.array(tied)), pa.array(links[tied]), names_of.take(pa.array(root[tied]))], ["rep", "links", "root"])
@@ -182,18 +182,3 @@ def _forest(sample: pa.Table, trees: int, leaf: float, threshold: float) -> dict
         forest[key] = [first] if isinstance(first[0], str) else [first, *(grow() for _ in range(trees - 1))]
     return forest
 
-
-def _local_components(rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest rank that each row of a block reaches by the pairs (a, b)."""
-    label = rank.copy()
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        by_rank = np.empty_like(new)
-        by_rank[rank] = new
-        new = by_rank[new]
-        if (new == label).all():
-            return label
-        label = new

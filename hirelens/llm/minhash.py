@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import components, mix, stored, text_slices, word_hashes
+from hirelens.llm.common import components, local_components, mix, stored, text_slices, word_hashes
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -57,9 +57,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets become one representative before anything is compared. Signatures hold the
     minimum and the maximum under each permutation; texts sharing a band meet. Within a band
-    all first meet one head, then those still in different components meet a second head. What
-    is then still apart is compared pair by pair, unless the distances to the head rule a link
-    out, so large groups cost a few comparisons a member and nothing is left out. Two of the 2 * permutations / rows bands must agree (at
+    all first meet one head. Where a band still holds several components, the members of its
+    head are compared with each other in blocks inside tasks, so no table of pairs is made and
+    nothing is left out. Two of the 2 * permutations / rows bands must agree (at
     the threshold all but 4 in 100,000 pairs do); full sets of 64-bit hashes then decide.
 
     Null, empty or blank text: 0 shingles, linked with nothing. A row without an id stands
@@ -112,24 +112,61 @@ def _links(reps: DataFrame, src: DataFrame, words: int, percent: int) -> DataFra
     fame = members.groupBy("id").agg(F.sum("met").alias("fame"))
     famed = members.join(fame, "id").select("band", "id", "n", "fame")
     heads = famed.groupBy("band").agg(F.max(F.struct("fame", "id")).alias("h")).select("band", F.col("h.id").alias("head"))
-    members = stored(famed.join(heads, "band"))
-    first = stored(_compared(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), reps, src, words, percent))
-    far = first.select(F.col("a").alias("head"), F.col("b").alias("id"), "distance")
-    members = members.join(far, ["head", "id"], "left").withColumn("distance", F.when(F.col("id") == F.col("head"), 0.0).otherwise(F.col("distance")))
+    members = stored(famed.join(heads, "band").select("band", "id", "head"))
+    # All texts move once, to those that meet another; what follows reads these alone.
+    texts = stored(src.join(members.select("id").distinct(), "id", "left_semi"))
+    first = _compared(members.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), reps, texts, words, percent)
     edges = stored(first.filter("linked").select("a", "b"))
-    apart = _apart(members.select("band", "id", "n", "fame", "head", "distance"), edges)
-    own = apart.filter("id = head").select("band", F.col("component").alias("main"))
-    outer = apart.join(own, "band").filter("component <> main")
-    second = outer.groupBy("band").agg(F.max(F.struct("fame", "id", "component")).alias("h"))
-    again = apart.join(second, "band").filter("component <> h.component").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-    edges = stored(edges.unionByName(_compared(again, reps, src, words, percent).filter("linked").select("a", "b")))
-    rest = _apart(apart.drop("component"), edges)
-    other = rest.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-    # Jaccard distance is a metric: two members of a link lie about equally far from the head of the band.
-    near = F.coalesce(F.abs(F.col("distance") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = (rest.join(other, "band").filter((F.col("id") < F.col("b")) & (F.col("component") != F.col("cb")) & near & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent))
-             .select(F.col("id").alias("a"), "b").distinct())
-    return edges.unionByName(_compared(pairs, reps, src, words, percent).filter("linked").select("a", "b"))
+    # Members of one head are compared with each other, once for all bands of the head, in blocks.
+    open_ = stored(_apart(members.select("band", "id", "head"), edges).select("head", "id", "component").distinct())
+    return edges.unionByName(_block_links(open_, texts, words, percent))
+
+
+def _block_links(members: DataFrame, src: DataFrame, words: int, percent: int, block: int = 512) -> DataFrame:
+    """Edges between the components of each head's members: counts of common shingles by matrix product in each pair of blocks.
+
+    No pair leaves a task, only a tie of each member to the smallest one it reaches.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    parts = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = members.join(parts, "head").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    rows = placed.join(src, "id").withColumn("pair", F.explode(pairs)).select("head", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "id", "component", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own, ids = group.column("own").to_numpy(), group.column("id").chunk(0)
+        component = group.column("component").chunk(0).to_numpy(zero_copy_only=False)
+        sets = [s[o[k]:o[k + 1]] for _, s, o in shingle_sets(group.column("text").chunk(0), words) for k in range(len(o) - 1)]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        a, b = _common(row, at, often, size, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+        new = component[a] != component[b]
+        a, b = a[new], b[new]
+        root = local_components(np.arange(len(sets)), a, b) if len(a) else np.arange(len(sets))
+        tied = np.flatnonzero(root != np.arange(len(sets)))
+        return pa.Table.from_arrays([ids.take(pa.array(root[tied])), ids.take(pa.array(tied))], ["a", "b"])
+
+    return rows.groupBy("head", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _common(row: np.ndarray, at: np.ndarray, often: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, width: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left, right) whose sets share `percent` of their union; shingles of one set alone add nothing and are left out."""
+    shared = often[at] > 1
+    row, at = row[shared], at[shared]
+    _, at = np.unique(at, return_inverse=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    # The incidence matrix is built for some thousand shingles at a time.
+    for lo in range(0, int(at.max()) + 1 if len(at) else 0, width):
+        some = (at >= lo) & (at < lo + width)
+        part = np.zeros((len(size), width), np.float32)
+        part[row[some], at[some] - lo] = 1
+        total += part[left] @ part[right].T
+    every = size[left][:, None] + size[right][None, :] - total
+    x, y = np.nonzero((total > 0) & (100 * total >= percent * every))
+    return left[x], right[y]
 
 
 def _apart(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,7 +177,7 @@ def _apart(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, reps: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, distance, linked) from the full sets of the pairs whose sizes and at least two bands agree."""
+    """(a, b, linked) from the full sets of the pairs whose sizes and at least two bands agree."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bands").alias(f"v{x}"))
     agree = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b")
@@ -150,18 +187,14 @@ def _compared(pairs: DataFrame, reps: DataFrame, src: DataFrame, words: int, per
 
     def compare(batches):
         for batch in batches:
-            distance, linked = np.ones(batch.num_rows), np.zeros(batch.num_rows, bool)
+            linked = np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sides = [[s[o[i]:o[i + 1]] for _, s, o in shingle_sets(part.column(c), words) for i in range(len(o) - 1)] for c in (2, 3)]
                 for i, (x, y) in enumerate(zip(*sides)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    every = len(x) + len(y) - common
-                    distance[lo + i] = 1 - common / max(1, every)
-                    linked[lo + i] = common > 0 and 100 * common >= percent * every
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance), pa.array(linked)], ["a", "b", "distance", "linked"])
+                    linked[lo + i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+            yield batch.select([0, 1]).append_column("linked", pa.array(linked))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    compared = both.mapInArrow(compare, f"a {kind}, b {kind}, distance double, linked boolean")
-    # Rows of one id with several texts: the closest decides.
-    return compared.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
+    return both.mapInArrow(compare, f"a {kind}, b {kind}, linked boolean")
