@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 UNKNOWN = "未明确"
 # Java's \s leaves out these two, which the source texts use as spaces.
 SPACE = r"[\s　 ]"
+_VISIBLE = r"[^\s　 ]"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
@@ -30,7 +31,7 @@ def text(c: str | Column) -> Column:
 
 
 def filled(c: str | Column) -> Column:
-    return F.length(text(c)) > 0
+    return F.coalesce(col(c).cast("string").rlike(_VISIBLE), F.lit(False))
 
 
 def value(c: str | Column) -> Column:
@@ -107,7 +108,8 @@ def hot_key_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     """Join a skewed side to a side holding each key once, both read by column `key`.
 
     Keys with over 1/share of the big side are at most `share` many: that bound is what
-    allows broadcasting their matches, while all other keys take the shuffled join.
+    allows broadcasting them. Their matches, and all other keys, take the join that the
+    planner picks by size.
     """
     counts = big.groupBy(key).count()
     total = big.agg(F.count(F.lit(1)).alias("_total"))
@@ -116,61 +118,38 @@ def hot_key_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
         .select(key).limit(share)
     )
     hot = F.broadcast(hot)
-    lone = F.broadcast(small.join(hot, key, "left_semi").limit(share))
+    lone = small.join(hot, key, "left_semi")
     return big.join(hot, key, "left_semi").join(lone, key, how).unionByName(
         big.join(hot, key, "left_anti").join(small.join(hot, key, "left_anti"), key, how))
 
 
-def _before(keys: list[tuple[str, bool]], bound: dict) -> Column:
-    """Row sorts strictly before the bound under the given key directions."""
-    test = F.lit(False)
-    for name, asc in reversed(keys):
-        edge = F.lit(bound[name])
-        test = ((F.col(name) < edge) if asc else (F.col(name) > edge)) | ((F.col(name) == edge) & test)
-    return test
-
-
 def position_within(df: DataFrame, order: Sequence[tuple[str, bool]], group: Sequence[str] = (),
-                    name: str = "position", buckets: int = 64, start: int = 1) -> DataFrame:
+                    name: str = "position", rows_each: int = 250_000, start: int = 1) -> DataFrame:
     """Exact row numbers inside each group without putting a whole group in one task.
 
-    `order` lists (column, ascending) pairs over non-NULL columns forming a total order.
-    A sample gives split points; the bucket of a row is then a plain expression of its
-    keys, so recomputed tasks agree. Numbers are the offset of the bucket plus the rank
-    inside it. Offsets are one row per (group, bucket). The sample steers balance only;
-    numbers stay exact for any split points.
+    `order` lists (column, ascending) pairs over non-NULL columns forming a total order. The
+    rows are dealt into ranges of about `rows_each` rows, as many as the table needs, and
+    stored with the number of their range, so every later read agrees on it. A position is
+    the rank inside the range plus the group's rows in the ranges before.
     """
+    from hirelens.session import cut_lineage
+
     group = list(group)
-    keys = [(g, True) for g in group] + list(order)
-    names = [k for k, _ in keys]
-    sample_size = buckets * 40
-    total = df.count()
-    picked = df.select(*names)
-    if total > sample_size:
-        picked = picked.sample(min(1.0, sample_size / total), seed=7)
-    sort = [F.col(k).asc() if asc else F.col(k).desc() for k, asc in keys]
-    rows = picked.orderBy(*sort).limit(sample_size * 4).collect() if total > sample_size else []
-    step = max(1, len(rows) // buckets)
-    bounds = [r.asDict() for r in rows[step::step]]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_before(keys, bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    tagged = df.withColumn("_bucket", tree(0, len(bounds)))
+    sort = [F.col(g) for g in group] + [F.col(k).asc() if asc else F.col(k).desc() for k, asc in order]
+    ranges = -(-df.count() // rows_each) or 1
+    tagged = cut_lineage(df.repartitionByRange(ranges, *sort).withColumn("_range", F.spark_partition_id()))
     inner = [F.col(k).asc() if asc else F.col(k).desc() for k, asc in order]
-    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*inner)))
-    if not bounds:
-        return local.withColumn(name, F.col("_local") + F.lit(start - 1)).drop("_bucket", "_local")
-    counts = tagged.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    gone = W.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(gone), F.lit(0)).alias("_offset"))
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*group, "_range").orderBy(*inner)))
+    counts = tagged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    gone = W.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_range_no"), F.coalesce(F.sum("_n").over(gone), F.lit(0)).alias("_offset"))
+    same = F.col("_range") == F.col("_range_no")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     return (
-        local.join(offsets, [*group, "_bucket"])
+        local.join(offsets, same)
         .withColumn(name, F.col("_local") + F.col("_offset") + F.lit(start - 1))
-        .drop("_bucket", "_local", "_offset")
+        .drop("_range", "_local", "_offset", "_range_no", *[f"_g_{g}" for g in group])
     )
 
 

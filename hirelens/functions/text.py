@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.core import SPACE, col, halfwidth, rnd, text
+from hirelens.core import SPACE, col, halfwidth, let, rnd, text
 
 # Section headings, sentence marks and boilerplate openings of posting texts.
 HEADINGS = ("岗位职责|工作职责|主要职责|工作内容|岗位定位|职位描述|任职要求|职位要求|岗位要求|任职资格|招聘要求|加分项|优先条件|"
@@ -156,26 +156,38 @@ def question_key(q: Column) -> Column:
 def tokens(c: str | Column, mode: str = "terms") -> Column:
     """C20: token arrays.
 
-    terms: distinct latin terms and CJK bigrams; words: words in order, latin or CJK
-    bigrams; mixed: latin, CJK runs and numbers in order. CJK has no dictionary
-    segmenter here, so bigrams stand for its words.
+    terms: distinct latin terms and CJK pairs side by side; words: words in order, latin or
+    CJK; mixed: latin, CJK and numbers in order. There is no dictionary segmenter here, so in
+    the last two all overlapping pairs of CJK characters stand for words.
     """
     low = F.lower(halfwidth(c))
     if mode == "terms":
         return F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9+#.-]*|[一-鿿]{2}"), 0))
     if mode == "words":
-        return F.filter(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+|[一-鿿]{2}"), 0), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$"))
+        return F.filter(F.regexp_extract_all(cjk_pairs(low), F.lit(r"[a-z0-9]+|[一-鿿]{2}"), 0), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$"))
     if mode == "mixed":
-        found = F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9_+#.-]*|[一-鿿]+|\d+(?:\.\d+)?"), 0)
+        found = F.regexp_extract_all(cjk_pairs(low), F.lit(r"[a-z][a-z0-9_+#.-]*|[一-鿿]{2}|\d+(?:\.\d+)?"), 0)
         return F.filter(found, lambda w: (F.length(w) > 1) | w.isin("c", "r"))
     raise ValueError(f"unknown token mode {mode}")
 
 
-def phrases(words: Column, longest: int = 12, sizes: tuple[int, ...] = (2, 3), glue: str = "") -> Column:
-    """C20: contiguous phrases of a word array up to `longest` characters."""
+def cjk_pairs(c: Column) -> Column:
+    """A text with every overlapping pair of CJK characters written apart: 大数据 is 大数 数据."""
+    return F.regexp_replace(c, "([一-鿿])(?=([一-鿿]))", "$1$2 ")
+
+
+def phrase_text(words: Column) -> Column:
+    """Neighbouring words as one phrase; CJK pairs that overlap give their characters once."""
+    add = lambda a, w: F.when((F.substring(a, -1, 1) == F.substring(w, 1, 1)) & w.rlike("^[一-鿿]"), F.concat(a, F.substring(w, 2, 1 << 20))).otherwise(F.concat(a, w))
+    plain = F.array_join(words, "")
+    return F.when(plain.rlike("[一-鿿]"), F.aggregate(words, F.lit(""), add)).otherwise(plain)
+
+
+def phrases(words: Column, within: Column, longest: int = 12, sizes: tuple[int, ...] = (2, 3)) -> Column:
+    """C20: phrases of neighbouring words, up to `longest` characters, that stand in the text `within` (lower case, no white space)."""
     def of(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)), lambda i: F.array_join(F.slice(words, i, n), glue))
-        return F.when(F.size(words) >= n, F.filter(grams, lambda p: F.length(p) <= longest)).otherwise(F.array().cast("array<string>"))
+        short = lambda t: F.filter(F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)), lambda i: let(F.slice(words, i, n), phrase_text)), lambda p: (F.length(p) <= longest) & F.contains(t, p))
+        return F.when(F.size(words) >= n, let(within, short)).otherwise(F.array().cast("array<string>"))
 
     parts = [of(n) for n in sizes]
     return F.concat(*parts)

@@ -48,8 +48,8 @@ def merge_postings(current: DataFrame | None, incoming: DataFrame, keys: Sequenc
                    body: str = "job_description", keyword: str = "query_keyword") -> DataFrame:
     """Upsert. The newest non-blank value of each field, the longest description, all keywords.
 
-    The reference folds row by row; the fold equals an aggregate over the non-blank
-    values of each field ordered by seq, which needs one shuffle and combines early.
+    Taking one row after the other gives the newest non-blank value of each field, so an
+    aggregate over non-blank values ordered by seq needs one shuffle and combines early.
     """
     rows = incoming if current is None else current.unionByName(incoming, allowMissingColumns=True)
     rows = rows.filter(filled(keys[0]) & filled(keys[1]))
@@ -91,9 +91,9 @@ def fill_only_merge(primary: DataFrame, secondary: DataFrame, keys: Sequence[str
 
 
 def richest_record(df: DataFrame, key: str = "id", content: str = "content", updated: str = "updated_at", query: str = "crawl_query") -> DataFrame:
-    """The fullest, then newest row of each key with its hit count and the queries that found it."""
+    """The fullest, then newest row of each key with its hit count and the queries that found it; the last in text order of equals."""
     rest = [c for c in df.columns if c not in (key, query)]
-    best = F.max_by(F.struct(*rest), F.struct(F.length(F.coalesce(content, F.lit(""))), F.coalesce(F.col(updated).cast("string"), F.lit(""))))
+    best = F.max_by(F.struct(*rest), F.struct(F.length(F.coalesce(content, F.lit(""))), F.coalesce(F.col(updated).cast("string"), F.lit("")), F.to_json(F.struct(*rest))))
     out = df.groupBy(key).agg(best.alias("_best"), F.count(F.lit(1)).alias("hit_count"), F.array_sort(F.collect_set(query)).alias("crawl_queries"))
     return out.select(key, "_best.*", "hit_count", "crawl_queries")
 

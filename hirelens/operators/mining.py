@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hirelens.core import SPACE, compact, filled, first_per_key, halfwidth, let, rnd, text, top_rows
 from hirelens.functions.labels import hits
-from hirelens.functions.text import duties_text, phrases, sections, tokens
+from hirelens.functions.text import cjk_pairs, duties_text, phrase_text, phrases, sections, tokens
 from hirelens.operators.clean import match_key
 from hirelens.operators.sample import hash_bucket
 from hirelens.session import cut_lineage
@@ -22,10 +22,18 @@ from hirelens.session import cut_lineage
 Rules = Sequence[tuple[str, str]]
 
 
-def term_documents(df: DataFrame, body: Column | None = None, longest: int = 12) -> DataFrame:
-    """Rows with `words` in order and distinct `terms` (words and 2 to 3 word phrases)."""
-    words = tokens(body if body is not None else duties_text(), "words")
-    return df.withColumns({"words": words, "terms": let(words, lambda w: F.array_distinct(F.concat(w, phrases(w, longest))))})
+# Words that say nothing about an occupation.
+STOP_WORDS = (
+    "岗位 工作 负责 完成 参与 协助 公司 相关 要求 任职 优先 熟悉 掌握 能力 经验 本科 以上 学历 专业 团队 使用 具备 良好 实习 实习生 内容 技术 工具 模型 数据 项目 学习 支持 优化 流程 进行 输出 "
+    "以及 包括 等 设计 制作 创作 ai aigc 业务 场景 应用 落地 持续 基于 迭代 智能 知识 方案 产品 平台 系统 开发 工程师 客户 服务 需求 实现 建设 管理 维护 解决 结合 提升 推动 核心 领域 实际 问题 高效 "
+    "任务 日常 其他 各类 不断 通过 对接 协作 沟通 质量 效果 方向 规划 工作职责 岗位职责 任职要求 职位要求").split()
+
+
+def term_documents(df: DataFrame, body: Column | None = None, longest: int = 12, stop: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """Rows with `words` in order, without stop words, and distinct `terms`: words and the 2 to 3 word phrases that stand in the text."""
+    source = body if body is not None else duties_text()
+    words = F.filter(tokens(source, "words"), lambda w: ~w.isin(*stop)) if stop else tokens(source, "words")
+    return df.withColumns({"words": words, "terms": let(words, lambda w: F.array_distinct(F.concat(w, phrases(w, compact(halfwidth(source)), longest))))})
 
 
 def document_frequency(df: DataFrame, name: str = "df") -> DataFrame:
@@ -98,7 +106,7 @@ def textrank_keywords(seeds: DataFrame, k: int | None = 100, least: int = 2, rou
 def _phrase(n: int):
     def build(i: Column) -> Column:
         piece = F.slice("words", i, n)
-        return F.struct(F.array_join(piece, "").alias("term"), piece.alias("parts"))
+        return F.struct(phrase_text(piece).alias("term"), piece.alias("parts"))
     return build
 
 
@@ -112,11 +120,13 @@ def fuse_keywords(lists: Sequence[DataFrame], k: int = 40) -> DataFrame:
     return top_rows(g, [rnd("score", 10).desc(), F.col("term")], k, "rank")
 
 
-def learn_role_keywords(df: DataFrame, title_pattern: str, algorithm: str = "tfidf", k: int = 40, lift: float = 2.5, support: float = 0.02, rounds: int = 40) -> DataFrame:
-    """I4: keywords of an occupation from its title seeds, one seed per duty text."""
+def learn_role_keywords(df: DataFrame, title_pattern: str, algorithm: str = "tfidf", k: int = 40, lift: float = 2.5, support: float = 0.02, rounds: int = 40, least_seeds: int = 5) -> DataFrame:
+    """I4: keywords of an occupation from its title seeds, one seed per duty text; fewer than `least_seeds` seeds are refused."""
     docs = term_documents(df)
     seed = docs.filter(F.col("job_name").rlike(title_pattern)).withColumn("_body", F.sha2(match_key(duties_text()), 256))
     seeds = first_per_key(seed.filter(F.length(match_key(duties_text())) > 0), ["_body"], [F.col("seq")]).drop("_body")
+    if seeds.limit(least_seeds).count() < least_seeds:
+        raise ValueError(f"fewer than {least_seeds} seeds")
     if algorithm == "contrast":
         ranked = contrast_keywords(seeds, docs.filter(~F.col("job_name").rlike(title_pattern)), 100)
     elif algorithm == "tfidf":
@@ -135,16 +145,21 @@ def learn_role_keywords(df: DataFrame, title_pattern: str, algorithm: str = "tfi
     return top_rows(out, [F.col("rank")], k).drop("_seeds", "_rows")
 
 
-def match_keywords(df: DataFrame, keywords: DataFrame, minimum: int = 2, body: Column | None = None, most: int = 1000) -> DataFrame:
+def match_keywords(df: DataFrame, keywords: DataFrame, minimum: int = 2, body: Column | None = None, batch: int = 1000) -> DataFrame:
     """Postings with enough independent keyword hits; a keyword inside a longer hit does not count.
 
-    Keyword lists are top-k lists; the limit states the bound the broadcast relies on.
+    Keywords reach the postings in batches of about `batch`, which bounds each broadcast row;
+    every keyword is matched.
     """
-    words = keywords.select(F.lower(F.regexp_replace(halfwidth("term"), SPACE, "")).alias("w")).limit(most).agg(F.array_sort(F.collect_set("w")).alias("_all"))
-    df = df.crossJoin(F.broadcast(words)).withColumn("_s", match_key(body if body is not None else duties_text()))
-    df = df.withColumn("_hits", F.filter("_all", lambda w: F.col("_s").contains(w)))
-    df = df.withColumn("keyword_hits", F.filter("_hits", lambda w: ~F.exists("_hits", lambda o: (o != w) & o.contains(w))))
-    return df.withColumn("matched", F.size("keyword_hits") >= minimum).drop("_all", "_s", "_hits")
+    words = keywords.select(F.lower(F.regexp_replace(halfwidth("term"), SPACE, "")).alias("w")).filter("w <> ''").distinct()
+    parts = max(1, -(-words.count() // batch))
+    out = df.withColumns({"_s": match_key(body if body is not None else duties_text()), "_hits": F.array().cast("array<string>")})
+    for i in range(parts):
+        some = words.filter(F.pmod(F.xxhash64("w"), F.lit(parts)) == i).agg(F.array_sort(F.collect_set("w")).alias("_some"))
+        out = out.crossJoin(F.broadcast(some)).withColumn("_hits", F.concat("_hits", F.filter("_some", lambda w: F.col("_s").contains(w)))).drop("_some")
+    out = out.withColumn("_hits", F.array_sort("_hits"))
+    out = out.withColumn("keyword_hits", F.filter("_hits", lambda w: ~F.exists("_hits", lambda o: (o != w) & o.contains(w))))
+    return out.withColumn("matched", F.size("keyword_hits") >= minimum).drop("_s", "_hits")
 
 
 # Clauses of the creative occupation.
@@ -312,27 +327,27 @@ def clause_evidence(df: DataFrame, vocabulary: Rules, action: str, responsibilit
 
 def literal_phrases(body: Column, low: int = 4, high: int = 12) -> Column:
     """Distinct contiguous two and three word phrases as written."""
-    made = let(tokens(body, "words"), lambda w: phrases(w, high))
+    made = let(tokens(body, "words"), lambda w: phrases(w, compact(halfwidth(body)), high))
     return F.array_distinct(F.filter(made, lambda p: (F.length(p) >= low) & ~p.rlike(r"^\d|\d$")))
 
 
 LATIN_NAME = r"[A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*(?: [A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*){1,2}"
 
 
-def phrase_cloud(df: DataFrame, seed: Column, k: int = 100, most: int = 5000, rounds: int = 10) -> DataFrame:
+def phrase_cloud(df: DataFrame, seed: Column, k: int = 100, ranked: int = 5000, rounds: int = 40) -> DataFrame:
     """Display phrases of the seeds by fused weight, fragments of equally frequent longer phrases left out.
 
-    Containment is checked among the `most` best candidates, inside one bounded list.
+    The two lists that are fused hold their `ranked` best terms; candidates are not cut.
     """
     docs = term_documents(df, F.regexp_replace(F.array_join(F.transform(sections(), lambda s: s["quote"]), "\n"), "\n", " "))
     docs = docs.withColumns({"_seed": seed, "_key": F.sha2(F.array_join("words", " "), 256)})
     seeds = first_per_key(docs.filter(F.col("_seed") & (F.size("words") > 0)), ["_key"], [F.col("seq")])
-    weights = fuse_keywords([tfidf_keywords(seeds, docs, most), textrank_keywords(seeds, most, rounds=rounds)], 2 * most).select("term", F.col("score").alias("_fused"))
+    weights = fuse_keywords([tfidf_keywords(seeds, docs, ranked), textrank_keywords(seeds, ranked, rounds=rounds)], 2 * ranked).select("term", F.col("score").alias("_fused"))
     base = tfidf_keywords(seeds, docs, None)
     floor = F.greatest(F.lit(2), F.ceil(F.col("_seeds") * 0.005))
     c = base.filter(F.col("seed_df") >= floor).filter((F.length("term") <= 20) & ~F.col("term").rlike(r"^\d")).join(weights, "term", "left")
     c = c.withColumn("score", F.col("score") * (1 + 10 * F.coalesce("_fused", F.lit(0.0))) * F.when(F.col("term").rlike("[一-鿿]") & (F.length("term") >= 4), 1.35).otherwise(1.0))
-    c = cut_lineage(top_rows(c.select("term", "seed_df", "background_df", "score"), [F.col("score").desc(), F.col("term")], most))
+    c = cut_lineage(c.select("term", "seed_df", "background_df", "score"))
     # Longer candidates are reached through their own contiguous pieces: an equi join.
     o = c.select(F.col("term").alias("longer"), F.col("seed_df").alias("o_df"), F.col("score").alias("o_score"))
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("longer")), lambda i: F.transform(F.sequence(F.lit(1), F.length("longer") - i + 1), lambda n: F.substring(F.col("longer"), i, n))))
@@ -363,7 +378,7 @@ def category_cloud(df: DataFrame, seed: Column, vocabulary: dict[str, Sequence[s
     if tail:
         category, pattern = tail
         known = [re.sub(r"\s+", "", t.lower()) for _, t in names]
-        learnt = tfidf_keywords(seeds, docs, 5000).filter(F.col("term").rlike(pattern) & ~F.col("term").isin(*known) & (F.col("seed_df") >= F.greatest(F.lit(3), F.ceil(F.col("_seeds") * 0.005))))
+        learnt = tfidf_keywords(seeds, docs, None).filter(F.col("term").rlike(pattern) & ~F.col("term").isin(*known) & (F.col("seed_df") >= F.greatest(F.lit(3), F.ceil(F.col("_seeds") * 0.005))))
         scored = scored.unionByName(learnt.select(F.lit(category).alias("category"), "term", "seed_df", "background_df", "score", F.lit("learned_unknown").alias("source")))
     order = F.lit(99)
     for i, c in enumerate(vocabulary):
@@ -379,7 +394,7 @@ def pmi_phrases(df: DataFrame, body: Column | None = None, key: str = "job_id",
     many texts is dropped; longer phrases reach their fragments by an equi join.
     """
     quotes = F.transform(sections(), lambda s: s["quote"]) if body is None else F.split(body, r"[。；;\n.]")
-    seqs = df.select(F.col(key).alias("_key"), F.explode(quotes).alias("q")).select("_key", F.regexp_extract_all(F.lower(halfwidth("q")), F.lit("[a-z0-9]+|[一-鿿]{2}"), 0).alias("w"))
+    seqs = df.select(F.col(key).alias("_key"), F.explode(quotes).alias("q")).select("_key", F.regexp_extract_all(cjk_pairs(F.lower(halfwidth("q"))), F.lit("[a-z0-9]+|[一-鿿]{2}"), 0).alias("w"))
     seqs = seqs.filter(F.size("w") > 0)
     size = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(n - 1)), _slice(n))).otherwise(F.array().cast("array<array<string>>"))
     grams = seqs.select("_key", F.explode(F.concat(size(2), size(3))).alias("parts")).filter(F.length(F.array_join("parts", " ")).between(3, 28))

@@ -35,8 +35,11 @@ def count_by(df: DataFrame, c: str | Column, k: int | None = None, other: str |
 
 def quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (), digits: int = 2) -> DataFrame:
     """exact interpolated quantiles of the finite values per group."""
-    fine = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")))
-    return fine.groupBy(*by).agg(F.count(c).alias("n"), *[rnd(F.percentile(c, p), digits).alias(f"p{round(p * 100)}") for p in ps])
+    # Finite values are picked inside the aggregate: a filter would be pushed down to the scan and compute the value again for every row there.
+    v = F.col(c).cast("double")
+    fine = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    out = df.groupBy(*by).agg(F.count(fine).alias("n"), F.percentile(fine, F.array(*[F.lit(float(p)) for p in ps])).alias("_ps")).filter("n > 0")
+    return out.select(*by, "n", *[rnd(F.get("_ps", F.lit(i)), digits).alias(f"p{round(p * 100)}") for i, p in enumerate(ps)])
 
 
 def quantiles_by_position(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (), digits: int = 2) -> DataFrame:

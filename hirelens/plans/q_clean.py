@@ -179,20 +179,25 @@ def b19(spark, sf):
     return out.groupBy(F.split_part("posting_key", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seq") % 1000).alias("mark"))
 
 
-@query("B20_dedupe_interviews", with_(CONV) + """, t AS (SELECT id, created_at, CASE WHEN role_key<>'user' AND length(content)>=80 THEN role_key||substr(title,1,1)||substr(content,3,1) ELSE 'id:'||id END AS k FROM conv)
-SELECT id, count(*) OVER (PARTITION BY k) - 1 AS duplicate_count FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY created_at, id)=1""")
+# Documents as posts: their exact copies are the duplicates.
+POSTS = """posts AS MATERIALIZED (SELECT CAST(doc_id AS VARCHAR) AS id, lang AS role_key, split_part(text, chr(10), 1) AS title, text AS content, doc_id AS created_at FROM documents),
+ t AS (SELECT id, created_at, CASE WHEN role_key<>'de' AND length(content)>=80 THEN role_key||chr(1)||title||chr(1)||content ELSE 'id:'||id END AS k FROM posts)"""
+
+
+def document_posts(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("role_key"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"),
+                    F.col("doc_id").alias("created_at"), F.when(F.col("lang") != "de", "detail").otherwise("list").alias("content_status"))
+
+
+@query("B20_dedupe_interviews", with_(POSTS) + "SELECT id, count(*) OVER (PARTITION BY k) - 1 AS duplicate_count FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY created_at, id)=1")
 def b20(spark, sf):
-    c = conversation_posts(spark, sf).withColumns({
-        "content_status": F.when(F.col("role_key") != "user", "detail").otherwise("list"), "title": F.substring("title", 1, 1), "content_hash": F.substring("content", 3, 1)})
-    return clean.dedupe_interviews(c)[0].select("id", "duplicate_count")
+    return clean.dedupe_interviews(document_posts(spark, sf))[0].select("id", "duplicate_count")
 
 
-@query("B20_interview_duplicates", with_(CONV) + """, t AS (SELECT id, created_at, CASE WHEN role_key<>'user' AND length(content)>=80 THEN role_key||substr(title,1,1)||substr(content,3,1) ELSE 'id:'||id END AS k FROM conv)
-SELECT kept_id, id AS duplicate_id FROM (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at, id) AS kept_id FROM t) WHERE id<>kept_id""")
+@query("B20_interview_duplicates", with_(POSTS) + "SELECT kept_id, id AS duplicate_id FROM (SELECT id, first_value(id) OVER (PARTITION BY k ORDER BY created_at, id) AS kept_id FROM t) WHERE id<>kept_id")
 def b20d(spark, sf):
-    c = conversation_posts(spark, sf).withColumns({
-        "content_status": F.when(F.col("role_key") != "user", "detail").otherwise("list"), "title": F.substring("title", 1, 1), "content_hash": F.substring("content", 3, 1)})
-    return clean.dedupe_interviews(c)[1]
+    return clean.dedupe_interviews(document_posts(spark, sf))[1]
 
 
 @query("B20_interview_sources", with_(CONV) + r""", t AS (SELECT *, regexp_extract(id,'^\d+',0) AS url, regexp_replace(lower(content),'[\s\x{3000}\x{00a0}]','','g') AS norm FROM conv QUALIFY row_number() OVER (PARTITION BY regexp_extract(id,'^\d+',0) ORDER BY CAST(created_at AS VARCHAR) DESC, id)=1),
@@ -202,11 +207,10 @@ def b20s(spark, sf):
     return clean.dedupe_interview_sources(c).select("id", "url", "duplicate_count")
 
 
-@query("B21_question_set_dedupe", with_(CONV) + r""", t AS (SELECT id, created_at, list_sort(list_distinct(list_transform(str_split(content, ' '), lambda w: lower(substr(w,1,1))))) AS ks FROM conv),
- k AS (SELECT *, CASE WHEN len(ks)>=5 THEN array_to_string(ks, chr(10)) ELSE 'post:'||id END AS g FROM t) SELECT id FROM k QUALIFY row_number() OVER (PARTITION BY g ORDER BY created_at, id)=1""")
+@query("B21_question_set_dedupe", r"""WITH q AS (SELECT doc_id, list_sort(list_distinct(list_transform(str_split(text, chr(10)), lambda l: regexp_replace(regexp_replace(lower(regexp_replace(l,'[\s\x{3000}\x{00a0}]','','g')), '^(?:\d{1,3}[.、)）]|[-*•]|问[:：])+', ''), '[，。？?！!、:：；;“”"''()（）]', '', 'g')))) AS ks FROM documents),
+ k AS (SELECT doc_id, CASE WHEN len(ks)>=5 THEN array_to_string(ks, chr(10)) ELSE 'post:'||doc_id END AS g FROM q) SELECT CAST(doc_id AS VARCHAR) AS id FROM k QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id)=1""")
 def b21(spark, sf):
-    c = conversation_posts(spark, sf).withColumn("questions", F.transform(F.split("content", " "), lambda w: F.substring(w, 1, 1)))
-    return clean.question_set_dedupe(c).select("id")
+    return clean.question_set_dedupe(document_posts(spark, sf).withColumn("questions", F.split("content", "\n"))).select("id")
 
 
 @query("B22_near_duplicate_groups")
@@ -232,9 +236,9 @@ def b23(spark, sf):
     return near.gram_overlap_filter(d.filter("company_name <> 'src0'"), d.filter("company_name = 'src0'")).select("job_id")
 
 
-@query("B24_remove_conflicting_labels", r"""WITH t AS (SELECT doc_id, lang, CASE WHEN quality=1 AND toxic=0 THEN 'include' ELSE 'exclude' END AS label, lower(substr(regexp_replace(text,'[\s\x{3000}\x{00a0}]','','g'),1,3)) AS b FROM documents JOIN labels USING (doc_id))
+@query("B24_remove_conflicting_labels", r"""WITH t AS (SELECT doc_id, lang, CASE WHEN quality=1 AND toxic=0 THEN 'include' ELSE 'exclude' END AS label, lower(regexp_replace(text,'[\s\x{3000}\x{00a0}]','','g')) AS b FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, lang, label FROM t WHERE (lang,b) IN (SELECT lang,b FROM t GROUP BY lang,b HAVING count(DISTINCT label)=1) QUALIFY row_number() OVER (PARTITION BY lang,b ORDER BY doc_id)=1""")
 def b24(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    d = d.withColumns({"label": F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "include").otherwise("exclude"), "body": F.substring(clean.compact("text"), 1, 3)})
+    d = d.withColumns({"label": F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "include").otherwise("exclude"), "body": F.col("text")})
     return clean.remove_conflicting_labels(d, group=["lang"], order="doc_id").select("doc_id", "lang", "label")

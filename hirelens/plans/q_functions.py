@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelens.core import rnd
+from hirelens.core import SPACE, rnd
 from hirelens.functions import groups, labels, salary, text
 from hirelens.plans.registry import query
 from hirelens.plans.views import CONV, DOCP, P_LEAN, R, SALARY, _cycle, conversation_posts, doc_postings, postings, table, with_
@@ -189,12 +189,12 @@ def c19(spark, sf):
 
 
 @query("C20_tokenize", r"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9+#.-]*|[一-鿿]{2}'))) AS INT) AS terms, CAST(len(w) AS INT) AS words,
- CAST((SELECT count(*) FROM (SELECT unnest(range(1, len(w))) AS i) WHERE length(w[i])+length(w[i+1])<=12) + (SELECT count(*) FROM (SELECT unnest(range(1, len(w)-1)) AS i) WHERE length(w[i])+length(w[i+1])+length(w[i+2])<=12) AS INT) AS phrases,
+ CAST((SELECT count(*) FROM (SELECT unnest(range(1, len(w))) AS i) WHERE length(w[i])+length(w[i+1])<=12 AND contains(flat, w[i]||w[i+1])) + (SELECT count(*) FROM (SELECT unnest(range(1, len(w)-1)) AS i) WHERE length(w[i])+length(w[i+1])+length(w[i+2])<=12 AND contains(flat, w[i]||w[i+1]||w[i+2])) AS INT) AS phrases,
  CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9_+#.-]*|[一-鿿]+|\d+(?:\.\d+)?'), lambda x: length(x)>1 OR x IN ('c','r'))) AS INT) AS mixed
- FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2}'), lambda x: length(x)>=2 AND NOT regexp_matches(x,'^\d+$')) AS w FROM documents)""")
+ FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2}'), lambda x: length(x)>=2 AND NOT regexp_matches(x,'^\d+$')) AS w, regexp_replace(lower(text),'[\s\x{3000}\x{00a0}]','','g') AS flat FROM documents)""")
 def c20(spark, sf):
     d = table(spark, sf, "documents").withColumn("w", text.tokens("text", "words"))
-    return d.select("doc_id", F.size(text.tokens("text")).alias("terms"), F.size("w").alias("words"), F.size(text.phrases(F.col("w"))).alias("phrases"), F.size(text.tokens("text", "mixed")).alias("mixed"))
+    return d.select("doc_id", F.size(text.tokens("text")).alias("terms"), F.size("w").alias("words"), F.size(text.phrases(F.col("w"), F.lower(F.regexp_replace("text", SPACE, "")))).alias("phrases"), F.size(text.tokens("text", "mixed")).alias("mixed"))
 
 
 @query("C21_text_windows", """SELECT doc_id, CAST(greatest(ceil((length(text)-350)/310.0),0)+1 AS BIGINT) AS n, length(text) AS last_end FROM documents""")

@@ -12,9 +12,10 @@ from hirelens.plans.registry import query
 from hirelens.plans.views import DOCP, P_LEAN, R, doc_postings, postings, table, with_
 
 # Words and 2 to 3 word phrases of each document, as in the operator.
-TERMS = r"""w AS MATERIALIZED (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2}'), lambda x: length(x)>=2 AND NOT regexp_matches(x,'^\d+$')) AS w FROM documents),
+TERMS = r"""w AS MATERIALIZED (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2}'), lambda x: length(x)>=2 AND NOT regexp_matches(x,'^\d+$') AND x NOT IN ('ai','aigc')) AS w FROM documents),
+ cl AS MATERIALIZED (SELECT doc_id, regexp_replace(lower(text),'[\s\x{3000}\x{00a0}]','','g') AS flat FROM documents),
  wr AS MATERIALIZED (SELECT doc_id, lang, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM (SELECT doc_id, lang, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
- tm AS MATERIALIZED (SELECT doc_id, lang, a AS term FROM wr UNION SELECT doc_id, lang, a||b FROM wr WHERE length(a||b)<=12 UNION SELECT doc_id, lang, a||b||c FROM wr WHERE length(a||b||c)<=12),
+ tm AS MATERIALIZED (SELECT doc_id, lang, a AS term FROM wr UNION SELECT doc_id, lang, a||b FROM wr JOIN cl USING (doc_id) WHERE length(a||b)<=12 AND contains(flat, a||b) UNION SELECT doc_id, lang, a||b||c FROM wr JOIN cl USING (doc_id) WHERE length(a||b||c)<=12 AND contains(flat, a||b||c)),
  sd AS (SELECT term, count(*) AS seed_df FROM tm WHERE lang='fr' GROUP BY 1 HAVING count(*)>=2), ns AS (SELECT count(*) FILTER (lang='fr') AS s, count(*) FILTER (lang<>'fr') AS o, count(*) AS n FROM documents)"""
 
 
@@ -39,7 +40,7 @@ def i2(spark, sf):
 
 @query("I3_textrank_keywords")
 def i3(spark, sf):
-    return mining.textrank_keywords(term_docs(spark, sf).filter("lang = 'fr'"), 50, rounds=40).select("term", "seed_df", "score", "rank")
+    return mining.textrank_keywords(term_docs(spark, sf).filter("lang = 'fr'")).select("term", "seed_df", "score", "rank")
 
 
 @query("I4_learn_role_keywords")
@@ -115,7 +116,7 @@ def i10c(spark, sf):
 
 @query("I11_phrase_cloud")
 def i11(spark, sf):
-    return mining.phrase_cloud(doc_postings(spark, sf), F.col("platform") == "fr", 50, 1000, rounds=10)
+    return mining.phrase_cloud(doc_postings(spark, sf), F.col("platform") == "fr")
 
 
 VOCAB = {"a": ["the", "that"], "b": ["é", "à"], "c": ["ü"]}

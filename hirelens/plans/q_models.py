@@ -23,7 +23,7 @@ def labelled(spark, sf):
 
 
 def trained(spark, sf):
-    return models.train_text_classifier(labelled(spark, sf), body="input_text", cs=(1.0,), balances=(False, True), thresholds=(0.3, 0.5, 0.7), iterations=20, vocabulary=3000)
+    return models.train_text_classifier(labelled(spark, sf), body="input_text")
 
 
 @query("J1_train_text_classifier")
@@ -34,9 +34,8 @@ def j1(spark, sf):
 @query("J2_score_text_classifier")
 def j2(spark, sf):
     d = labelled(spark, sf)
-    grams = d.filter("split = 'train'").select(F.explode(F.array_distinct(text.char_grams(F.lower("input_text"), 2, 4))).alias("term"), (F.col("label") == "include").cast("int").alias("y")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
-    terms = grams.orderBy(F.col("n").desc(), "term").limit(2000).select("term", F.lit(1.0).alias("idf"), (F.col("p") / F.col("n") - 0.15).alias("coef"))
-    out = models.score_text_classifier(d, terms, -0.1, 0.5)
+    m = trained(spark, sf)
+    out = models.score_text_classifier(d, m["terms"], m["intercept"], m["threshold"])
     return out.select("job_id", rnd("score", 6).alias("score"), "decision", "matched_features")
 
 
@@ -65,7 +64,7 @@ def j5(spark, sf):
 
 @query("J6_discover_clusters")
 def j6(spark, sf):
-    _, cards = models.discover_clusters(doc_postings(spark, sf), k=8, vocabulary=2000)
+    _, cards = models.discover_clusters(doc_postings(spark, sf))
     return cards.select("cluster", "n", rnd("share", 4).alias("share"), F.array_join("terms", "|").alias("terms"))
 
 
@@ -114,20 +113,19 @@ def j10(spark, sf):
 def j11(spark, sf):
     df = usable(spark, sf)
     spec = models.salary_feature_spec(df)
-    _, predict = models.boosted_salary(df, spec, rounds=10)
+    _, predict = models.boosted_salary(df, spec)
     p = predict(df).select("employment_type", F.col("salary_midpoint_k").alias("actual"), F.exp("log_prediction").alias("predicted"))
     return models.regression_metrics(p, ["employment_type"])
 
 
 @query("J12_salary_model_select")
 def j12(spark, sf):
-    few = [c for c in models.CANDIDATES if c[0] in ("profile", "additive", "monotone")]
-    return models.salary_model_select(jobs(spark, sf), few, day="day")["metrics"]
+    return models.salary_model_select(jobs(spark, sf), day="day")["metrics"]
 
 
 @query("J13_skill_increments")
 def j13(spark, sf):
-    return models.skill_increments(base(spark, sf), penalties=(2, 10))["effects"]
+    return models.skill_increments(base(spark, sf))["effects"]
 
 
 @query("J14_regression_metrics", with_(P_LEAN, SAL, U) + f"""SELECT city, count(*) AS rows, {R('avg(abs(mk-20))',3)} AS mae_k, {R('avg(abs(mk-20)/greatest(mk,1))',3)} AS mape, {R('1-sum((mk-20)*(mk-20))/greatest(var_pop(mk)*count(*),1e-9)',3)} AS r2 FROM u WHERE mk BETWEEN 3 AND 200 GROUP BY 1""")

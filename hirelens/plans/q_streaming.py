@@ -12,6 +12,16 @@ from hirelens.streaming import operators as st
 from hirelens.streaming.tables import BucketTable
 
 
+def drained(spark, changes, mode):
+    """Run a stream over what is there and read its output back from files."""
+    path = scratch(spark)
+
+    def each(batch, _):
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    changes.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(path)
+
+
 def as_stream(spark, df, files=3):
     path = scratch(spark)
     df.repartition(files).write.parquet(path)
@@ -56,10 +66,7 @@ def k4(spark, sf):
 @query("K5_channel_ingestion", "SELECT event_type AS platform, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ingested_at, CAST(sum(user_id) AS BIGINT) AS inserted_rows, count(*) AS updated_rows FROM events GROUP BY 1")
 def k5(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("platform"), F.col("ts").alias("ingested_at"), F.col("user_id").alias("inserted"), F.lit(1).alias("updated"))
-    name = "k5_" + scratch(spark)[-8:]
-    q = st.channel_ingestion(as_stream(spark, e)).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("last_ingested_at", F.date_format("last_ingested_at", "yyyy-MM-dd HH:mm:ss"))
+    return drained(spark, st.channel_ingestion(as_stream(spark, e)), "complete").withColumn("last_ingested_at", F.date_format("last_ingested_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("K6_channel_health", "SELECT CAST(user_id AS VARCHAR) AS platform, CASE WHEN user_id % 5 = 0 THEN 'blocked' WHEN user_id % 5 = 1 THEN 'completed' WHEN epoch(TIMESTAMP '2024-01-30 23:57:00')-epoch(max(ts)) >= 600 THEN 'lost' WHEN epoch(TIMESTAMP '2024-01-30 23:57:00')-epoch(max(ts)) >= 120 THEN 'delayed' ELSE 'healthy' END AS health FROM events GROUP BY user_id HAVING max(ts) <= TIMESTAMP '2024-01-30 23:57:30'")
@@ -75,10 +82,7 @@ def k6(spark, sf):
 @query("K6_health_stream")
 def k6s(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("platform"), F.col("ts").cast("timestamp").alias("ts"))
-    name = "k6_" + scratch(spark)[-8:]
-    q = st.channel_health_stream(as_stream(spark, e)).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("platform").agg(F.max_by("health", "at").alias("health"))
+    return drained(spark, st.channel_health_stream(as_stream(spark, e)), "append").groupBy("platform").agg(F.max_by("health", "at").alias("health"))
 
 
 PAGES = "pg AS MATERIALIZED (SELECT event_type AS channel, event_id // 40 AS page_at, list(CAST(user_id AS VARCHAR)) AS ids FROM events GROUP BY 1,2)"
@@ -90,9 +94,9 @@ def pages(spark, sf):
 
 
 @query("K7_low_yield_window", with_(PAGES) + """, f AS (SELECT channel, page_at, count(*) AS added FROM (SELECT channel, id, min(page_at) AS page_at FROM (SELECT channel, page_at, unnest(ids) AS id FROM pg) GROUP BY 1,2) GROUP BY 1,2), b AS (SELECT pg.channel, pg.page_at, len(ids) AS records, coalesce(added,0) AS added FROM pg LEFT JOIN f USING (channel, page_at)),
- w AS (SELECT channel, page_at, CAST(sum(records) OVER x AS BIGINT) AS window_records, CAST(sum(added) OVER x AS BIGINT) AS window_new, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY channel ORDER BY page_at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT channel, page_at, window_records, window_new, n>=5 AND window_records>=30 AND window_new<=0 AS defer FROM w""")
+ w AS (SELECT channel, page_at, CAST(sum(records) OVER x AS BIGINT) AS window_records, CAST(sum(added) OVER x AS BIGINT) AS window_new, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY channel ORDER BY page_at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT channel, page_at, window_records, window_new, n>=5 AND window_records>=100 AND window_new<=0 AS defer FROM w""")
 def k7(spark, sf):
-    return st.low_yield_window(pages(spark, sf), least_records=30).select("channel", "page_at", "window_records", "window_new", "defer")
+    return st.low_yield_window(pages(spark, sf)).select("channel", "page_at", "window_records", "window_new", "defer")
 
 
 @query("K8_repeated_page", """WITH p AS (SELECT o_custkey AS condition, year(o_orderdate) AS scan, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS page, o_orderstatus AS sig FROM orders)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hirelens.core import filled, first_per_key, position_within, text
 from hirelens.operators.clean import meaningful_change, merge_postings
-from hirelens.streaming.tables import BucketTable
+from hirelens.streaming.tables import BucketTable, exists
 
 
 def pin_snapshot(df: DataFrame, path: str, snapshot_id: str, revision: int) -> DataFrame:
@@ -51,10 +51,7 @@ def publish_if_changed(df: DataFrame, path: str, task_id: str, version: int) ->
     """K3: write a new version and its manifest row unless the content equals the published one."""
     spark = df.sparkSession
     now = dataset_hash(df).collect()[0]
-    try:
-        last = spark.read.json(f"{path}/manifest").orderBy(F.col("version").desc()).limit(1).collect()
-    except AnalysisException:
-        last = []
+    last = spark.read.json(f"{path}/manifest").orderBy(F.col("version").desc()).limit(1).collect() if exists(spark, f"{path}/manifest") else []
     if last and last[0]["task_id"] != task_id:
         raise ValueError("manifest belongs to another task")
     if last and last[0]["hash"] == now["hash"]:
@@ -83,12 +80,12 @@ def stream_ingest(stream: DataFrame, table: BucketTable, checkpoint: str, change
                 seen["old"] = current
                 return out
 
-            if changes and not table.committed(batch_id):
+            if changes and not table.committed(batch_id, checkpoint):
                 old = table.read()
                 fresh = merge_postings(None if old is None else old.join(rows.select("platform", "job_id").distinct(), ["platform", "job_id"], "left_semi"), rows)
                 before = old if old is not None else fresh.limit(0)
-                meaningful_change(before, fresh, ignore=["seq"]).write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
-            table.merge(rows, batch_id, merge)
+                meaningful_change(before, fresh, ignore=["seq"]).write.mode("overwrite").parquet(f"{changes}/batch={zlib.crc32(checkpoint.encode())}-{batch_id}")
+            table.merge(rows, batch_id, merge, checkpoint)
         finally:
             rows.unpersist()
 
@@ -202,7 +199,7 @@ def incremental_classify(stream: DataFrame, cache: BucketTable, classify: Callab
                 return done
             return current.drop("bucket").join(done.select("job_key"), "job_key", "left_anti").unionByName(done)
 
-        cache.merge(first_per_key(batch, ["job_key"], [F.col("seq").desc()]), batch_id, merge)
+        cache.merge(first_per_key(batch, ["job_key"], [F.col("seq").desc()]), batch_id, merge, checkpoint)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,34 +1,39 @@
 """A keyed parquet table that batches can merge into: key buckets, versions, commit records.
 
 Parquet has no merge. A batch rewrites only the buckets its keys fall in, under a folder
-of its own version, and becomes visible by one commit record naming those buckets. A
-batch that is run again finds its commit, or overwrites its own unfinished folder.
+of its own version, and becomes visible by one commit record that names the stream, its
+batch and those buckets. A batch that is run again finds its commit, or overwrites its own
+unfinished folder; another stream, or a new checkpoint, has batch numbers of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMIT = "version long, buckets array<int>"
+COMMIT = "stream string, batch long, version long, buckets array<int>"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; any other trouble with it stays an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 32):
+        """`buckets` is part of the table: choose it so that a bucket is a few hundred MB at the size to come."""
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
 
     def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(COMMIT).json(f"{self.path}/commits")
-        except AnalysisException:
-            return None
+        folder = f"{self.path}/commits"
+        return self.spark.read.schema(COMMIT).json(folder) if exists(self.spark, folder) else None
 
-    def committed(self, version: int) -> bool:
+    def committed(self, batch: int, stream: str = "") -> bool:
         c = self._commits()
-        return c is not None and c.filter(F.col("version") == version).limit(1).count() > 0
+        return c is not None and not c.filter((F.col("batch") == batch) & (F.col("stream") == stream)).isEmpty()
 
     def read(self, buckets: Sequence[int] | None = None) -> DataFrame | None:
         """Newest state of all or some buckets; the manifest has one row per bucket."""
@@ -39,15 +44,18 @@ class BucketTable:
         paths = [f"{self.path}/data/version={r['v']}/bucket={r['b']}" for r in newest if buckets is None or r["b"] in set(buckets)]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def merge(self, batch: DataFrame, version: int, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> bool:
-        """Merge a batch as this version; False if it was merged before."""
-        if self.committed(version):
+    def merge(self, rows: DataFrame, batch: int, merge: Callable[[DataFrame | None, DataFrame], DataFrame], stream: str = "") -> bool:
+        """Merge a batch of a stream as the next version; False if it was merged before."""
+        if self.committed(batch, stream):
             return False
+        c = self._commits()
+        last = None if c is None else c.agg(F.max("version")).first()[0]
+        version = 0 if last is None else last + 1
         bucket = F.pmod(F.hash(*self.keys), F.lit(self.buckets)).alias("bucket")
-        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())
         if touched:
-            out = merge(self.read(touched), batch)
-            out.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
-        record = self.spark.createDataFrame([(version, [int(b) for b in touched])], COMMIT)
+            out = merge(self.read(touched), rows).withColumn("bucket", bucket)
+            out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        record = self.spark.createDataFrame([(stream, batch, version, [int(b) for b in touched])], COMMIT)
         record.coalesce(1).write.mode("append").json(f"{self.path}/commits")
         return True

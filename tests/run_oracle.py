@@ -11,7 +11,7 @@ from tests.oracle import compare, connect  # noqa: E402
 
 if __name__ == "__main__":
     sf = os.environ.get("SF", "/root/testdata/sf0.01")
-    spark = get_session(cores=8, shuffle=8)
+    spark = get_session(cores=int(os.environ.get("CORES", "8")), shuffle=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracle = entry.oracle_sql()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelens.core import hot_key_join, position_within
-from hirelens.operators import clean, models, near, sample, stats
+from hirelens.operators import clean, mining, models, near, sample, stats
 from hirelens.streaming.operators import stream_ingest
 from hirelens.streaming.tables import BucketTable
 
@@ -152,7 +152,43 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert first == {(r["job_id"], r["city"]) for r in clean.merge_postings(None, df).collect()} and len(first) == 20
     assert run() == first and table.read().count() == 20
     assert spark.read.parquet(str(tmp_path / "changes")).agg(F.sum("inserted"), F.sum("updated")).collect()[0] == (20, 40)
-    assert not table.merge(df, 0, lambda a, b: b)
+    assert not table.merge(df, 0, lambda a, b: b, str(tmp_path / "c"))
+
+
+def test_two_streams_on_one_table_lose_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("p", str(i), i, f"c{i}", "") for i in range(40)], "platform string, job_id string, seq long, city string, query_keyword string")
+    table = BucketTable(spark, str(tmp_path / "t"), ["platform", "job_id"], 4)
+    for name, low in (("a", 0), ("b", 20), ("a", 0)):
+        src = str(tmp_path / name)
+        df.filter((F.col("seq") >= low) & (F.col("seq") < low + 20)).coalesce(1).write.mode("overwrite").parquet(src)
+        stream_ingest(spark.readStream.schema(df.schema).parquet(src), table, str(tmp_path / f"check-{name}")).awaitTermination()
+    assert {r["job_id"] for r in table.read().collect()} == {str(i) for i in range(40)}
+
+
+def test_every_keyword_is_matched(spark):
+    words = [f"w{i:04d}q" for i in range(2300)]
+    df = spark.createDataFrame([(1, " ".join(words))], "seq long, body string")
+    kw = spark.createDataFrame([(w,) for w in words], "term string")
+    hits = mining.match_keywords(df, kw, 2, F.col("body")).first()["keyword_hits"]
+    assert sorted(hits) == words
+
+
+@pytest.mark.parametrize("each", [7, 1000])
+def test_positions_at_any_number_of_ranges(spark, each):
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 == 0, None).otherwise(F.lit("x")).alias("h"))
+    out = position_within(df.repartition(5), [("id", False)], ["g", "h"], rows_each=each)
+    seen = {}
+    for r in sorted(out.collect(), key=lambda r: -r["id"]):
+        seen[r["g"], r["h"]] = seen.get((r["g"], r["h"]), 0) + 1
+        assert r["position"] == seen[r["g"], r["h"]]
+
+
+def test_overlapping_pairs_and_phrases_in_the_text(spark):
+    df = spark.createDataFrame([("大数据分析",), ("数据分析",), ("使用Java 和 Python做开发",)], "t string")
+    rows = mining.term_documents(df, F.col("t"), stop=()).select("words", "terms").collect()
+    assert set(rows[0]["words"]) >= {"大数", "数据", "据分", "分析"} and {"数据", "分析", "数据分"} <= set(rows[0]["terms"]) & set(rows[1]["terms"])
+    assert "javapython" not in rows[2]["terms"] and "java" in rows[2]["terms"]
+    assert "开发" not in mining.term_documents(df, F.col("t")).collect()[2]["words"]
 
 
 def test_ridge_recovers_a_plain_effect(spark):
