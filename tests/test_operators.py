@@ -28,7 +28,7 @@ def test_merge_does_not_depend_on_partitioning(spark, parts):
 
 def test_positions_are_exact_under_skew(spark):
     df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("v"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"))
-    got = position_within(df, [("v", False)], ["g"], buckets=16).toPandas()
+    got = position_within(df, [("v", False)], ["g"], rows_each=1250).toPandas()
     for _, part in got.groupby("g"):
         assert list(part.sort_values("v", ascending=False)["position"]) == list(range(1, len(part) + 1))
 
