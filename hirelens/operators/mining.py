@@ -191,16 +191,19 @@ def strict_seed(title: str = "job_name") -> Column:
     return t.rlike(r"(?i)(?:AI|AIGC)\s*(?:短剧|漫剧)|漫剧") & creative & ~t.rlike(EXCLUDED_TITLE) & (F.size(production_evidence(strict=True)) > 0)
 
 
-def learn_seed_model(df: DataFrame, groups: DataFrame, seed: Column, algorithm: str = "tfidf", k: int = 40, most_seeds: int = 32, node: str = "job_id", rounds: int = 40) -> DataFrame:
-    """Keywords from one seed per duplicate group of the 60% training groups.
+def learn_seed_model(df: DataFrame, groups: DataFrame, seed: Column, algorithm: str = "tfidf", k: int = 40, most_seeds: int = 32, node: str = "job_id", rounds: int = 40, least_seeds: int = 5) -> DataFrame:
+    """Keywords from one seed per duplicate group of the 60% training groups; none from fewer than `least_seeds` seeds.
 
-    groups: (node, group) of B22, built without looking at labels.
+    groups: (node, group) of B22, built without looking at labels. The model is fitted on at
+    most `most_seeds` seeds, those with the smallest hash of their body.
     """
     docs = term_documents(df.join(groups, node)).withColumn("_seed", seed)
     train = docs.filter(hash_bucket("group", 10) < 6)
     order = F.sha2(match_key("job_description", True), 256)
     seeds = first_per_key(train.filter("_seed").withColumn("_o", order), ["group"], [F.col("_o"), F.col(node)])
     seeds = cut_lineage(seeds.orderBy("_o", node).limit(most_seeds).drop("_o"))
+    if seeds.count() < least_seeds:
+        seeds = seeds.limit(0)
     if algorithm == "tfidf":
         return tfidf_keywords(seeds, train, k)
     if algorithm == "textrank":

@@ -67,8 +67,8 @@ def i6(spark, sf):
 @query("I7_seed_model")
 def i7(spark, sf):
     d = doc_postings(spark, sf)
-    groups = near.near_duplicate_groups(d, keys=["company_name"], threshold=None)
-    kw = mining.learn_seed_model(d, groups, F.col("job_name").rlike("(?i)ring|rod"))
+    groups = near.near_duplicate_groups(d, threshold=None)
+    kw = mining.learn_seed_model(d, groups, F.col("platform") == "fr")
     return kw.select("term", "seed_df", "score", "rank")
 
 
