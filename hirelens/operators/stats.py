@@ -33,6 +33,12 @@ def count_by(df: DataFrame, c: str | Column, k: int | None = None, other: str |
     return top.unionByName(rest.select(F.lit(other).alias("name"), "n", F.lit(k + 1).alias("rank")))
 
 
+def quartile(c: str | Column, p: float) -> Column:
+    """One of the three quartiles; all that ask for one of a column share a single buffer of its values."""
+    points = (0.25, 0.5, 0.75)
+    return F.get(F.percentile(c, F.array(*map(F.lit, points))), F.lit(points.index(p)))
+
+
 def quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (), digits: int = 2) -> DataFrame:
     """exact interpolated quantiles of the finite values per group."""
     # Finite values are picked inside the aggregate: a filter would be pushed down to the scan and compute the value again for every row there.
@@ -79,7 +85,7 @@ def salary_group_stats(df: DataFrame, by: Sequence[str], small: int = 5) -> Data
     is known to be small.
     """
     rows = df.filter("pay is not null")
-    p = lambda q: F.percentile("pay.midpoint", q)
+    p = lambda q: quartile("pay.midpoint", q)
     agg = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), p(0.5).alias("median"), F.min("pay.min").alias("quote_min"), F.max("pay.max").alias("quote_max"),
         p(0.25).alias("p25"), p(0.75).alias("p75"), F.count_if("pay.period_inferred").alias("period_inferred_rows"))
@@ -118,8 +124,8 @@ def salary_benchmark(df: DataFrame, goal: dict | None = None) -> tuple[DataFrame
                        F.col("pay.midpoint").alias("mid"), F.col("pay.min").alias("lo"), F.col("pay.max").alias("hi"))
     # The NULL role row carries the posting once for the levels above role.
     def level(x: DataFrame, name: str, keys: list[str]) -> DataFrame:
-        g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("mid", 0.5).alias("median"), F.percentile("mid", 0.25).alias("p25"),
-                                 F.percentile("mid", 0.75).alias("p75"), F.min("lo").alias("quote_min"), F.max("hi").alias("quote_max"))
+        g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), quartile("mid", 0.5).alias("median"), quartile("mid", 0.25).alias("p25"),
+                                 quartile("mid", 0.75).alias("p75"), F.min("lo").alias("quote_min"), F.max("hi").alias("quote_max"))
         extra = [F.lit(None).cast("string").alias(c) for c in ("city", "role") if c not in keys]
         return g.select(F.lit(name).alias("level"), "period", *[c for c in keys if c != "period"], *extra, "n", "median", "p25", "p75", "quote_min", "quote_max")
 
@@ -132,7 +138,7 @@ def salary_benchmark(df: DataFrame, goal: dict | None = None) -> tuple[DataFrame
 def benchmark_by_field(df: DataFrame, field: str, least: int = 5, k: int = 12) -> DataFrame:
     """quartiles per category with enough salaries, the k largest."""
     g = df.groupBy(F.coalesce(value(field), F.lit(UNKNOWN)).alias("name")).agg(
-        F.count(K).alias("salary_count"), *[rnd(F.percentile(K, p), 1).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))])
+        F.count(K).alias("salary_count"), *[rnd(quartile(K, p), 1).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))])
     return top_rows(g.filter(F.col("salary_count") >= least), [F.col("salary_count").desc(), F.col("median").desc(), F.col("name")], k)
 
 
@@ -145,7 +151,7 @@ def _cohort_columns() -> list[Column]:
     v = F.when(usable_salary(), F.col(K))
     return [F.count(v).alias("salary_count"), (F.count(F.lit(1)) - F.count(v)).alias("excluded"),
             F.count_if(usable_salary() & (F.col("salary_period") == "day")).alias("converted_daily_count"),
-            rnd(F.percentile(v, 0.5), 2).alias("median"), rnd(F.percentile(v, 0.25), 2).alias("p25"), rnd(F.percentile(v, 0.75), 2).alias("p75"), rnd(F.avg(v), 4).alias("mean")]
+            rnd(quartile(v, 0.5), 2).alias("median"), rnd(quartile(v, 0.25), 2).alias("p25"), rnd(quartile(v, 0.75), 2).alias("p75"), rnd(F.avg(v), 4).alias("mean")]
 
 
 def cohort_salary(df: DataFrame, by: Sequence[str | Column] = ()) -> DataFrame:
@@ -169,7 +175,7 @@ def summarize_cohort(df: DataFrame, by: Sequence[str]) -> DataFrame:
     company = F.when(filled("company_key"), F.col("company_key"))
     known = F.when(filled("company_key") & filled("industry") & ~F.col("industry").rlike("^(未明确|其他|不限|未知)$"), F.col("company_key"))
     g = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count(K).alias("salary_count"), *[rnd(F.percentile(K, p), 2).alias(n) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))],
+        F.count(F.lit(1)).alias("n"), F.count(K).alias("salary_count"), *[rnd(quartile(K, p), 2).alias(n) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))],
         F.count_distinct(company).alias("company_count"), F.count_distinct(known).alias("industry_known_companies"))
     return g.withColumn("industry_coverage", F.coalesce(F.try_divide("industry_known_companies", "company_count"), F.lit(0.0)))
 
@@ -350,7 +356,7 @@ def compare_roles(df: DataFrame, roles: Sequence[str], k: int = 10) -> tuple[Dat
     rows = df.withColumn("role", F.explode("role_families")).filter(F.col("role").isin(*roles))
     usable = F.when(usable_salary(), F.col(K))
     stats = rows.groupBy("role").agg(
-        F.count(F.lit(1)).alias("matched_jobs"), F.count(usable).alias("valid_salary_rows"), *[rnd(F.percentile(usable, p), 2).alias(n) for n, p in (("median_salary_k", 0.5), ("p25_salary_k", 0.25), ("p75_salary_k", 0.75))],
+        F.count(F.lit(1)).alias("matched_jobs"), F.count(usable).alias("valid_salary_rows"), *[rnd(quartile(usable, p), 2).alias(n) for n, p in (("median_salary_k", 0.5), ("p25_salary_k", 0.25), ("p75_salary_k", 0.75))],
         F.array_join(F.array_sort(F.collect_set("platform")), "|").alias("platforms"))
     skills = rows.select("role", F.explode(F.array_distinct("skills")).alias("name")).groupBy("role", "name").agg(F.count(F.lit(1)).alias("n"))
     return stats, first_per_key(skills, ["role"], [F.col("n").desc(), F.col("name")], k, "rank")

@@ -19,6 +19,7 @@ def get_session(app: str = "hirelens", cores: str | int = "*", shuffle: int | No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="spark-"))
     )
     if shuffle:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
