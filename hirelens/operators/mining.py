@@ -328,35 +328,65 @@ def clause_evidence(df: DataFrame, vocabulary: Rules, action: str, responsibilit
     return df.withColumn("decision", F.when((F.col("evidence_score") >= 4) & ~conflict, "include").when(F.col("evidence_score") > 0, "review").otherwise("exclude"))
 
 
+# Words that mark a phrase as general talk, words that are too general alone, and fragments of compounds.
+CLOUD_NOISE = ("负责|熟悉|掌握|具备|优先|相关|以上|能够|要求|经验|学历|本科|硕士|博士|沟通|团队|学习能力|责任心|待遇|福利|五险|一金|公司|招聘|工作地点|完成|参与|协助|以及|包括|进行|良好|扎实|至少|不限|精通|熟练|"
+               "了解|理解|主流|skills?|experience|requirements?|responsibilit|proficien|familiar|knowledge|ability|excellent|strong|candidate")
+CLOUD_GENERIC = ("业务|场景|开发|设计|维护|优化|管理|建设|实现|系统|平台|技术|工具|应用|服务|需求|工作|模型|数据|工程|分析|处理|使用|支持|目标|任务|and|the|with|for|from|that|this|you|your|our|are|will|have|"
+                 "must|can|able|work|team|using|use|develop|build|design|implement|maintain|data|model|system|platform|service|development|business")
+CLOUD_FRAGMENT = ("人工|智能|仓库|计算|体系|保障|支撑|性能|标准|机制|结构|稳定|动态|验证|应对|策略|搭建|框架|架构|能力|效率|深度|持续|基础|软件|语言|程序|功能|方法|方向|环节|日常|实际|独立|协作|质量|内容|"
+                  "研发|一门|一种|之一|知识|模块|结合|链路|过程|方式|落地|方案|前沿|规范|准确|及时|专业|计算机|计算机科学|软件工程|ai")
+LATIN_WORD = "[A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*"
+
+
+def _general(term: Column) -> Column:
+    """Noise, or as a whole a general word or a fragment."""
+    return term.rlike(f"(?i){CLOUD_NOISE}") | term.rlike(f"(?i)^(?:{CLOUD_GENERIC}|{CLOUD_FRAGMENT})$")
+
+
 def literal_phrases(body: Column, low: int = 4, high: int = 12) -> Column:
-    """Distinct contiguous two and three word phrases as written."""
+    """Distinct phrases of two and three words with CJK characters, as written."""
     made = let(tokens(body, "words"), lambda w: phrases(w, compact(halfwidth(body)), high))
-    return F.array_distinct(F.filter(made, lambda p: (F.length(p) >= low) & ~p.rlike(r"^\d|\d$")))
+    return F.array_distinct(F.filter(made, lambda p: (F.length(p) >= low) & p.rlike("[一-鿿]") & ~p.rlike(r"^\d|\d$") & ~_general(p)))
 
 
-LATIN_NAME = r"[A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*(?: [A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*){1,2}"
+def latin_names(body: Column, longest: int = 32) -> Column:
+    """Distinct names of one to three latin words with their dots, pluses and slashes, as written."""
+    names = F.concat(*[F.regexp_extract_all(body, F.lit(rf"(?<![A-Za-z0-9.+#/-])(?=({LATIN_WORD}(?:\s+{LATIN_WORD}){{{n}}})(?![A-Za-z0-9.+#/-]))"), 1) for n in range(3)])
+    fit = lambda x: (F.length(x) <= longest) & ~F.exists(F.split(x, r"\s+"), lambda w: (F.length(w) < 2) | _general(w))
+    return F.array_distinct(F.filter(names, fit))
 
 
-def phrase_cloud(df: DataFrame, seed: Column, k: int = 100, ranked: int = 5000, rounds: int = 40) -> DataFrame:
+def phrase_cloud(df: DataFrame, seed: Column, k: int = 100, ranked: int = 5000, rounds: int = 40, least_seeds: int = 5) -> DataFrame:
     """Display phrases of the seeds by fused weight, fragments of equally frequent longer phrases left out.
 
-    The two lists that are fused hold their `ranked` best terms; candidates are not cut.
+    Candidates are the terms, the CJK phrases as written and the latin names; general words
+    are none. The two lists that are fused hold their `ranked` best terms; candidates are
+    not cut. Fewer than `least_seeds` seeds give no phrase.
     """
-    docs = term_documents(df, F.regexp_replace(F.array_join(F.transform(sections(), lambda s: s["quote"]), "\n"), "\n", " "))
+    body = F.regexp_replace(F.array_join(F.transform(sections(), lambda s: s["quote"]), "\n"), "\n", " ")
+    docs = term_documents(df.withColumn("_body", body), F.col("_body"))
     docs = docs.withColumns({"_seed": seed, "_key": F.sha2(F.array_join("words", " "), 256)})
     seeds = first_per_key(docs.filter(F.col("_seed") & (F.size("words") > 0)), ["_key"], [F.col("seq")])
     weights = fuse_keywords([tfidf_keywords(seeds, docs, ranked), textrank_keywords(seeds, ranked, rounds=rounds)], 2 * ranked).select("term", F.col("score").alias("_fused"))
     base = tfidf_keywords(seeds, docs, None)
+    # As written: equal names in different case or spacing are one, shown by their first form.
+    written = lambda d: d.select(F.explode(F.concat(literal_phrases(F.col("_body")), latin_names(F.col("_body")))).alias("name"), "seq").select(compact("name").alias("term"), "name", "seq").groupBy("term", "seq").agg(F.min("name").alias("name"))
+    sw = written(seeds).groupBy("term").agg(F.count(F.lit(1)).alias("seed_df"), F.min("name").alias("name")).join(base.select("term"), "term", "left_anti")
+    bw = written(docs).join(sw.select("term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("background_df"))
+    extra = sw.join(bw, "term").crossJoin(F.broadcast(_sizes(seeds, docs)))
+    extra = extra.withColumn("score", rnd(F.col("seed_df") / F.col("_seeds") * (F.log((F.col("_rows") + 1) / (F.col("background_df") + 1)) + 1), 6))
+    every = base.select("term", F.col("term").alias("name"), "seed_df", "background_df", "score", "_seeds").unionByName(extra.select("term", "name", "seed_df", "background_df", "score", "_seeds"))
     floor = F.greatest(F.lit(2), F.ceil(F.col("_seeds") * 0.005))
-    c = base.filter(F.col("seed_df") >= floor).filter((F.length("term") <= 20) & ~F.col("term").rlike(r"^\d")).join(weights, "term", "left")
+    c = every.filter((F.col("_seeds") >= least_seeds) & (F.col("seed_df") >= floor) & (F.length("term") <= 32) & ~F.col("term").rlike(r"^\d") & ~_general(F.col("term"))).join(weights, "term", "left")
     c = c.withColumn("score", F.col("score") * (1 + 10 * F.coalesce("_fused", F.lit(0.0))) * F.when(F.col("term").rlike("[一-鿿]") & (F.length("term") >= 4), 1.35).otherwise(1.0))
-    c = cut_lineage(c.select("term", "seed_df", "background_df", "score"))
+    c = cut_lineage(c.select("term", "name", "seed_df", "background_df", "score"))
     # Longer candidates are reached through their own contiguous pieces: an equi join.
     o = c.select(F.col("term").alias("longer"), F.col("seed_df").alias("o_df"), F.col("score").alias("o_score"))
     cut = F.flatten(F.transform(F.sequence(F.lit(1), F.length("longer")), lambda i: F.transform(F.sequence(F.lit(1), F.length("longer") - i + 1), lambda n: F.substring(F.col("longer"), i, n))))
     inner = o.select("longer", "o_df", "o_score", F.explode(F.array_distinct(cut)).alias("term")).filter("term <> longer")
     covered = c.join(inner, "term").filter((F.col("o_df") >= F.col("seed_df") * 0.9) & (F.col("o_score") >= F.col("score") * 0.8)).select("term").distinct()
-    return top_rows(c.join(covered, "term", "left_anti"), [rnd("score", 8).desc(), F.col("term")], k, "rank")
+    best = c.join(covered, "term", "left_anti").select(F.col("name").alias("term"), "seed_df", "background_df", "score")
+    return top_rows(best, [rnd("score", 8).desc(), F.col("term")], k, "rank")
 
 
 def category_cloud(df: DataFrame, seed: Column, vocabulary: dict[str, Sequence[str]], k: int = 100, tail: tuple[str, str] | None = None) -> DataFrame:
