@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hirelens.session import checkpoint_dir, cut_lineage
 
 #: Bytes of text that the vectorised code holds at once; a longer text is a slice of its own.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

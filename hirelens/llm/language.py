@@ -17,9 +17,9 @@ _TABLES: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Per code point: is it a letter, and its lower-case form where that is one code point."""
     if not _TABLES:
-        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        lower = (p.lower() for p in points)
-        _TABLES.extend((np.fromiter((p.isalpha() for p in points), bool, 0x110000), np.fromiter((ord(x) if len(x) == 1 else i for i, x in enumerate(lower)), np.uint32, 0x110000)))
+        point = lambda c: " " if 0xD800 <= c < 0xE000 else chr(c)
+        lower = (point(c).lower() for c in range(0x110000))
+        _TABLES.extend((np.fromiter((point(c).isalpha() for c in range(0x110000)), bool, 0x110000), np.fromiter((ord(x) if len(x) == 1 else i for i, x in enumerate(lower)), np.uint32, 0x110000)))
     return _TABLES[0], _TABLES[1]
 
 
