@@ -126,11 +126,12 @@ def b12(spark, sf):
     return second["change"]
 
 
-@query("B13_changed_sources")
+@query("B13_changed_sources", "SELECT url AS path, sha256(html) AS signature FROM pages WHERE url LIKE 'http://%'")
 def b13(spark, sf):
-    listing = clean.source_listing(spark, sf)
-    seen = listing.filter(F.col("path").contains("documents"))
-    return clean.changed_sources(listing, seen).select(F.element_at(F.split("path", "/"), -1).alias("file"), "signature")
+    # Pages as sources: those at plain http addresses were seen with other contents.
+    listing = table(spark, sf, "pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("signature"))
+    seen = listing.withColumn("signature", F.when(F.col("path").startswith("http://"), F.sha2("path", 256)).otherwise(F.col("signature")))
+    return clean.changed_sources(listing, seen)
 
 
 @query("B14_meaningful_change", with_(P_LEAN) + f""", a AS (SELECT * FROM postings WHERE province<>'ASIA' QUALIFY row_number() OVER (PARTITION BY platform, job_id ORDER BY seq)=1),
