@@ -188,8 +188,14 @@ def align(a: list, b: list) -> list:
     return out
 
 
-def _has_main(items: list) -> bool:
-    return any(x[0] != SLOT and (_main(x[0]) or not _never(x[0]) and _has_main(x[2])) for x in items)
+def _has_main(nodes: list) -> bool:
+    """Whether a reader of the page comes to a marked article: not through what is never read."""
+    return any(x[0] != SLOT and (_main(x[0]) or not _skipped(x[0]) and _has_main(x[1])) for x in nodes)
+
+
+def _skipped(key: str) -> bool:
+    """Outside an article a page's header is left out as well."""
+    return _never(key) or key.split(" ")[0] == "header"
 
 
 def _main(key: str) -> bool:
@@ -211,7 +217,7 @@ def read(page: str, wrapper: list | None, single: bool) -> str:
     """The text of the page's slots that the wrapper holds for main text, in page order."""
     root = parse(page)
     whole = wrapper or fold(root[1])[0]
-    marked = _has_main(whole)
+    marked = _has_main(root[1])
     blocks: list[str] = []
 
     def walk(nodes: list, items: list, inside: bool) -> None:
@@ -228,11 +234,11 @@ def read(page: str, wrapper: list | None, single: bool) -> str:
                 for node in run:
                     if node[0] == SLOT:
                         keep(node, mine, inside)
-                    elif not (_never(node[0]) or not inside and not _main(node[0]) and node[0].split(" ")[0] == "header"):
+                    elif not (_never(node[0]) if inside or _main(node[0]) else _skipped(node[0])):
                         walk(node[1], mine[2], inside or _main(node[0]))
 
     def keep(node: list, slot: list, inside: bool) -> None:
-        # Without a marked article: text that differs between the host's pages and is not mostly links.
+        # On a page without a marked article: text that differs between the host's pages and is not mostly links.
         if inside if marked else (single or slot[2] is None) and node[3] * 2 <= node[2]:
             text = " ".join(html.unescape("".join(node[1])).split())
             if text:
@@ -250,8 +256,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     other; the distinct results of all tasks are aligned again, so a host with a third of all
     pages costs a wrapper for each task, not a group of pages. Pages are then read against the
     wrapper of their host: menus, notices, forms and comments are left out by the element
-    that holds their slot, and where no element is marked as the article, slots of constant
-    text and of links are left out too.
+    that holds their slot, and on a page where no element is marked as the article, whatever
+    other pages of the host have, slots of constant text and of links are left out too.
 
     Null and empty html: empty text. Pages without a host form one host. Rows are returned
     one for one, null ids and repeated rows too; other columns are left out. An empty table

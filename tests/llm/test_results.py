@@ -245,6 +245,14 @@ def test_wrapper_without_a_marked_article():
     assert wrappers.read(page % (("a",) * 7), whole, False) == "Title a Long text a link tail next i1 i2 a two a"
 
 
+def test_pages_without_a_mark_beside_marked_pages(spark):
+    plain = "<body><div>Site name</div><div><h2>Title %s</h2><p>Long text %s</p></div></body>"
+    rows = [(k, f"https://h.example/{k}", plain % (k, k)) for k in range(4)] + [(4, "https://h.example/4", "<body><div>Site name</div><article><p>Marked</p></article></body>")]
+    rows += [(k + 10, url, page) for url in (None, "/relative") for k, _, page in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r["text"] == ("Marked" if r["page_id"] % 10 == 4 else f"Title {r['page_id'] % 10} Long text {r['page_id'] % 10}") for r in wrappers.extract_main_text(df).collect())
+
+
 def test_wrappers_find_options_and_repeats():
     one, two = (wrappers.fold(wrappers.parse(p)[1])[0] for p in ("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>", "<div><h2>e</h2><p>f</p><table><tr><td>g</table></div>"))
     whole = wrappers.align(one, two)
