@@ -34,10 +34,10 @@ SLOT = "#"
 
 
 def parse(page: str) -> list:
-    """The page as a tree: [label, children]; a child is a tree or a slot [SLOT, pieces, length, linked length]."""
+    """The page as a tree: [label, children]; a child is a tree or a slot [SLOT, pieces, length, linked length, checksum of the page's texts]."""
     root: list = ["page", []]
     stack, links, quiet = [root], 0, None
-    slot = None
+    slot, slots = None, []
     for m in TOKEN.finditer(page):
         raw, close, tag, attributes = m.group(1), m.group(2), m.group(3), m.group(4)
         text = m.group()
@@ -47,7 +47,8 @@ def parse(page: str) -> list:
             if slot is None:
                 if text.isspace():
                     continue
-                slot = [SLOT, [], 0, 0]
+                slot = [SLOT, [], 0, 0, 0]
+                slots.append(slot)
                 stack[-1][1].append(slot)
             slot[1].append(text)
             slot[2] += len(text)
@@ -88,11 +89,24 @@ def parse(page: str) -> list:
         node: list = [tag + (" " + re.sub(r"\d+", "0", hint) if hint else ""), []]
         stack[-1][1].append(node)
         stack.append(node)
+    # Pages of the same texts are copies of one page; 0 stands for several pages.
+    own = zlib.crc32("\0".join(_text(x) for x in slots).encode("utf-8", "replace")) or 1
+    for slot in slots:
+        slot[4] = own
     return root
 
 
-# A wrapper is [key, mark, body]: mark is "1", "?", "+" or "*"; the body of a slot is the checksum of
-# its text while it is the same on all pages, or None; the body of an element or a group is a list.
+def _text(slot: list) -> str:
+    return "".join(slot[1])
+
+
+def _sum(slot: list) -> int:
+    return zlib.crc32(_text(slot).encode("utf-8", "replace"))
+
+
+# A wrapper is [key, mark, body]: mark is "1", "?", "+" or "*"; the body of a slot is None if its text
+# differs, or [checksum of the text, page]: the one page that has it, 0 if different pages have it;
+# the body of an element or a group is a list.
 
 
 def fold(nodes: list) -> tuple[list, list]:
@@ -100,7 +114,7 @@ def fold(nodes: list) -> tuple[list, list]:
     items, held = [], []
     for node in nodes:
         if node[0] == SLOT:
-            items.append([SLOT, "1", zlib.crc32("".join(node[1]).encode("utf-8", "replace"))])
+            items.append([SLOT, "1", [_sum(node), node[4]]])
         else:
             items.append([node[0], "1", fold(node[1])[0]])
         held.append([[node]])
@@ -137,7 +151,8 @@ def _marks(a: str, b: str) -> str:
 def merge(a: list, b: list) -> list:
     """The smallest expression found for both: slots that differ become variable, unmatched items optional, runs repeated."""
     if a[0] == SLOT:
-        return [SLOT, _marks(a[1], b[1]), a[2] if a[2] == b[2] else None]
+        same = a[2] and b[2] and a[2][0] == b[2][0]
+        return [SLOT, _marks(a[1], b[1]), [a[2][0], a[2][1] if a[2][1] == b[2][1] else 0] if same else None]
     return [a[0], _marks(a[1], b[1]), align(a[2], b[2])]
 
 
@@ -208,9 +223,18 @@ def _never(key: str) -> bool:
     return not key.startswith("(") and (tag in NEVER or tag not in ("html", "body") and bool(hint) and bool(NOISE.search(hint)))
 
 
+def _slots(items: list):
+    for x in items:
+        if x[0] == SLOT:
+            yield x[2]
+        else:
+            yield from _slots(x[2])
+
+
 def varies(items: list) -> bool:
-    """Whether any slot differs between pages: a host with one page, or copies of one, has no constant text to tell apart."""
-    return any(x[2] is None if x[0] == SLOT else varies(x[2]) for x in items)
+    """Whether slots differ between pages, by their texts or by the pages that have them: a host with one page, or copies of one, has no constant text to tell apart."""
+    found = {x and x[1] for x in _slots(items)}
+    return None in found or len(found - {0}) > 1
 
 
 def read(page: str, wrapper: list | None, single: bool) -> str:
@@ -238,9 +262,9 @@ def read(page: str, wrapper: list | None, single: bool) -> str:
                         walk(node[1], mine[2], inside or _main(node[0]))
 
     def keep(node: list, slot: list, inside: bool) -> None:
-        # On a page without a marked article: text that differs between the host's pages and is not mostly links.
-        if inside if marked else (single or slot[2] is None) and node[3] * 2 <= node[2]:
-            text = " ".join(html.unescape("".join(node[1])).split())
+        # On a page without a marked article: text that is not mostly links, nor the same on different pages of the host.
+        if inside if marked else (single or slot[2] != [_sum(node), 0]) and node[3] * 2 <= node[2]:
+            text = " ".join(html.unescape(_text(node)).split())
             if text:
                 blocks.append(text)
 
@@ -257,7 +281,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     pages costs a wrapper for each task, not a group of pages. Pages are then read against the
     wrapper of their host: menus, notices, forms and comments are left out by the element
     that holds their slot, and on a page where no element is marked as the article, whatever
-    other pages of the host have, slots of constant text and of links are left out too.
+    other pages of the host have, slots of links are left
+    out too, and slots whose text two or more different pages of the host have and none differs in.
 
     Null and empty html: empty text. Pages without a host form one host. Rows are returned
     one for one, null ids and repeated rows too; other columns are left out. An empty table

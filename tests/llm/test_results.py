@@ -253,6 +253,24 @@ def test_pages_without_a_mark_beside_marked_pages(spark):
     assert all(r["text"] == ("Marked" if r["page_id"] % 10 == 4 else f"Title {r['page_id'] % 10} Long text {r['page_id'] % 10}") for r in wrappers.extract_main_text(df).collect())
 
 
+def test_text_that_only_one_page_has_is_kept(spark):
+    frame = "<body><div>Site name</div><div id=c><h2>Title %s</h2><p>Text %s</p>%s</div></body>"
+    extra = ["", "<blockquote>Said once</blockquote>", "<table><tr><td>Cell once</table><h3>Below once</h3>", "", ""]
+    pages = [frame % (k, k, x) for k, x in enumerate(extra)] + ["<body><div>Site name</div><section><h4>Own layout</h4><pre>All of it</pre></section></body>"]
+    want = [f"Title {k} Text {k}{x}" for k, x in enumerate(["", " Said once", " Cell once Below once", "", ""])] + ["Own layout All of it"]
+    # Copies of a page do not make its text the host's; neither order of pages nor tasks matter.
+    rows = [(k % 6, f"https://h.example/{k}", pages[k % 6]) for k in (5, 0, 1, 2, 3, 4, 1, 2, 5)]
+    for order in (rows, rows[::-1]):
+        out = wrappers.extract_main_text(spark.createDataFrame(order, "page_id long, url string, html string")).collect()
+        assert [(r["page_id"], r["text"]) for r in out if r["text"] != want[r["page_id"]]] == []
+
+
+def test_two_layouts_share_only_what_both_pages_have():
+    one, two = ("<body><div>Site</div>%s</body>" % x for x in ("<blockquote>First</blockquote>", "<section>Second</section>"))
+    whole = wrappers.align(*(wrappers.fold(wrappers.parse(p)[1])[0] for p in (one, two)))
+    assert [wrappers.read(p, whole, not wrappers.varies(whole)) for p in (one, two)] == ["First", "Second"]
+
+
 def test_wrappers_find_options_and_repeats():
     one, two = (wrappers.fold(wrappers.parse(p)[1])[0] for p in ("<div><h2>a</h2><p>b</p><h2>c</h2><p>d</p></div>", "<div><h2>e</h2><p>f</p><table><tr><td>g</table></div>"))
     whole = wrappers.align(one, two)
