@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.language import fit, held_out, keep_languages
 from hirelens.llm.minhash import near_duplicates
-from hirelens.llm.mixing import mix_documents
+from hirelens.llm.mixing import mix_documents, repeated
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import keep_quality
 from hirelens.llm.queries import WORD_BPE
@@ -34,10 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that tokens meet the weights of sources, languages and topics."""
+    """Documents sampled, or repeated where a cell is to grow, so that the tokens of the rows written meet the weights of sources, languages and topics."""
     # The row travels whole beside the columns that the mixture reads, so no column of its own can clash.
     read = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
-    return mix_documents(read).filter("kept").select("_row.*")
+    return repeated(mix_documents(read)).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,28 +52,36 @@ def rake(cells: DataFrame, margins: Mapping[str, float | Mapping[str, float]], r
 
 
 def mix(docs: DataFrame, margins: Mapping[str, float | Mapping[str, float]], tokens: str = "tokens", id_col: str = "doc_id", rounds: int = 10, seed: str = "mix") -> DataFrame:
-    """The rows of docs with `ratio`, `probability`, `epochs` and `kept`.
+    """The rows of docs with `ratio`, `probability`, `epochs`, `kept` and `copies`.
 
     Tokens are added up by the combination of margin values in each task first. The ratio of a
     cell is its fitted weight over its tokens. A document is kept if the uniform number made
     from its id is below the probability, the ratio or 1; `epochs`, ratio over probability,
     is how often kept documents are to be seen, so kept tokens times epochs meet the targets.
+    `copies` is the same in whole rows: the ratio rounded down, and one more if the number is
+    below what is left; tokens times copies meet the targets (see `repeated`).
 
     Null margin values are the value `none`; null ids are kept with the number 0, so always
-    unless the ratio is 0; rows of one id share their fate within a cell; rows without tokens
+    unless the ratio is 0, and their copies are rounded up; rows of one id share their fate within a cell; rows without tokens
     go with their cell. Columns of docs are returned as they are; `ratio`, `probability`,
-    `epochs` and `kept` of the input are replaced. An empty table gives an empty result.
+    `epochs`, `kept` and `copies` of the input are replaced. An empty table gives an empty result.
     """
     names = list(margins)
     key = {f"_m_{n}": F.coalesce(F.col(n).cast("string"), F.lit(NONE)) for n in names}
-    marked = docs.drop("ratio", "probability", "epochs", "kept").withColumns(key)
+    marked = docs.drop("ratio", "probability", "epochs", "kept", "copies").withColumns(key)
     cells = marked.groupBy(*key).agg(F.sum(F.coalesce(F.col(tokens), F.lit(0)).cast("long")).alias("tokens"))
     fitted = stored(rake(cells, {f"_m_{n}": t for n, t in margins.items()}, rounds))
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
     rates = fitted.select(*key, ratio.alias("ratio"), F.least(ratio, F.lit(1.0)).alias("probability"))
     u = F.coalesce(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0, F.lit(0.0))
     out = marked.join(rates, list(key)).drop(*key)
-    return out.withColumns({"epochs": F.when(F.col("probability") > 0, F.col("ratio") / F.col("probability")).otherwise(0.0), "kept": u < F.col("probability")})
+    return out.withColumns({"epochs": F.when(F.col("probability") > 0, F.col("ratio") / F.col("probability")).otherwise(0.0), "kept": u < F.col("probability"),
+                            "copies": (F.floor("ratio") + (u < F.col("ratio") - F.floor("ratio")).cast("long")).cast("int")})
+
+
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The rows of a mixture, each as often as its `copies` say."""
+    return mixed.withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("_again")
 
 
 def mix_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

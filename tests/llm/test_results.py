@@ -133,6 +133,22 @@ def test_mixing_meets_its_margins(spark):
         assert fitted[s] == pytest.approx(power[s] / sum(power.values()) * sum(mass.values()), rel=0.02)
 
 
+def test_rows_of_the_mixture_stage_meet_the_margins(spark):
+    # A source with over a third of the tokens, small ones beside it, languages across.
+    docs = spark.range(6000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, id % 5 + 7), x -> concat('w', x)), ' ') AS text",
+                                        "CASE WHEN id % 10 < 4 THEN 'hot' ELSE concat('s', pmod(xxhash64(id), 12)) END AS source", "if(id % 7 = 0, 'de', 'en') AS lang")
+    mass, drawn, power = ({"source": Counter(), "lang": Counter()} for _ in range(3))
+    for rows, into in ((docs, mass), (corpus_pipeline.mixture(spark, docs, ""), drawn)):
+        for r in rows.collect():
+            for m in into:
+                into[m][r[m]] += len(r["text"].split())
+    for m in mass:
+        whole = sum(x ** 0.5 for x in mass[m].values())
+        for value, x in mass[m].items():
+            assert drawn[m][value] / sum(drawn[m].values()) == pytest.approx(x ** 0.5 / whole, rel=0.08)
+    assert sum(drawn["source"].values()) == pytest.approx(sum(mass["source"].values()), rel=0.04)
+
+
 def test_near_duplicates(spark, docs):
     sets, root = near_groups({i: d["text"] for i, d in docs.items()}, 4)
     out = QUERIES["op6_minhash_near_dedup"](spark, SF).collect()
