@@ -38,6 +38,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0", "Released under CC0 1.0 Universal: to the extent possible under law, the author has waived all copyright and related rights."),
     ("unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense."),
+    ("apache-2.0", "Apache License Version 2.0"), ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("mit", "MIT License"), ("mit", "The MIT License (MIT)"), ("mit", "SPDX-License-Identifier: MIT"),
+    ("gpl-3.0", "GNU General Public License Version 3"), ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("gpl-2.0", "GNU General Public License Version 2"), ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"), ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("lgpl", "GNU Lesser General Public License"), ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"), ("lgpl", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("agpl-3.0", "GNU Affero General Public License"), ("agpl-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"), ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("bsd", "BSD 3-Clause License"), ("bsd", "BSD 2-Clause License"), ("bsd", "SPDX-License-Identifier: BSD-3-Clause"), ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("isc", "ISC License"), ("isc", "SPDX-License-Identifier: ISC"),
+    ("cc-by-nc", "SPDX-License-Identifier: CC-BY-NC-4.0"), ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-4.0"), ("cc-by", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("cc0", "CC0 1.0 Universal"), ("cc0", "SPDX-License-Identifier: CC0-1.0"), ("unlicense", "The Unlicense"), ("unlicense", "SPDX-License-Identifier: Unlicense"),
 ]
 # Licence-like paragraphs that belong to none of the families.
 OTHERS = [
@@ -50,9 +61,19 @@ OTHERS = [
 CUE = r"\bMIT\b|\bGNU\b|\bGPL|\bCC[ -]?(?:BY|0)|(?i:licen[sc]e|creative commons|copyright|redistribut|permission|public domain|mozilla|warrant|all rights reserved)"
 
 
+#: A letter or number: a line without any, as one of comment marks alone, ends a paragraph.
+WORDS = r"[\p{L}\p{N}]"
+#: Comment marks made of letters; all others are no part of words anyway.
+MARK = r"^\s*(?:dnl|rem|REM)\s"
+
+
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+
+
 def grams(text: Column) -> Column:
     """Words and pairs of neighbouring words, lower-cased."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+    words = split_words(text)
     pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, F.filter(pairs, lambda p: F.instr(p, " ") > 0))
 
@@ -69,17 +90,69 @@ def examples(spark: SparkSession, templates: Sequence[tuple[str, str]], others:
         plain.select(F.lit("unknown").alias("label"), "text", (F.crc32("text") % 4 == 3).alias("held_out")))
 
 
+def _pairs(text: Column) -> Column:
+    """The distinct pairs of neighbouring words."""
+    return F.filter(F.array_distinct(grams(text)), lambda g: F.instr(g, " ") > 0)
+
+
+def windows(src: DataFrame, shapes: Column, longest: int, confirm: float) -> DataFrame:
+    """(id, paragraph, line) of texts with a cue: for every line with a cue the lines about it that hold most pairs of one template.
+
+    A window runs over neighbouring lines without a blank one between them. It counts if a
+    template stands in it (see `_needed`) and its first and its last line each add two pairs
+    to the others'; of those with most pairs the shortest is taken, then the last. A line
+    about which no window counts stands alone. Equal windows of a row are one.
+    """
+    lines = src.filter(F.col("text").rlike(CUE)).select("id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    # Every line of a window has a word, so no more lines than the longest template has words are looked at.
+    around = lambda c: F.struct(c.alias("c"), F.reverse(F.slice("lines", F.greatest(c + 1 - longest, F.lit(1)), F.least(c, F.lit(longest)))).alias("before"),
+                                F.element_at("lines", c + 1).alias("own"), F.slice("lines", c + 2, F.lit(longest)).alias("after"))
+    places = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(CUE), i)), lambda i: i.isNotNull())
+    # Only the lines about a cue are carried on, not the text once for each of its lines.
+    cued = lines.select("id", "row", F.explode(F.transform(places, around)).alias("x")).select("id", "row", "x.*")
+
+    def reach(near: Column) -> Column:
+        """How many lines, nearest first, stand before a blank one and within the longest template's words."""
+        state = lambda is_open, n, words: F.struct(is_open.alias("is_open"), n.alias("n"), words.alias("words"))
+        more = lambda a, x: state(a["words"] + F.size(split_words(x)) < longest, a["n"] + 1, a["words"] + F.size(split_words(x)))
+        step = lambda a, x: F.when(a["is_open"] & x.rlike(WORDS), more(a, x)).otherwise(state(F.lit(False), a["n"], a["words"]))
+        return F.aggregate(near, state(F.lit(True), F.lit(0), F.lit(0)), step, lambda a: a["n"])
+
+    cued = cued.withColumns({"up": reach(F.col("before")), "down": reach(F.col("after"))})
+    lines = F.concat(F.reverse(F.slice("before", F.lit(1), F.col("up"))), F.array("own"), F.slice("after", F.lit(1), F.col("down")))
+    near = cued.select("id", "row", "c", "up", F.transform(lines, lambda x: F.regexp_replace(x, MARK, " ")).alias("near"))
+    held = lambda t, pairs: F.size(F.array_intersect(t["pairs"], pairs))
+    # Pairs only grow with the window: what the whole neighbourhood does not hold, no window holds.
+    near = near.withColumn("all", _pairs(F.concat_ws(" ", "near"))).withColumn("shapes", F.filter(shapes, lambda t: held(t, F.col("all")) >= _needed(t, confirm)))
+    part = lambda s, n: _pairs(F.concat_ws(" ", F.slice("near", s + 1, n)))
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("up")), lambda s: F.transform(F.sequence(F.col("up"), F.size("near") - 1), lambda e: F.struct(s.alias("s"), (e - s + 1).alias("n")))))
+    texts = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), part(x["s"], x["n"]).alias("full"),
+                                                  F.when(x["n"] > 1, part(x["s"] + 1, x["n"] - 1)).alias("headless"), F.when(x["n"] > 1, part(x["s"], x["n"] - 1)).alias("tailless")))
+    near = near.withColumn("texts", F.when(F.size("shapes") > 0, texts))
+    tight = lambda t, x: (held(t, x["full"]) >= _needed(t, confirm)) & ((x["n"] == 1) | (held(t, x["full"]) - F.greatest(held(t, x["headless"]), held(t, x["tailless"])) >= 2))
+    ranked = F.flatten(F.transform("texts", lambda x: F.transform(F.filter("shapes", lambda t: tight(t, x)), lambda t: F.struct(held(t, x["full"]).alias("most"), (-x["n"]).alias("less"), x["s"].alias("s")))))
+    best = near.select("id", "row", "c", "up", "near", F.array_max(ranked).alias("w"))
+    s, n = F.coalesce(F.col("w.s"), F.col("up")), F.coalesce(-F.col("w.less"), F.lit(1))
+    return best.select("id", "row", (F.col("c") - F.col("up") + s).alias("paragraph"), F.concat_ws(" ", F.slice("near", s + 1, n)).alias("line")).dropDuplicates(["row", "paragraph", "line"]).drop("row")
+
+
+def _needed(shape: Column, confirm: float) -> Column:
+    """How many pairs of a template have to stand in a text: of short forms, up to three pairs, all."""
+    return F.when(F.size(shape["pairs"]) <= 3, F.size(shape["pairs"]) * 1.0).otherwise(F.size(shape["pairs"]) * confirm)
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), others: Sequence[str] = tuple(OTHERS),
                   plain: int = 400, size: int = 1 << 14, confirm: float = 0.6) -> DataFrame:
     """(id, paragraph, family, probability, similarity, confirmed): one row for each paragraph with a cue of a licence.
 
-    Paragraphs are the lines of a text. The classifier is multinomial logistic regression on
+    A paragraph is a line with a cue, or the lines about it over which a notice is wrapped
+    (see `windows`), numbered by its first line. The classifier is multinomial logistic regression on
     hashed words and word pairs, fitted on variants of the templates, on other notices and on
     at most `plain` lines without a cue taken from the documents (those with the smallest
     hash among the first lines of texts). A second regression, on variants the first has not
     seen, turns its margin into the probability that the family is right; below one half the
     family is `unknown`. A prediction is confirmed if `confirm` of the word pairs of one of the
-    family's templates stand in the paragraph; otherwise it is `unknown` as well.
+    family's templates stand in the paragraph, all of short forms; otherwise it is `unknown` as well.
 
     Null and empty texts, and lines without a cue, give no row. Rows of a null or repeated id
     are scanned one by one. Other columns are left out. An empty table gives an empty result.
@@ -107,15 +180,17 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a, b = float(slope.coefficients[0]), float(slope.intercept)
     rows.unpersist()
 
-    cued = src.filter(F.col("text").rlike(CUE)).select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(CUE))
-    scored = margin(hashing.transform(cued.withColumn("grams", grams(F.col("line")))))
+    # The templates are a parameter: a literal of the plan, not a table.
+    patterns = spark.createDataFrame([*templates], "family string, notice string").select("family", _pairs(F.col("notice")).alias("pairs"), F.size(split_words(F.col("notice"))).alias("words"))
+    held = [(r["family"], r["pairs"], r["words"]) for r in patterns.collect() if r["pairs"]]
+    shapes = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, p)).alias("pairs")) for f, p, _ in held])
+    scored = margin(hashing.transform(windows(src, shapes, max(n for *_, n in held), confirm).withColumn("grams", grams(F.col("line")))))
     probability = 1 / (1 + F.exp(-(F.col("margin") * a + b)))
     named = scored.select("id", "paragraph", "grams", F.element_at(F.array(*map(F.lit, families[1:])), F.col("at")).alias("guess"), probability.alias("probability"))
-    # The templates are a parameter: a literal of the plan, not a table.
-    patterns = spark.createDataFrame([*templates], "family string, notice string").select("family", F.filter(F.array_distinct(grams(F.col("notice"))), lambda g: F.instr(g, " ") > 0).alias("pairs"))
-    held = [(r["family"], r["pairs"]) for r in patterns.collect()]
-    shapes = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, p)).alias("pairs")) for f, p in held])
-    alike = F.array_max(F.transform(F.filter(shapes, lambda t: t["family"] == F.col("guess")), lambda t: F.size(F.array_intersect(t["pairs"], F.col("grams"))) / F.size(t["pairs"])))
-    found = named.withColumn("similarity", alike).withColumn("confirmed", (F.col("probability") >= 0.5) & (F.col("similarity") >= confirm))
+    own = F.filter(shapes, lambda t: t["family"] == F.col("guess"))
+    share = lambda t: F.size(F.array_intersect(t["pairs"], F.col("grams")))
+    alike = F.array_max(F.transform(own, lambda t: share(t) / F.size(t["pairs"])))
+    stands = F.exists(own, lambda t: share(t) >= _needed(t, confirm))
+    found = named.withColumn("similarity", alike).withColumn("confirmed", (F.col("probability") >= 0.5) & stands)
     return found.select(F.col("id").alias(id_col), "paragraph", F.when(F.col("confirmed"), F.col("guess")).otherwise("unknown").alias("family"), "probability", "similarity", "confirmed")
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from hirelens.llm import embeddings, minhash, packing, pretokens, quality, search, wrappers
+from hirelens.llm import embeddings, licences, minhash, packing, pretokens, quality, search, wrappers
 from hirelens.llm.queries import QUERIES, SQL, WORD_BPE
 from tests.oracle import compare, connect
 
@@ -176,6 +176,25 @@ def test_licences(spark, docs):
     assert {k: f for k, f in found.items() if f != "unknown"} == want
 
 
+def test_wrapped_and_short_licence_notices(spark):
+    mit = ["Permission is hereby granted, free of charge, to any person obtaining a copy", "of this software and associated documentation files (the \"Software\"), to deal", "in the Software without restriction, including without limitation the rights"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    texts = {
+        1: ["MIT License", "", *mit], 2: ["/*", *(f" * {x}" for x in bsd), " */", "int main() {"], 3: ["x = 1", *(f"# {x}" for x in gpl), "y = 2"],
+        4: ["// SPDX-License-Identifier: MIT", "#include <stdio.h>"], 5: ["# SPDX-License-Identifier: Zlib", "pass"], 6: ["Licensed under the Apache License, Version 2.0.", "Licensed under the MIT License."],
+        7: ["prose before it goes on", *gpl, *mit, "and prose behind it"], 8: ["dnl SPDX-License-Identifier: Apache-2.0"], 9: ["He gave no permission to copy", "the keys of his car."]}
+    want = {1: {0: "mit", 2: "mit"}, 2: {1: "bsd"}, 3: {1: "gpl-3.0"}, 4: {0: "mit"}, 5: {}, 6: {0: "apache-2.0", 1: "mit"}, 7: {1: "gpl-3.0", 5: "mit"}, 8: {0: "apache-2.0"}, 9: {}}
+    plain = [(100 + i, f"Some line number {i} of other words that tells of no such thing at all.") for i in range(50)]
+    rows = licences.scan_licences(spark.createDataFrame([*((k, "\n".join(t)) for k, t in texts.items()), *plain], "doc_id long, text string")).collect()
+    found = {k: {} for k in texts}
+    for r in rows:
+        if r["confirmed"]:
+            assert r["paragraph"] not in found[r["doc_id"]]
+            found[r["doc_id"]][r["paragraph"]] = r["family"]
+    assert found == want
+
+
 def test_every_template_has_a_cue():
     from hirelens.llm.licences import CUE, TEMPLATES
     assert all(re.search(CUE, t) for _, t in TEMPLATES)
