@@ -17,6 +17,7 @@ from hirelens.llm.mixing import mix_documents, mixing_sql
 from hirelens.llm.packing import pack
 from hirelens.llm.quality import classify_quality
 from hirelens.llm.search import top_k
+from hirelens.llm.sharding import shard_documents, sharding_sql
 from hirelens.llm.tokens import count_tokens
 from hirelens.llm.wrappers import extract_main_text
 
@@ -84,3 +85,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_sharding", sharding_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
