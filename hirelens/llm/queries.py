@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelens.llm.automaton import scan_sql, scan_top_k
 from hirelens.llm.common import table
 from hirelens.llm.embeddings import near_embeddings
 from hirelens.llm.language import identify_language
@@ -90,3 +91,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sharding", sharding_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lexical_scan", scan_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
