@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.automaton import scan_sql, scan_top_k
 from hirelens.llm.common import table
+from hirelens.llm.conversations import repair_damaged, repair_sql
 from hirelens.llm.embeddings import near_embeddings
 from hirelens.llm.language import identify_language
 from hirelens.llm.licences import scan_licences
@@ -96,3 +97,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_lexical_scan", scan_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair", repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
