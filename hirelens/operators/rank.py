@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hirelens.core import SPACE, compact, filled, first_per_key, halfwidth, hot_key_join, position_within, rnd, text, top_rows
 from hirelens.functions.text import sections, tokens
+from hirelens.operators.stats import narrowed_quantile
 from hirelens.session import cut_lineage
 
 # Weight and scale anchor of each engagement counter.
@@ -32,8 +33,11 @@ def influence_rank(df: DataFrame, now: str, half_life: float = 180.0, role: str
     df = df.withColumn("exclusion", F.array_join(F.array_compact(F.array(
         F.when(F.col("_role") == "", "missing-role"), F.when(F.col(created).isNull(), "missing-date"), F.when(F.col("_age") < 0, "future-date"), F.when(F.col("coverage") == 0, "missing-all-metrics"))), ","))
     good = df.filter("exclusion = ''")
-    scales = good.groupBy("_role").agg(F.count(F.lit(1)).alias("cohort_size"), *[
-        F.greatest(F.lit(math.log1p(a)), F.coalesce(F.percentile(f"_m{i}", 0.5), F.lit(0.0))).alias(f"_s{i}") for i, (_, _, a) in enumerate(METRICS)])
+    counters = good.select("_role", F.posexplode(F.array(*[F.col(f"_m{i}") for i in range(len(METRICS))])).alias("_i", "_v"))
+    medians = narrowed_quantile(counters, "_v", 0.5, ["_role", "_i"])
+    middle = [F.coalesce(F.max(F.when(F.col("_i") == i, F.col("value"))), F.lit(0.0)) for i in range(len(METRICS))]
+    scales = good.groupBy("_role").agg(F.count(F.lit(1)).alias("cohort_size")).join(
+        medians.groupBy("_role").agg(*[F.greatest(F.lit(math.log1p(a)), m).alias(f"_s{i}") for i, (m, (_, _, a)) in enumerate(zip(middle, METRICS))]), "_role")
     rows = good.join(scales, "_role")
     part = lambda i, w: F.when(F.col(f"_m{i}").isNotNull(), w * -F.expm1(-F.least(F.col(f"_m{i}") / F.col(f"_s{i}"), F.lit(3.0)))).otherwise(0.0)
     weighted = sum((part(i, w) for i, (_, w, _) in enumerate(METRICS)), F.lit(0.0))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from hirelens.core import SPACE, UNKNOWN, filled, first_per_key, halfwidth, lookup, position_within, rnd, text, top_rows, value
 from hirelens.functions import groups
+from hirelens.session import cut_lineage
 
 K = "salary_midpoint_k"
 
@@ -56,6 +57,46 @@ def quantiles_by_position(df: DataFrame, c: str, ps: Sequence[float], by: Sequen
     return _quantiles_of_runs(placed, ps, by, digits)
 
 
+def order_statistics(df: DataFrame, c: str, ranks: DataFrame, by: Sequence[str] = (), copies: str | None = None, buckets: int = 1024) -> DataFrame:
+    """(by, rank, value): the values at the given ranks from 0 of each group, exactly, for values that hardly repeat.
+
+    Each pass counts a group's values in equal buckets between the two bounds of every rank
+    and narrows them to the least and the largest value of the bucket that holds the rank, until both
+    are one. Only counts are shuffled, no group of values is gathered, and a few passes do for any
+    number of rows. `copies` names a column with the number of times that a row counts. Null and NaN
+    are left out; a rank beyond a group gives no row.
+    """
+    by = list(by)
+    v = F.col(c).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"), (F.col(copies) if copies else F.lit(1)).cast("long").alias("_n"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    targets = ranks.select(*by, F.col("rank").cast("long").alias("rank"))
+    targets = targets.join(ends, by) if by else targets.crossJoin(F.broadcast(ends))
+    targets = cut_lineage(targets.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("_all"))).distinct().select(*by, "rank", "_lo", "_hi", F.lit(0).cast("long").alias("_before")))
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    bucket = F.least(F.lit(buckets - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / width * buckets))
+    while not (live := targets.filter("_lo < _hi")).isEmpty():
+        held = rows.join(live, by) if by else rows.crossJoin(F.broadcast(live))
+        counts = held.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "rank", "_before", bucket.alias("_b")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        until = F.sum("_n").over(W.partitionBy(*by, "rank").orderBy("_b")) + F.col("_before")
+        found = counts.withColumn("_until", until).filter((F.col("_until") > F.col("rank")) & (F.col("_until") - F.col("_n") <= F.col("rank")))
+        targets = cut_lineage(targets.filter("_lo = _hi").unionByName(found.select(*by, "rank", "_lo", "_hi", (F.col("_until") - F.col("_n")).alias("_before"))))
+    return targets.select(*by, "rank", F.col("_lo").alias("value"))
+
+
+def narrowed_quantile(df: DataFrame, c: str, p: float, by: Sequence[str] = (), copies: str | None = None) -> DataFrame:
+    """(by, n, value): the interpolated quantile of each group by `order_statistics`."""
+    by = list(by)
+    v = F.col(c).cast("double")
+    n = F.sum(F.when(v.isNotNull() & ~F.isnan(v), F.col(copies) if copies else F.lit(1)))
+    sizes = cut_lineage(df.groupBy(*by).agg(n.alias("n")).filter("n > 0").withColumn("_at", (F.col("n") - 1) * F.lit(float(p))))
+    ranks = sizes.select(*by, F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("rank"))
+    found = order_statistics(df, c, ranks, by, copies)
+    both = found.join(sizes, by) if by else found.crossJoin(F.broadcast(sizes))
+    low, high = F.min("value"), F.max("value")
+    return both.groupBy(*by).agg(F.max("n").alias("n"), (low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))).alias("value")).filter("n > 0")
+
+
 def _quantiles_of_runs(runs: DataFrame, ps: Sequence[float], by: Sequence[str], digits: int) -> DataFrame:
     """Weighted positions: run r of value v covers positions (before, before + n]."""
     buckets = runs.withColumn("_b", F.floor((F.col("_run") - 1) / 4096))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hirelens.core import rnd
 from hirelens.functions import text
-from hirelens.operators import clean, models, sample
+from hirelens.operators import clean, models, salary_models, sample
 from hirelens.plans.q_functions import SAL
 from hirelens.plans.q_rank import CENT, DOT, centroids
 from hirelens.plans.q_stats import U, base
@@ -93,39 +93,60 @@ def j8(spark, sf):
     return spark.createDataFrame(rows, "kind string, name string")
 
 
+_CATS = ("city", "experience", "education", "company_size", "employment_type")
+_SHOWN = {c: f"coalesce(nullif(trim({c}),''),'未明确')" for c in _CATS}
+
+
+@query("J9_gram_cells", with_(P_LEAN, SAL, U, ONE) + """, c AS (SELECT s, count(*) AS n FROM (SELECT unnest(sk) AS s FROM j) GROUP BY 1), k AS (SELECT s, n FROM c WHERE n>=greatest(6,ceil((SELECT count(*) FROM j)*0.03)) ORDER BY n DESC, s LIMIT 26),
+ pr AS (SELECT least(sk[1],sk[2]) AS a, greatest(sk[1],sk[2]) AS b, count(*) AS n FROM j GROUP BY 1,2 HAVING count(*)>=greatest(8,ceil((SELECT count(*) FROM j)*0.05)) ORDER BY n DESC, a, b LIMIT 10),
+ cats AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, {_SHOWN[c]} AS v, {salary_models.CATEGORIES[c]} AS most FROM j" for c in _CATS) + """),
+ top AS (SELECT c, v FROM (SELECT c, v, most, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS r FROM cats GROUP BY c, v, most) WHERE r BETWEEN 2 AND most),
+ kept AS (SELECT 'intercept' AS f UNION ALL SELECT 'skill:' || s FROM k UNION ALL SELECT c || ':' || v FROM top UNION ALL SELECT 'pair:' || a || ' + ' || b FROM pr),
+ f AS (SELECT * FROM (SELECT platform, job_id, seq, mk, unnest(list_distinct(['intercept', 'pair:' || least(sk[1],sk[2]) || ' + ' || greatest(sk[1],sk[2]), """ + ", ".join(f"'{c}:' || {_SHOWN[c]}" for c in _CATS) + """] || list_transform(sk, lambda s: 'skill:' || s))) AS f FROM j) WHERE f IN (SELECT f FROM kept))
+ SELECT a.f AS one, b.f AS other, CAST(count(*) AS DOUBLE) AS total FROM f a JOIN f b USING (platform, job_id, seq) WHERE a.f <= b.f GROUP BY 1,2 UNION ALL """ + f"""SELECT f, 'log pay', {R('sum(ln(mk))',3)} FROM f GROUP BY 1""")
+def j9_cells(spark, sf):
+    folded = salary_models.fold_rows(usable(spark, sf))
+    one = [salary_models.Subset("all", F.lit(True), F.lit(False))]
+    salary_models.add_specs(folded, one)
+    names = F.array(*[F.lit(n) for n in salary_models.feature_names(one[0].spec)])
+    cells = salary_models.gram_cells(salary_models.design(folded, one)).filter("i >= 0")
+    a, b = F.get(names, "i"), F.when(F.col("j") >= 0, F.get(names, F.greatest("j", F.lit(0))))
+    return cells.select(F.when(b.isNull(), a).otherwise(F.least(a, b)).alias("one"), F.when(b.isNull(), F.lit("log pay")).otherwise(F.greatest(a, b)).alias("other"), rnd("w", 3).alias("total"))
+
+
 @query("J9_ridge_salary")
 def j9(spark, sf):
     df = usable(spark, sf)
     spec = models.salary_feature_spec(df)
-    beta = models.ridge_salary(df, spec)
-    return spark.createDataFrame([(n, round(float(b), 6)) for n, b in zip(models.feature_names(spec), beta)], "feature string, coefficient double")
+    beta = salary_models.ridge_salary(df, spec)
+    return spark.createDataFrame([(n, round(float(b), 6)) for n, b in zip(salary_models.feature_names(spec), beta)], "feature string, coefficient double")
 
 
 @query("J10_robust_ridge")
 def j10(spark, sf):
     df = usable(spark, sf)
     spec = models.salary_feature_spec(df)
-    beta = models.robust_ridge(df, spec)
-    return spark.createDataFrame([(n, round(float(b), 6)) for n, b in zip(models.feature_names(spec), beta)], "feature string, coefficient double")
+    beta = salary_models.robust_ridge(df, spec)
+    return spark.createDataFrame([(n, round(float(b), 6)) for n, b in zip(salary_models.feature_names(spec), beta)], "feature string, coefficient double")
 
 
 @query("J11_boosted_salary")
 def j11(spark, sf):
     df = usable(spark, sf)
     spec = models.salary_feature_spec(df)
-    _, predict = models.boosted_salary(df, spec)
-    p = predict(df).select("employment_type", F.col("salary_midpoint_k").alias("actual"), F.exp("log_prediction").alias("predicted"))
+    model = salary_models.boosted_salary(df, spec)
+    p = df.select("employment_type", F.col("salary_midpoint_k").alias("actual"), F.exp(salary_models.predict_boosted(spec, model)).alias("predicted"))
     return models.regression_metrics(p, ["employment_type"])
 
 
 @query("J12_salary_model_select")
 def j12(spark, sf):
-    return models.salary_model_select(jobs(spark, sf), day="day")["metrics"]
+    return salary_models.salary_model_select(jobs(spark, sf), day="day")["metrics"]
 
 
 @query("J13_skill_increments")
 def j13(spark, sf):
-    return models.skill_increments(base(spark, sf))["effects"]
+    return salary_models.skill_increments(base(spark, sf))["effects"]
 
 
 @query("J14_regression_metrics", with_(P_LEAN, SAL, U) + f"""SELECT city, count(*) AS rows, {R('avg(abs(mk-20))',3)} AS mae_k, {R('avg(abs(mk-20)/greatest(mk,1))',3)} AS mape, {R('1-sum((mk-20)*(mk-20))/greatest(var_pop(mk)*count(*),1e-9)',3)} AS r2 FROM u WHERE mk BETWEEN 3 AND 200 GROUP BY 1""")
@@ -138,4 +159,4 @@ def j14(spark, sf):
 def j15(spark, sf):
     df = usable(spark, sf)
     spec = models.salary_feature_spec(df)
-    return models.skill_effects(df, spec, models.ridge_salary(df, spec), models.ridge_salary(df, spec, "none", False), ["ring"], ["rod"])
+    return models.skill_effects(df, spec, salary_models.ridge_salary(df, spec), salary_models.ridge_salary(df, spec, "none", False), ["ring"], ["rod"])

@@ -9,7 +9,6 @@ from hirelens.plans.q_sources import KB, knowledge, scratch
 from hirelens.plans.registry import query
 from hirelens.plans.views import P_LEAN, postings, table, with_
 from hirelens.streaming import operators as st
-from hirelens.streaming.tables import BucketTable
 
 
 def drained(spark, changes, mode):
@@ -53,14 +52,14 @@ def k3(spark, sf):
 @query("K4_stream_ingest", with_(P_LEAN) + "SELECT platform, job_id, arg_max(company_name, seq) AS company_name, arg_max(education, seq) FILTER (education<>'') AS education, max(seq) AS seq FROM postings GROUP BY 1,2")
 def k4(spark, sf):
     p = postings(spark, sf, False).select("platform", "job_id", "seq", "company_name", "education", "salary")
-    target, path = BucketTable(spark, scratch(spark), ["platform", "job_id"], 8), scratch(spark)
+    target, path = scratch(spark), scratch(spark)
     line = F.expr("(seq div 100000000000) % 10")
     # Arrival order decides between versions, so the files are written in source order.
     for part in (line <= 2, (line > 2) & (line <= 4), line > 4):
         p.filter(part).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(path)
     st.stream_ingest(stream, target, scratch(spark)).awaitTermination()
-    return target.read().select("platform", "job_id", "company_name", "education", "seq")
+    return st.ingested(spark, target).select("platform", "job_id", "company_name", "education", "seq")
 
 
 @query("K5_channel_ingestion", "SELECT event_type AS platform, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ingested_at, CAST(sum(user_id) AS BIGINT) AS inserted_rows, count(*) AS updated_rows FROM events GROUP BY 1")
@@ -93,12 +92,28 @@ def pages(spark, sf):
     return e.groupBy(F.col("event_type").alias("channel"), F.expr("event_id div 40").alias("page_at")).agg(F.collect_list(F.col("user_id").cast("string")).alias("ids"))
 
 
-@query("K7_low_yield_window", with_(PAGES) + """, f AS (SELECT channel, page_at, count(*) AS added FROM (SELECT channel, id, min(page_at) AS page_at FROM (SELECT channel, page_at, unnest(ids) AS id FROM pg) GROUP BY 1,2) GROUP BY 1,2), b AS (SELECT pg.channel, pg.page_at, len(ids) AS records, coalesce(added,0) AS added FROM pg LEFT JOIN f USING (channel, page_at)),
- w AS (SELECT channel, page_at, CAST(sum(records) OVER x AS BIGINT) AS window_records, CAST(sum(added) OVER x AS BIGINT) AS window_new, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY channel ORDER BY page_at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT channel, page_at, window_records, window_new, n>=5 AND window_records>=100 AND window_new<=0 AS defer FROM w""")
+YIELD = with_(PAGES) + """, f AS (SELECT channel, page_at, count(*) AS added FROM (SELECT channel, id, min(page_at) AS page_at FROM (SELECT channel, page_at, unnest(ids) AS id FROM pg) GROUP BY 1,2) GROUP BY 1,2), b AS (SELECT pg.channel, pg.page_at, len(ids) AS records, coalesce(added,0) AS added FROM pg LEFT JOIN f USING (channel, page_at)),
+ w AS (SELECT channel, page_at, CAST(sum(records) OVER x AS BIGINT) AS window_records, CAST(sum(added) OVER x AS BIGINT) AS window_new, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY channel ORDER BY page_at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT channel, page_at, window_records, window_new, n>=5 AND window_records>=100 AND window_new<=0 AS defer FROM w"""
+
+
+@query("K7_low_yield_window", YIELD)
 def k7(spark, sf):
     return st.low_yield_window(pages(spark, sf)).select("channel", "page_at", "window_records", "window_new", "defer")
 
 
+@query("K7_low_yield_stream", YIELD)
+def k7s(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, rows = scratch(spark), pages(spark, sf)
+    # Three files in the order of the pages, one for each batch.
+    ends = rows.agg(F.expr("percentile_disc(0.33) WITHIN GROUP (ORDER BY page_at)").alias("a"), F.expr("percentile_disc(0.66) WITHIN GROUP (ORDER BY page_at)").alias("b")).first()
+    at = F.col("page_at")
+    for part in (at <= ends["a"], (at > ends["a"]) & (at <= ends["b"]), at > ends["b"]):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return drained(spark, st.low_yield_stream(stream), "append").select("channel", "page_at", "window_records", "window_new", "defer")
+
+
 @query("K8_repeated_page", """WITH p AS (SELECT o_custkey AS condition, year(o_orderdate) AS scan, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS page, o_orderstatus AS sig FROM orders)
 SELECT condition, scan, page, min(page) OVER (PARTITION BY condition, scan, sig) < page AS repeated, page=1 AND coalesce(sig = (SELECT q.sig FROM p q WHERE q.condition=p.condition AND q.scan=p.scan-1 AND q.page=1), false) AS unchanged FROM p""")
 def k8(spark, sf):
@@ -112,9 +127,9 @@ def k8(spark, sf):
 def k9(spark, sf):
     jobs, _, _ = knowledge(spark, sf)
     j = jobs.select("job_key", F.sha2("job_name", 256).alias("content_hash"), "job_name", "seq")
-    cache = BucketTable(spark, scratch(spark), ["job_key"], 8)
+    cache = scratch(spark)
     st.incremental_classify(as_stream(spark, j), cache, lambda d: d.select("job_key", "content_hash", F.upper("job_name").alias("decision")), "p1", scratch(spark)).awaitTermination()
-    return cache.read().select("job_key", "decision")
+    return st.classified(spark, cache).select("job_key", "decision")
 
 
 @query("K10_admit_owner", with_(P_LEAN) + "SELECT CASE WHEN employment_type IN ('','全职') THEN 'good' ELSE 'quarantine' END AS part, count(*) AS n FROM postings GROUP BY 1")

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, Row, StringType, StructField, StructType
 
 from hirelens.core import filled, first_per_key, position_within, text
 from hirelens.operators.clean import meaningful_change, merge_postings
-from hirelens.streaming.tables import BucketTable, exists
+from hirelens.streaming.batches import PARTS, exists, read_batches, stream_name, write_batch
 
 
 def pin_snapshot(df: DataFrame, path: str, snapshot_id: str, revision: int) -> DataFrame:
@@ -61,37 +62,43 @@ def publish_if_changed(df: DataFrame, path: str, task_id: str, version: int) ->
     return True
 
 
-def stream_ingest(stream: DataFrame, table: BucketTable, checkpoint: str, changes: str | None = None, task_id: str | None = None):
-    """K4: merge new rows by B3 into the table; the batch id makes a repeated batch a no-op.
+POSTING = ("platform", "job_id")
 
-    Per-platform change counts (B14) of each batch go to `changes`. Returns the started
-    query, which processes what is available and ends.
+
+def stream_ingest(stream: DataFrame, path: str, checkpoint: str, changes: str | None = None, task_id: str | None = None, buckets: int = 32):
+    """K4: keep the rows of every batch; `ingested` merges them by B3. A repeated batch writes the same folder again.
+
+    Per-platform change counts (B14) of each batch go to `changes`; they read the earlier rows
+    of the keys in the batch only. Any number of streams may write to one path at once. Returns
+    the started query, which processes what is available and ends.
     """
+    name = stream_name(checkpoint)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.filter(filled("platform") & filled("job_id"))
         if task_id is not None:
             rows = admit_owner(rows, task_id)[0]
         rows = rows.persist()
         try:
-            seen: dict = {}
-
-            def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-                out = merge_postings(None if current is None else current.drop("bucket"), new)
-                seen["old"] = current
-                return out
-
-            if changes and not table.committed(batch_id, checkpoint):
-                old = table.read()
-                fresh = merge_postings(None if old is None else old.join(rows.select("platform", "job_id").distinct(), ["platform", "job_id"], "left_semi"), rows)
-                before = old if old is not None else fresh.limit(0)
-                meaningful_change(before, fresh, ignore=["seq"]).write.mode("overwrite").parquet(f"{changes}/batch={zlib.crc32(checkpoint.encode())}-{batch_id}")
-            table.merge(rows, batch_id, merge, checkpoint)
+            if changes:
+                old = read_batches(rows.sparkSession, path, rows, POSTING, buckets, but=(name, batch_id))
+                before = merge_postings(None, old.drop(*PARTS)) if old is not None else None
+                after = merge_postings(before, rows)
+                before = before if before is not None else after.limit(0)
+                meaningful_change(before, after, ignore=["seq"]).write.mode("overwrite").parquet(f"{changes}/stream={name}/batch={batch_id}")
+            write_batch(rows, path, POSTING, name, batch_id, buckets)
         finally:
             rows.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, path: str, keys: DataFrame | None = None, buckets: int = 32) -> DataFrame | None:
+    """K4: the state of all postings, or of some keys: one aggregate over the rows of all batches."""
+    rows = read_batches(spark, path, keys, POSTING, buckets)
+    return None if rows is None else merge_postings(None, rows.drop(*PARTS))
+
+
 def channel_ingestion(stream: DataFrame, at: str = "ingested_at") -> DataFrame:
     """K5: last ingestion time and added counts per platform; update mode on a stream, plain on a table."""
     return stream.filter(F.col("inserted") + F.col("updated") > 0).groupBy("platform").agg(
@@ -175,6 +182,49 @@ def low_yield_window(pages: DataFrame, window: int = 5, least_records: int = 100
         "defer": (F.col("_pages") >= window) & (F.col("window_records") >= least_records) & (F.col("window_new") <= most_new)}).drop("_pages")
 
 
+class _Yield(StatefulProcessor):
+    """State of a channel: the ids seen so far and (records, added) of its last pages."""
+
+    def __init__(self, window: int, least_records: int, most_new: int, ttl_ms: int | None):
+        self.window, self.least, self.most, self.ttl = window, least_records, most_new, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        text_type = StructType([StructField("id", StringType())])
+        self.seen = handle.getMapState("seen", text_type, StructType([StructField("page_at", LongType())]), self.ttl)
+        self.last = handle.getListState("last", StructType([StructField("records", LongType()), StructField("added", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = list(self.last.get()) if self.last.exists() else []
+        for page in sorted(rows, key=lambda r: r["page_at"]):
+            ids = [i for i in page["ids"] or [] if i is not None and i != ""]
+            added = 0
+            for i in dict.fromkeys(ids):
+                if not self.seen.containsKey((i,)):
+                    self.seen.updateValue((i,), (page["page_at"],))
+                    added += 1
+            last = [*last, (len(ids), added)][-self.window:]
+            records, new = sum(r for r, _ in last), sum(a for _, a in last)
+            yield Row(channel=key[0], page_at=page["page_at"], window_records=records, window_new=new, duplicate_rate=1 - new / records if records else 0.0,
+                      defer=len(last) >= self.window and records >= self.least and new <= self.most)
+        self.last.put(last)
+
+    def close(self) -> None:
+        pass
+
+
+def low_yield_stream(pages: DataFrame, window: int = 5, least_records: int = 100, most_new: int = 0, ttl_ms: int | None = None) -> DataFrame:
+    """K7 on a stream: the same rows as `low_yield_window` for pages that arrive in order within their channel.
+
+    Ids seen are a map in the state store, so a channel's history is not held in memory and may
+    expire after `ttl_ms`; the last pages are a list of at most `window` entries. Pages of one
+    batch are put in order. The session needs the RocksDB state store.
+    """
+    schema = "channel string, page_at long, window_records long, window_new long, duplicate_rate double, defer boolean"
+    rows = pages.select("channel", F.col("page_at").cast("long").alias("page_at"), "ids")
+    processor = _Yield(window, least_records, most_new, ttl_ms)
+    return rows.groupBy("channel").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
+
+
 def repeated_page(pages: DataFrame) -> DataFrame:
     """K8: page signature; `repeated` if an earlier page of the scan has it, `unchanged` if a first page equals the one of the scan before.
 
@@ -189,21 +239,41 @@ def repeated_page(pages: DataFrame) -> DataFrame:
     return out.withColumns({"repeated": (F.col("records") > 0) & (F.col("_first") < F.col("page")), "unchanged": F.coalesce((F.col("records") > 0) & (F.col("_before") == F.col("signature")), F.lit(False))}).drop("_first", "_before")
 
 
-def incremental_classify(stream: DataFrame, cache: BucketTable, classify: Callable[[DataFrame], DataFrame], pipeline: str, checkpoint: str):
-    """K9: score only rows whose (key, hash, pipeline) the cache lacks; the cache holds the newest result per key."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        def merge(current: DataFrame | None, new: DataFrame) -> DataFrame:
-            todo = new if current is None else new.join(current.filter(F.col("pipeline") == pipeline).select("job_key", "content_hash"), ["job_key", "content_hash"], "left_anti")
-            done = classify(todo).withColumns({"pipeline": F.lit(pipeline), "scored_in": F.lit(batch_id)})
-            if current is None:
-                return done
-            return current.drop("bucket").join(done.select("job_key"), "job_key", "left_anti").unionByName(done)
+def incremental_classify(stream: DataFrame, path: str, classify: Callable[[DataFrame], DataFrame], pipeline: str, checkpoint: str, buckets: int = 32):
+    """K9: score only rows whose content hash or pipeline differs from the newest result of their key.
 
-        cache.merge(first_per_key(batch, ["job_key"], [F.col("seq").desc()]), batch_id, merge, checkpoint)
+    `classify` keeps job_key and content_hash. Results of every batch are kept with the seq of
+    their row; `classified` reads the newest of each key.
+    """
+    name = stream_name(checkpoint)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = first_per_key(batch, ["job_key"], [F.col("seq").desc()]).persist()
+        try:
+            done = read_batches(rows.sparkSession, path, rows, ["job_key"], buckets, but=(name, batch_id))
+            todo = rows
+            if done is not None:
+                known = _newest(done).filter(F.col("pipeline") == pipeline).select("job_key", "content_hash")
+                todo = rows.join(known, ["job_key", "content_hash"], "left_anti")
+            scored = classify(todo).withColumn("pipeline", F.lit(pipeline)).join(todo.select("job_key", "seq"), "job_key")
+            write_batch(scored, path, ["job_key"], name, batch_id, buckets)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(results: DataFrame) -> DataFrame:
+    rest = [c for c in results.columns if c not in ("job_key", *PARTS)]
+    return results.groupBy("job_key").agg(F.max_by(F.struct(*rest), F.struct("seq", "pipeline", "batch")).alias("_r")).select("job_key", "_r.*")
+
+
+def classified(spark: SparkSession, path: str) -> DataFrame | None:
+    """K9: the newest result of each key."""
+    rows = read_batches(spark, path)
+    return None if rows is None else _newest(rows)
+
+
 def admit_owner(df: DataFrame, task_id: str) -> tuple[DataFrame, DataFrame]:
     """Rows of this task (or none named), and the rows to quarantine."""
     own = (text("task_id") == "") | (text("task_id") == task_id) if "task_id" in df.columns else F.lit(True)

@@ -9,9 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelens.core import hot_key_join, position_within
-from hirelens.operators import clean, mining, models, near, sample, stats
-from hirelens.streaming.operators import stream_ingest
-from hirelens.streaming.tables import BucketTable
+from hirelens.operators import clean, mining, models, near, salary_models, sample, stats
 
 SF = "/root/testdata/sf0.001"
 
@@ -137,34 +135,6 @@ def test_changed_sources(spark):
     assert [r["path"] for r in clean.changed_sources(listing, seen).collect()] == ["b"]
 
 
-def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
-    df = spark.createDataFrame([("p", str(i % 20), i, f"c{i}", "") for i in range(60)], "platform string, job_id string, seq long, city string, query_keyword string")
-    src = str(tmp_path / "in")
-    for lo in (0, 20, 40):
-        df.filter((F.col("seq") >= lo) & (F.col("seq") < lo + 20)).coalesce(1).write.mode("append").parquet(src)
-    table = BucketTable(spark, str(tmp_path / "t"), ["platform", "job_id"], 4)
-
-    def run():
-        s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-        stream_ingest(s, table, str(tmp_path / "c"), str(tmp_path / "changes")).awaitTermination()
-        return {(r["job_id"], r["city"]) for r in table.read().collect()}
-    first = run()
-    assert first == {(r["job_id"], r["city"]) for r in clean.merge_postings(None, df).collect()} and len(first) == 20
-    assert run() == first and table.read().count() == 20
-    assert spark.read.parquet(str(tmp_path / "changes")).agg(F.sum("inserted"), F.sum("updated")).collect()[0] == (20, 40)
-    assert not table.merge(df, 0, lambda a, b: b, str(tmp_path / "c"))
-
-
-def test_two_streams_on_one_table_lose_nothing(spark, tmp_path):
-    df = spark.createDataFrame([("p", str(i), i, f"c{i}", "") for i in range(40)], "platform string, job_id string, seq long, city string, query_keyword string")
-    table = BucketTable(spark, str(tmp_path / "t"), ["platform", "job_id"], 4)
-    for name, low in (("a", 0), ("b", 20), ("a", 0)):
-        src = str(tmp_path / name)
-        df.filter((F.col("seq") >= low) & (F.col("seq") < low + 20)).coalesce(1).write.mode("overwrite").parquet(src)
-        stream_ingest(spark.readStream.schema(df.schema).parquet(src), table, str(tmp_path / f"check-{name}")).awaitTermination()
-    assert {r["job_id"] for r in table.read().collect()} == {str(i) for i in range(40)}
-
-
 def test_every_keyword_is_matched(spark):
     words = [f"w{i:04d}q" for i in range(2300)]
     df = spark.createDataFrame([(1, " ".join(words))], "seq long, body string")
@@ -199,7 +169,7 @@ def test_ridge_recovers_a_plain_effect(spark):
         rows.append((math.exp(2 + 0.5 * ("x" in skills)), skills, "c", "e", "d", "s", "全职"))
     df = spark.createDataFrame(rows, "salary_midpoint_k double, skills array<string>, city string, experience string, education string, company_size string, employment_type string")
     spec = models.salary_feature_spec(df)
-    beta = dict(zip(models.feature_names(spec), models.ridge_salary(df, spec, pairs=False)))
+    beta = dict(zip(salary_models.feature_names(spec), salary_models.ridge_salary(df, spec, pairs=False)))
     assert abs(beta["skill:x"] - 0.5) < 0.05 and abs(beta["skill:y"]) < 0.05
 
 
