@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hirelens.operators import clean, near
 from hirelens.plans.registry import query
-from hirelens.plans.views import CONV, DOCP, P_FULL, P_LEAN, conversation_posts, doc_postings, postings, table, with_
+from hirelens.plans.views import CONV, DOCP, P_FULL, P_LEAN, P_WHOLE, conversation_posts, doc_postings, postings, table, whole_postings, with_
 
 TEXTS = ["city", "company_name", "company_size", "education", "employment_type", "experience", "job_name", "job_url", "province", "salary", "skills"]
 
@@ -31,15 +31,14 @@ def b2(spark, sf):
     return clean.dedupe_last(postings(spark, sf, False)).select("platform", "job_id", "seq", "company_name", "salary")
 
 
-@query("B3_merge_postings", with_(P_LEAN) + f"""SELECT platform, job_id, {', '.join(fill(c) for c in TEXTS if c not in ('job_url',))},
+@query("B3_merge_postings", with_(P_WHOLE) + f"""SELECT platform, job_id, {', '.join(fill(c) for c in TEXTS if c not in ('job_url',))},
  arg_max(text, (length(text), seq)) AS job_description, max(seq) AS seq, array_to_string(list_sort(list_distinct(list(company_size))), '|') AS query_keywords
- FROM (SELECT *, repeat('x', CAST(seq % 7 AS INT)) || skills AS text FROM postings) GROUP BY platform, job_id""")
+ FROM (SELECT *, repeat('x', CAST(seq % 7 AS INT)) || chr(10) || job_description AS text FROM postings) GROUP BY platform, job_id""")
 def b3(spark, sf):
-    p = postings(spark, sf, False).withColumns({
-        "job_description": F.concat(F.repeat(F.lit("x"), (F.col("seq") % 7).cast("int")), "skills"), "query_keyword": F.col("company_size")})
-    line = F.expr("(seq div 100000000000) % 10")
-    out = clean.merge_postings(p.filter(line <= 3), p.filter(line > 3))
-    return out.withColumn("query_keywords", F.array_join("query_keywords", "|")).drop("publish_time", "job_url", "query_keyword")
+    p = whole_postings(spark, sf).withColumns({
+        "job_description": F.concat(F.repeat(F.lit("x"), (F.col("seq") % 7).cast("int")), F.lit("\n"), "job_description"), "query_keyword": F.col("company_size")})
+    out = clean.merge_postings(p.filter("seq % 3 < 2"), p.filter("seq % 3 = 2"))
+    return out.withColumn("query_keywords", F.array_join("query_keywords", "|")).drop("job_url", "query_keyword")
 
 
 @query("B4_fill_only_merge", with_(P_LEAN) + """, a AS (SELECT * FROM postings WHERE province<>'ASIA' QUALIFY row_number() OVER (PARTITION BY platform, job_id ORDER BY seq)=1),

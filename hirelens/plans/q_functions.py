@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hirelens.core import SPACE, rnd
 from hirelens.functions import groups, labels, salary, text
 from hirelens.plans.registry import query
-from hirelens.plans.views import CONV, DOCP, P_LEAN, R, SALARY, _cycle, conversation_posts, doc_postings, postings, table, with_
+from hirelens.plans.views import CONV, DOCP, P_LEAN, P_WHOLE, R, SALARY, _cycle, conversation_posts, doc_postings, postings, table, whole_postings, with_
 
 SAL = SALARY.format(src="postings")
 WORDS = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget".split()
@@ -66,10 +66,10 @@ def c7(spark, sf):
     return postings(spark, sf, False).groupBy(groups.education_group().alias("name"), groups.canonical_education().alias("ladder")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C8_employment_type", with_(P_LEAN) + """SELECT CASE employment_type WHEN '' THEN '未明确' ELSE employment_type END AS by_field, CASE WHEN province='ASIA' THEN '兼职/临时' WHEN employment_type='实习' THEN '实习' WHEN city='NATION_1' THEN '校园招聘' WHEN employment_type='全职' THEN '全职' ELSE '未明确' END AS in_context, count(*) AS n FROM postings GROUP BY 1,2""")
+@query("C8_employment_type", with_(P_WHOLE) + """SELECT CASE employment_type WHEN '' THEN '未明确' ELSE employment_type END AS by_field, CASE WHEN province='ASIA' THEN '兼职/临时' WHEN employment_type='实习' THEN '实习' WHEN city='NATION_1' THEN '校园招聘' WHEN employment_type='全职' THEN '全职' ELSE '未明确' END AS in_context, count(*) AS n FROM postings GROUP BY 1,2""")
 def c8(spark, sf):
-    p = postings(spark, sf, False).withColumns({"job_name": F.when(F.col("city") == "NATION_1", "校招").otherwise(F.col("job_name")),
-                                                "job_description": F.when(F.col("province") == "ASIA", "众包").otherwise("")})
+    p = whole_postings(spark, sf).withColumns({"job_name": F.when(F.col("city") == "NATION_1", "校招").otherwise(F.col("job_name")),
+                                                "job_description": F.concat(F.when(F.col("province") == "ASIA", "众包").otherwise(""), F.lit("\n"), "job_description")})
     return p.groupBy(groups.employment_type().alias("by_field"), groups.employment_type_in_context().alias("in_context")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,27 +140,27 @@ def c15(spark, sf):
 COHORT = "CASE WHEN seq % 4 = 0 THEN CAST(25 + seq % 3 AS VARCHAR) || '届 ' WHEN seq % 4 = 1 THEN '202' || CAST(seq % 10 AS VARCHAR) || '年校招 ' ELSE '' END"
 
 
-@query("C16_hiring_cohorts", with_(P_LEAN) + f""", t AS (SELECT *, CASE WHEN seq % 4 = 0 THEN 2025 + seq % 3 WHEN seq % 4 = 1 THEN 2020 + seq % 10 END AS y, CASE WHEN province='ASIA' THEN 2030 END AS y2 FROM postings)
+@query("C16_hiring_cohorts", with_(P_WHOLE) + f""", t AS (SELECT *, CASE WHEN seq % 4 = 0 THEN 2025 + seq % 3 WHEN seq % 4 = 1 THEN 2020 + seq % 10 END AS y, CASE WHEN province='ASIA' THEN 2030 END AS y2 FROM postings)
 SELECT CASE WHEN y IS NULL THEN coalesce(CAST(y2 AS VARCHAR),'') WHEN y2 IS NULL OR y2=y THEN CAST(y AS VARCHAR) ELSE CAST(y AS VARCHAR)||'|'||CAST(y2 AS VARCHAR) END AS years,
  CASE WHEN employment_type='实习' THEN 'internship' WHEN y IS NOT NULL OR y2 IS NOT NULL OR experience='应届毕业生' THEN 'campus' ELSE 'social' END AS stage, province='AFRICA' AND y IS NOT DISTINCT FROM 2027 AND seq % 4 = 0 AS review, count(*) AS n FROM t GROUP BY ALL""")
 def c16(spark, sf):
     s = F.col("seq")
     head = (F.when(s % 4 == 0, F.concat((25 + s % 3).cast("string"), F.lit("届 "))).when(s % 4 == 1, F.concat(F.lit("202"), (s % 10).cast("string"), F.lit("年校招 "))).otherwise(""))
-    p = postings(spark, sf, False).withColumns({
+    p = whole_postings(spark, sf).withColumns({
         "job_name": F.concat(head, "job_name"),
-        "job_description": F.when(F.col("province") == "ASIA", "面向2030届毕业生。2031届优先").when((F.col("province") == "AFRICA") & (s % 4 == 0), "非27届另议").otherwise("")})
+        "job_description": F.concat(F.when(F.col("province") == "ASIA", "面向2030届毕业生。2031届优先").when((F.col("province") == "AFRICA") & (s % 4 == 0), "非27届另议").otherwise(""), F.lit("\n"), "job_description")})
     return p.groupBy(F.array_join(labels.hiring_cohorts(), "|").alias("years"), labels.career_stage().alias("stage"), labels.cohort_needs_review().alias("review")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("C17_rule_label", with_(P_LEAN) + """, t AS (SELECT *, CASE WHEN skills LIKE '%ring%' THEN '爬虫工程师' WHEN skills LIKE '%rod%' THEN '数据开发' ELSE '' END AS h, CASE WHEN province='ASIA' THEN '负责数据采集系统的部署' ELSE '' END AS b FROM postings),
+@query("C17_rule_label", with_(P_WHOLE) + """, t AS (SELECT *, CASE WHEN skills LIKE '%ring%' THEN '爬虫工程师' WHEN skills LIKE '%rod%' THEN '数据开发' ELSE '' END AS h, CASE WHEN province='ASIA' THEN '负责数据采集系统的部署' ELSE '' END AS b FROM postings),
  g AS (SELECT *, CASE WHEN h LIKE '爬虫%' THEN '高' WHEN b<>'' THEN '中' WHEN city='NATION_1' THEN '非目标' ELSE '低' END AS grade FROM t),
  j AS (SELECT *, CASE WHEN grade='非目标' THEN '其他' WHEN h LIKE '爬虫%' THEN '爬虫工程师' WHEN b<>'' THEN '数据采集工程师' ELSE '其他' END AS job FROM g)
 SELECT grade AS relevance_grade, job AS standard_job, CASE WHEN experience IN ('经验不限','应届毕业生') THEN '入门/初级' WHEN experience='1-3年' THEN '初中级' ELSE CASE WHEN experience='3-5年' THEN '中高级' ELSE '中高级' END END AS seniority,
  CASE WHEN grade='非目标' THEN '非目标岗位' WHEN grade='高' THEN '已确认' ELSE '待AI复核' END AS label_status, count(*) AS n FROM j GROUP BY ALL""")
 def c17(spark, sf):
-    p = postings(spark, sf, False).withColumns({
+    p = whole_postings(spark, sf).withColumns({
         "job_name": F.concat(F.when(F.col("skills").contains("ring"), "爬虫工程师").when(F.col("skills").contains("rod"), "数据开发").otherwise(""), "job_name"),
-        "job_description": F.when(F.col("province") == "ASIA", "负责数据采集系统的部署").otherwise(""),
+        "job_description": F.concat(F.when(F.col("province") == "ASIA", "负责数据采集系统的部署").otherwise(""), F.lit("\n"), "job_description"),
         "relevance_level": F.when(F.col("city") == "NATION_1", "平台关键词匹配").otherwise("")})
     return labels.rule_label(p).groupBy("relevance_grade", "standard_job", "seniority", "label_status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -181,10 +181,10 @@ def c18(spark, sf):
     return q.select("id", F.size("q").alias("n"), F.array_join(F.array_sort(F.transform("q", text.question_key)), "|").alias("keys"))
 
 
-@query("C19_minimum_degree", with_(P_LEAN) + """SELECT CASE WHEN experience='1-3年' THEN '硕士' WHEN experience='3-5年' THEN '博士' ELSE education END AS degree, count(*) AS n FROM postings GROUP BY 1""")
+@query("C19_minimum_degree", with_(P_WHOLE) + """SELECT CASE WHEN experience='1-3年' THEN '硕士' WHEN experience='3-5年' THEN '博士' ELSE education END AS degree, count(*) AS n FROM postings GROUP BY 1""")
 def c19(spark, sf):
     body = F.when(F.col("experience") == "1-3年", "需要硕士及以上学历；博士学位优先").when(F.col("experience") == "3-5年", "硕士学历。博士研究生学历").otherwise("本科或硕士学历均可")
-    p = postings(spark, sf, False).withColumn("job_description", body)
+    p = whole_postings(spark, sf, body)
     return p.groupBy(labels.minimum_degree().alias("degree")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -9,7 +9,7 @@ from hirelens.functions import text
 from hirelens.operators import mining, near
 from hirelens.plans.q_functions import SECTIONED, sectioned
 from hirelens.plans.registry import query
-from hirelens.plans.views import DOCP, P_LEAN, R, doc_postings, postings, table, with_
+from hirelens.plans.views import DOCP, P_LEAN, P_WHOLE, R, doc_postings, postings, table, whole_postings, with_
 
 # Words and 2 to 3 word phrases of each document, as in the operator.
 TERMS = r"""w AS MATERIALIZED (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{2}'), lambda x: length(x)>=2 AND NOT regexp_matches(x,'^\d+$') AND x NOT IN ('ai','aigc')) AS w FROM documents),
@@ -56,11 +56,11 @@ def i5(spark, sf):
     return out.select("doc_id", F.array_join(F.array_sort("keyword_hits"), "|").alias("hits"))
 
 
-@query("I6_production_evidence", with_(P_LEAN) + """SELECT CASE WHEN province='ASIA' THEN 1 WHEN province='AFRICA' THEN 0 ELSE 0 END + CASE WHEN city IN ('NATION_1','NATION_2') THEN 1 ELSE 0 END AS sentences, province='ASIA' AND skills LIKE '%ring%' AS seed, count(*) AS n FROM postings GROUP BY 1,2""")
+@query("I6_production_evidence", with_(P_WHOLE) + """SELECT CASE WHEN province='ASIA' THEN 1 WHEN province='AFRICA' THEN 0 ELSE 0 END + CASE WHEN city IN ('NATION_1','NATION_2') THEN 1 ELSE 0 END AS sentences, province='ASIA' AND skills LIKE '%ring%' AS seed, count(*) AS n FROM postings GROUP BY 1,2""")
 def i6(spark, sf):
-    p = postings(spark, sf, False)
+    p = whole_postings(spark, sf)
     body = F.concat(F.when(F.col("province") == "ASIA", "独立制作动画短片。").when(F.col("province") == "AFRICA", "标注视频生成数据。").otherwise("负责行政。"), F.when(F.col("city").isin("NATION_1", "NATION_2"), "剪辑宣传片").otherwise("其他"))
-    p = p.withColumns({"job_description": body, "job_name": F.when(F.col("skills").contains("ring"), "AI漫剧制作").otherwise("助理")})
+    p = p.withColumns({"job_description": F.concat(body, F.lit("\n"), "job_description"), "job_name": F.when(F.col("skills").contains("ring"), "AI漫剧制作").otherwise("助理")})
     return p.groupBy(F.size(mining.production_evidence()).alias("sentences"), (mining.strict_seed() & (F.col("province") == "ASIA")).alias("seed")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -80,9 +80,9 @@ def i8(spark, sf):
     return mining.topic_keywords(p, F.col("skills").contains("ring"), ".").select("name", "strength", "seed_count", "total_count", "seed_rate", "lift", "score")
 
 
-@query("I8_match_topics", with_(P_LEAN) + "SELECT CASE WHEN skills LIKE '%bolt%' THEN '核心词直接命中' WHEN skills LIKE '%ring%' THEN '高区分度主题词命中' WHEN skills='red gear' THEN '多个主题词联合命中' ELSE '未匹配' END AS match_method, count(*) AS n FROM postings GROUP BY 1")
+@query("I8_match_topics", with_(P_WHOLE) + "SELECT CASE WHEN skills LIKE '%bolt%' THEN '核心词直接命中' WHEN skills LIKE '%ring%' THEN '高区分度主题词命中' WHEN skills='red gear' THEN '多个主题词联合命中' ELSE '未匹配' END AS match_method, count(*) AS n FROM postings GROUP BY 1")
 def i8m(spark, sf):
-    p = postings(spark, sf, False).withColumn("job_description", F.lit(""))
+    p = whole_postings(spark, sf)
     topics = spark.createDataFrame([("ring", "strong"), ("red", "supporting"), ("gear", "supporting")], "name string, strength string")
     return mining.match_topics(p, topics, F.col("skills").contains("bolt")).groupBy("match_method").agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,26 +90,32 @@ def i8m(spark, sf):
 S_RULES, T_RULES = [("red", "(?i)red"), ("blue", "(?i)blue")], [("ring", "(?i)ring"), ("rod", "(?i)rod")]
 
 
-@query("I9_joint_expansion", with_(P_LEAN) + "SELECT count(*) AS n, count(*) FILTER (skills LIKE '%ring%' AND (skills LIKE '%red%' OR skills LIKE '%blue%')) AS matched FROM postings")
+_RULES = [("red", 0.03, 0.0), ("blue", 0.03, 0.0), ("ring", 0.08, 1.5), ("rod", 0.08, 1.5)]
+
+
+@query("I9_joint_expansion", with_(P_WHOLE) + ", f AS MATERIALIZED (SELECT skills LIKE '%ring%' AS seed, " + ", ".join(f"contains(x, '{n}') AS {n}" for n, _, _ in _RULES) + " FROM (SELECT skills, lower(job_name || chr(10) || skills || chr(10) || job_description) AS x FROM postings)), m AS MATERIALIZED (SELECT name FROM ("
+       + " UNION ALL ".join(f"SELECT '{n}' AS name, {rate} AS rate, {lift} AS least, count(*) FILTER ({n} AND seed) AS sc, count(*) FILTER ({n}) AS tc, count(*) FILTER (seed) AS seeds, count(*) AS n FROM f" for n, rate, lift in _RULES)
+       + ") WHERE seeds >= 5 AND sc >= greatest(2, ceil(seeds * rate)) AND round(sc / seeds, 3) >= rate AND round((sc / seeds) / greatest(tc / n, 1 / n), 2) >= least), k AS (SELECT " + ", ".join(f"count(*) FILTER (name = '{n}') > 0 AS k_{n}" for n, _, _ in _RULES)
+       + " FROM m) SELECT count(*) AS n, count(*) FILTER ((red AND k_red OR blue AND k_blue) AND (ring AND k_ring OR rod AND k_rod)) AS matched FROM f, k")
 def i9(spark, sf):
-    p = postings(spark, sf, False).withColumn("job_description", F.lit(""))
+    p = whole_postings(spark, sf)
     _, out = mining.joint_expansion(p, F.col("skills").contains("ring"), S_RULES, T_RULES)
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_if("matched").alias("matched"))
 
 
-@query("I10_role_evidence", with_(P_LEAN) + """SELECT CASE province WHEN 'ASIA' THEN 'include' WHEN 'EUROPE' THEN 'review' WHEN 'AFRICA' THEN 'review' ELSE 'exclude' END AS decision, CASE province WHEN 'ASIA' THEN 4.5 WHEN 'EUROPE' THEN 3.0 ELSE 0.0 END AS score, count(*) AS n FROM postings GROUP BY 1,2""")
+@query("I10_role_evidence", with_(P_WHOLE) + """SELECT CASE province WHEN 'ASIA' THEN 'include' WHEN 'EUROPE' THEN 'review' WHEN 'AFRICA' THEN 'review' ELSE 'exclude' END AS decision, CASE province WHEN 'ASIA' THEN 4.5 WHEN 'EUROPE' THEN 3.0 ELSE 0.0 END AS score, count(*) AS n FROM postings GROUP BY 1,2""")
 def i10(spark, sf):
     body = (F.when(F.col("province") == "ASIA", "岗位职责：负责agent与rag平台开发").when(F.col("province") == "EUROPE", "任职要求：有agent系统开发经验")
             .when(F.col("province") == "AFRICA", "岗位职责：了解agent方向").otherwise("岗位职责：行政工作"))
-    p = postings(spark, sf, False).withColumn("job_description", body)
+    p = whole_postings(spark, sf, body)
     out = mining.role_evidence(p, ["agent", "rag"])
     return out.groupBy("decision", F.col("evidence_score").alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("I10_clause_evidence", with_(P_LEAN) + """SELECT CASE WHEN province='ASIA' AND skills NOT LIKE '%ring%' THEN 'include' WHEN province IN ('ASIA','EUROPE') THEN 'review' ELSE 'exclude' END AS decision, count(*) AS n FROM postings GROUP BY 1""")
+@query("I10_clause_evidence", with_(P_WHOLE) + """SELECT CASE WHEN province='ASIA' AND skills NOT LIKE '%ring%' THEN 'include' WHEN province IN ('ASIA','EUROPE') THEN 'review' ELSE 'exclude' END AS decision, count(*) AS n FROM postings GROUP BY 1""")
 def i10c(spark, sf):
     body = F.when(F.col("province") == "ASIA", "岗位职责：负责服务器运维，其他").when(F.col("province") == "EUROPE", "任职要求：熟悉服务器运维").otherwise("岗位职责：行政工作")
-    p = postings(spark, sf, False).withColumn("job_description", body)
+    p = whole_postings(spark, sf, body)
     out = mining.clause_evidence(p, [("服务器", "服务器"), ("数据库", "数据库")], "运维|监控", "负责|承担", "熟悉|掌握|了解", title_conflict="ring")
     return out.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
 

@@ -10,7 +10,7 @@ from hirelens.operators import rank, sample
 from hirelens.plans.q_functions import SECTIONED, SENT, WORDS, sectioned
 from hirelens.plans.q_stats import base
 from hirelens.plans.registry import query
-from hirelens.plans.views import CONV, DOCP, P_LEAN, POSTS, R, conversation_posts, doc_postings, interview_posts, postings, table, with_
+from hirelens.plans.views import CONV, DOCP, POSTS, P_LEAN, P_WHOLE, R, conversation_posts, doc_postings, interview_posts, postings, table, whole_postings, with_
 
 NOW = "2024-02-01 00:00:00"
 INFL = f"""lg AS (SELECT *, ln(1+view_count) AS m0, ln(1+like_count) AS m1, ln(1+collect_count) AS m2, ln(1+total_comment_count) AS m3, 0.15 + (like_count IS NOT NULL)::INT*0.2 + (collect_count IS NOT NULL)::INT*0.4 + (total_comment_count IS NOT NULL)::INT*0.25 AS cov, (epoch(TIMESTAMP '{NOW}')-epoch(created_at))/86400.0 AS age FROM posts),
@@ -146,7 +146,7 @@ TERMS = {"title": ["ring"], "duty": ["bolt", "red"], "adjacent": ["rod", "hot"],
 
 
 def stratified_source(spark, sf):
-    p = postings(spark, sf, False).withColumn("job_description", F.col("skills"))
+    p = whole_postings(spark, sf, F.col("skills"))
     return sample.retrieval_strata(p, TERMS).withColumns({"id": F.col("seq"), "company": F.col("company_name")})
 
 
@@ -155,9 +155,12 @@ def h2(spark, sf):
     return sample.stratified_sample(stratified_source(spark, sf), 300).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("H2_target_order", with_(P_LEAN) + """, s AS (SELECT *, 4*regexp_matches(job_name,'(^| )ring')::INT + 2*(regexp_matches(skills,'bolt')::INT + regexp_matches(skills,'red')::INT) + regexp_matches(skills,'blue')::INT + regexp_matches(skills,'old')::INT AS sc FROM postings WHERE skills LIKE '%ring%'), t AS (SELECT seq, row_number() OVER (PARTITION BY company_name ORDER BY sc DESC, seq) AS turn, first_value(-sc) OVER w AS l1, first_value(seq) OVER w AS l2 FROM s WINDOW w AS (PARTITION BY company_name ORDER BY sc DESC, seq)),
- e AS (SELECT seq, row_number() OVER (ORDER BY seq)-1 AS i FROM postings), r AS (SELECT seq FROM e WHERE i IN (SELECT CAST(floor(k*(SELECT count(*) FROM postings)/60.0) AS BIGINT) FROM range(60) r(k)))
-SELECT seq FROM r UNION ALL SELECT seq FROM (SELECT seq FROM (SELECT seq, turn, l1, l2 FROM (SELECT seq, row_number() OVER (PARTITION BY company_name ORDER BY sc DESC, seq) AS turn, first_value(-sc) OVER w AS l1, first_value(seq) OVER w AS l2 FROM s WHERE seq NOT IN (SELECT seq FROM r) WINDOW w AS (PARTITION BY company_name ORDER BY sc DESC, seq))) ORDER BY turn, l1, l2 LIMIT 180)""".replace("old')::INT AS sc", "(^| )old')::INT AS sc"))
+STRATA = """hs AS MATERIALIZED (SELECT *, regexp_matches(ttl,'(^|[^a-z0-9_])ring($|[^a-z0-9_])')::INT AS t, regexp_matches(body,'(^|[^a-z0-9_])bolt($|[^a-z0-9_])')::INT + regexp_matches(body,'(^|[^a-z0-9_])red($|[^a-z0-9_])')::INT AS d, regexp_matches(ttl||' '||body,'(^|[^a-z0-9_])rod($|[^a-z0-9_])')::INT + regexp_matches(ttl||' '||body,'(^|[^a-z0-9_])hot($|[^a-z0-9_])')::INT AS a, regexp_matches(body,'(^|[^a-z0-9_])blue($|[^a-z0-9_])')::INT AS s, regexp_matches(body,'(^|[^a-z0-9_])old($|[^a-z0-9_])')::INT AS b FROM (SELECT *, lower(job_name) AS ttl, lower(skills||chr(10)||job_description) AS body FROM postings)),
+ st AS MATERIALIZED (SELECT *, t>0 OR d>=2 OR (s>=2 AND (d>0 OR b>0)) AS target, least(4,t)*4+least(5,d)*2+least(3,s)+least(2,b) AS sc FROM hs)"""
+
+
+@query("H2_target_order", with_(P_WHOLE, STRATA) + """, e AS (SELECT seq, row_number() OVER (ORDER BY seq)-1 AS i FROM postings), r AS (SELECT seq FROM e WHERE i IN (SELECT CAST(floor(k*(SELECT count(*) FROM postings)/60.0) AS BIGINT) FROM range(60) r(k)))
+SELECT seq FROM r UNION ALL SELECT seq FROM (SELECT seq, row_number() OVER w AS turn, first_value(-sc) OVER w AS l1, first_value(seq) OVER w AS l2 FROM st WHERE target AND seq NOT IN (SELECT seq FROM r) WINDOW w AS (PARTITION BY company_name ORDER BY sc DESC, seq) ORDER BY turn, l1, l2 LIMIT 180)""")
 def h2t(spark, sf):
     return sample.stratified_sample(stratified_source(spark, sf), 300).filter("stratum in ('random_source', 'target_candidate')").select("seq")
 
@@ -204,8 +207,6 @@ def h8(spark, sf):
     return sample.time_holdout(p).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("day"), "yyyy-MM-dd").alias("first_day"))
 
 
-@query("H9_retrieval_strata", with_(P_LEAN) + r""", h AS (SELECT seq, 1*regexp_matches(lower(job_name),'(^| )ring($| )')::INT AS t, regexp_matches(skills,'(^| )bolt($| )')::INT + regexp_matches(skills,'(^| )red($| )')::INT AS d, regexp_matches(lower(job_name||' '||skills),'(^| )rod($| )')::INT + regexp_matches(lower(job_name||' '||skills),'(^| )hot($| )')::INT AS a,
- regexp_matches(skills,'(^| )blue($| )')::INT AS s, regexp_matches(skills,'(^| )old($| )')::INT AS b FROM postings), g AS (SELECT *, t>0 OR d>=2 OR (s>=2 AND (d>0 OR b>0)) AS target FROM h)
-SELECT target, NOT target AND (d>0 OR a>0 OR s>0 OR b>0) AS related, CAST(least(4,t)*4+least(5,d)*2+least(3,s)+least(2,b) AS INT) AS score, count(*) AS n FROM g GROUP BY ALL""")
+@query("H9_retrieval_strata", with_(P_WHOLE, STRATA) + """SELECT target, NOT target AND (d>0 OR a>0 OR s>0 OR b>0) AS related, CAST(sc AS INT) AS score, count(*) AS n FROM st GROUP BY ALL""")
 def h9(spark, sf):
     return stratified_source(spark, sf).groupBy("target", "related", "score").agg(F.count(F.lit(1)).alias("n"))

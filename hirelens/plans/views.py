@@ -81,6 +81,30 @@ def doc_postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+REGIONS = ("ASIA", "AFRICA", "EUROPE", "AMERICA", "MIDDLE EAST")
+URGENCY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def whole_postings(spark: SparkSession, sf: str, ahead=None) -> DataFrame:
+    """The columns of `postings` with one row per document and its whole text as description, three versions to a job.
+
+    `ahead` is a column of text that stands on a line of its own before the document.
+    """
+    t = lambda n: table(spark, sf, n)
+    n = t("part").agg(F.count(F.lit(1)).alias("n_parts"))
+    d = F.col("doc_id")
+    q, s = d % 50 + 1, lambda c: c.cast("string")
+    salary = (F.when(d % 5 == 0, F.lit("面议")).when(d % 5 == 1, F.concat(s(q), F.lit("-"), s(q + 5), F.lit("K·13薪"))).when(d % 5 == 2, F.concat(s(q * 10), F.lit("-"), s(q * 10 + 50), F.lit("元/天")))
+              .when(d % 5 == 3, F.concat(s(q), F.lit("-"), s(q + 10), F.lit("万元/年"))).otherwise(F.concat(s(q * 1000), F.lit("-"), s(q * 1000 + 2000), F.lit("元/月"))))
+    rows = t("documents").crossJoin(F.broadcast(n)).join(t("part").select("p_partkey", "p_type", "p_name", "p_size"), F.col("p_partkey") == d % F.col("n_parts")).select(
+        _cycle(F.expr("doc_id div 3"), 5, *URGENCY).alias("platform"), F.expr("doc_id div 3").cast("string").alias("job_id"), d.alias("seq"), F.concat("p_type", F.lit(" "), "p_name").alias("job_name"),
+        F.col("source").alias("company_name"), F.concat(F.lit("NATION_"), s(d % 7)).alias("city"), _cycle(d, 5, *REGIONS).alias("province"), salary.alias("salary"),
+        _cycle(F.col("p_size"), 5, "经验不限", "1-3年", "3-5年", "5-10年", "应届毕业生").alias("experience"), _cycle(F.col("p_size"), 4, "大专", "本科", "硕士", "").alias("education"),
+        _cycle(d, 4, "20-99人", "150-500人", "1000-9999人", "1万人以上").alias("company_size"), _cycle(d, 3, "全职", "实习", "").alias("employment_type"), F.col("p_name").alias("skills"),
+        F.coalesce("text", F.lit("")).alias("job_description"), F.concat(F.lit("https://jobs.example.com/"), s(d)).alias("job_url"))
+    return rows if ahead is None else rows.withColumn("job_description", F.concat(ahead, F.lit("\n"), "job_description"))
+
+
 def interview_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Events as posts with four optional counters."""
     e = table(spark, sf, "events")
@@ -132,6 +156,15 @@ SELECT d.lang AS platform, CAST(d.doc_id AS VARCHAR) AS job_id, d.doc_id AS seq,
  CASE WHEN d.doc_id % 3 = 0 THEN '实习' ELSE '全职' END AS employment_type, p.p_name AS skills, d.text AS job_description,
  concat('https://jobs.example.com/',CAST(d.doc_id AS VARCHAR)) AS job_url
 FROM documents d JOIN part p ON p.p_partkey = d.doc_id % (SELECT count(*) FROM part))"""
+def _case(c: str, n: int, *values: str) -> str:
+    return f"CASE {c} % {n} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1])) + f" ELSE '{values[-1]}' END"
+
+
+P_WHOLE = f"""postings AS MATERIALIZED (SELECT {_case('(d.doc_id // 3)', 5, *URGENCY)} AS platform, CAST(d.doc_id // 3 AS VARCHAR) AS job_id, d.doc_id AS seq, concat(p.p_type,' ',p.p_name) AS job_name, d.source AS company_name,
+ 'NATION_' || (d.doc_id % 7) AS city, {_case('d.doc_id', 5, *REGIONS)} AS province, CASE d.doc_id % 5 WHEN 0 THEN '面议' WHEN 1 THEN q || '-' || (q+5) || 'K·13薪' WHEN 2 THEN (q*10) || '-' || (q*10+50) || '元/天' WHEN 3 THEN q || '-' || (q+10) || '万元/年' ELSE (q*1000) || '-' || (q*1000+2000) || '元/月' END AS salary,
+ {_case('p.p_size', 5, '经验不限', '1-3年', '3-5年', '5-10年', '应届毕业生')} AS experience, {_case('p.p_size', 4, '大专', '本科', '硕士', '')} AS education, {_case('d.doc_id', 4, '20-99人', '150-500人', '1000-9999人', '1万人以上')} AS company_size,
+ {_case('d.doc_id', 3, '全职', '实习', '')} AS employment_type, p.p_name AS skills, coalesce(d.text, '') AS job_description, 'https://jobs.example.com/' || d.doc_id AS job_url
+FROM (SELECT *, doc_id % 50 + 1 AS q FROM documents) d JOIN part p ON p.p_partkey = d.doc_id % (SELECT count(*) FROM part))"""
 # Salary read independently of the Spark parser: the view holds four parsable shapes.
 SALARY = """sal AS MATERIALIZED (SELECT *, CASE WHEN period='month' THEN mid/1000 WHEN period='day' THEN mid*21.75/1000 END AS mk,
  CASE WHEN period='month' THEN mid/1000 END AS month_k FROM (SELECT *, (lo+hi)/2 AS mid FROM (SELECT *,
