@@ -109,14 +109,25 @@ def _sum(slot: list) -> int:
 # the body of an element or a group is a list.
 
 
-def fold(nodes: list) -> tuple[list, list]:
-    """(items, instances): the nodes as a union-free expression, and for every item the nodes that each repetition holds."""
+def fold(nodes: list, memo: dict | None = None) -> tuple[list, list]:
+    """(items, instances): the nodes as a union-free expression, and for every item the nodes that each repetition holds.
+
+    Lists of children are folded from the innermost outwards, each once; `memo` keeps them.
+    """
+    memo = {} if memo is None else memo
+    if id(nodes) not in memo:
+        lists = [nodes]
+        for part in lists:
+            lists += [node[1] for node in part if node[0] != SLOT and id(node[1]) not in memo]
+        for part in reversed(lists):
+            memo[id(part)] = _folded(part, memo)
+    return memo[id(nodes)]
+
+
+def _folded(nodes: list, memo: dict) -> tuple[list, list]:
     items, held = [], []
     for node in nodes:
-        if node[0] == SLOT:
-            items.append([SLOT, "1", [_sum(node), node[4]]])
-        else:
-            items.append([node[0], "1", fold(node[1])[0]])
+        items.append([SLOT, "1", [_sum(node), node[4]]] if node[0] == SLOT else [node[0], "1", memo[id(node[1])][0]])
         held.append([[node]])
     size = 1
     while size <= min(6, len(items) // 2):
@@ -148,12 +159,22 @@ def _marks(a: str, b: str) -> str:
     return {(False, False): "1", (True, False): "+", (False, True): "?", (True, True): "*"}[(a in many or b in many, a in may or b in may)]
 
 
+def _finish(todo: list) -> None:
+    """Fill the holes (a, b, hole) with the expressions found for both; children leave holes of their own."""
+    while todo:
+        a, b, hole = todo.pop()
+        if a[0] == SLOT:
+            same = a[2] and b[2] and a[2][0] == b[2][0]
+            hole[:] = [SLOT, _marks(a[1], b[1]), [a[2][0], a[2][1] if a[2][1] == b[2][1] else 0] if same else None]
+        else:
+            hole[:] = [a[0], _marks(a[1], b[1]), _aligned(a[2], b[2], todo)]
+
+
 def merge(a: list, b: list) -> list:
     """The smallest expression found for both: slots that differ become variable, unmatched items optional, runs repeated."""
-    if a[0] == SLOT:
-        same = a[2] and b[2] and a[2][0] == b[2][0]
-        return [SLOT, _marks(a[1], b[1]), [a[2][0], a[2][1] if a[2][1] == b[2][1] else 0] if same else None]
-    return [a[0], _marks(a[1], b[1]), align(a[2], b[2])]
+    whole: list = []
+    _finish([(a, b, whole)])
+    return whole
 
 
 def _grouped(items: list, other: list) -> list:
@@ -190,22 +211,39 @@ def pairs(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def align(a: list, b: list) -> list:
-    """Two item lists as one: what only one side has becomes optional."""
+def _aligned(a: list, b: list, todo: list) -> list:
     a, b = _grouped(a, b), _grouped(b, a)
-    out = []
+    out: list = []
     for i, j in pairs(a, b):
         if i >= 0 and j >= 0:
-            out.append(merge(a[i], b[j]))
+            out.append([])
+            todo.append((a[i], b[j], out[-1]))
         else:
             x = a[i] if i >= 0 else b[j]
             out.append([x[0], _marks(x[1], "?"), x[2]])
     return out
 
 
+def align(a: list, b: list) -> list:
+    """Two item lists as one: what only one side has becomes optional."""
+    todo: list = []
+    out = _aligned(a, b, todo)
+    _finish(todo)
+    return out
+
+
 def _has_main(nodes: list) -> bool:
     """Whether a reader of the page comes to a marked article: not through what is never read."""
-    return any(x[0] != SLOT and (_main(x[0]) or not _skipped(x[0]) and _has_main(x[1])) for x in nodes)
+    todo = [nodes]
+    while todo:
+        for x in todo.pop():
+            if x[0] == SLOT:
+                continue
+            if _main(x[0]):
+                return True
+            if not _skipped(x[0]):
+                todo.append(x[1])
+    return False
 
 
 def _skipped(key: str) -> bool:
@@ -224,11 +262,42 @@ def _never(key: str) -> bool:
 
 
 def _slots(items: list):
-    for x in items:
-        if x[0] == SLOT:
-            yield x[2]
-        else:
-            yield from _slots(x[2])
+    todo = [items]
+    while todo:
+        for x in todo.pop():
+            if x[0] == SLOT:
+                yield x[2]
+            else:
+                todo.append(x[2])
+
+
+def dumps(items: list) -> str:
+    """A wrapper as one flat list: key, mark, and the body of a slot or the number of items of an element."""
+    flat: list = [len(items)]
+    todo = list(reversed(items))
+    while todo:
+        key, mark, body = todo.pop()
+        flat += [key, mark, body if key == SLOT else len(body)]
+        if key != SLOT:
+            todo += reversed(body)
+    return json.dumps(flat)
+
+
+def loads(text: str) -> list:
+    flat = json.loads(text)
+    root: list = []
+    stack, at = [(root, flat[0])], 1
+    while stack:
+        body, size = stack[-1]
+        if len(body) == size:
+            stack.pop()
+            continue
+        key, mark, held = flat[at:at + 3]
+        at += 3
+        body.append([key, mark, held if key == SLOT else []])
+        if key != SLOT:
+            stack.append((body[-1][2], held))
+    return root
 
 
 def varies(items: list) -> bool:
@@ -239,13 +308,21 @@ def varies(items: list) -> bool:
 
 def read(page: str, wrapper: list | None, single: bool) -> str:
     """The text of the page's slots that the wrapper holds for main text, in page order."""
-    root = parse(page)
-    whole = wrapper or fold(root[1])[0]
+    root, memo = parse(page), {}
+    whole = wrapper or fold(root[1], memo)[0]
     marked = _has_main(root[1])
     blocks: list[str] = []
 
-    def walk(nodes: list, items: list, inside: bool) -> None:
-        folded, held = fold(nodes)
+    def keep(node: list, slot: list, inside: bool) -> None:
+        # On a page without a marked article: text that is not mostly links, nor the same on different pages of the host.
+        if inside if marked else (single or slot[2] != [_sum(node), 0]) and node[3] * 2 <= node[2]:
+            text = " ".join(html.unescape(_text(node)).split())
+            if text:
+                blocks.append(text)
+
+    def steps(nodes: list, items: list, inside: bool):
+        """What stands in a list of nodes, in page order: (nodes, items, inside) to go into, or (slot, item, inside)."""
+        folded, held = fold(nodes, memo)
         # Runs that are a group on the wrapper's side are looked at item by item, as they are written here.
         flat = [y for x in items for y in (x[2] if x[0].startswith("(") else [x])] if not any(f[0].startswith("(") for f in folded) else items
         partner = {i: j for i, j in pairs(folded, flat) if i >= 0}
@@ -253,22 +330,24 @@ def read(page: str, wrapper: list | None, single: bool) -> str:
             mine = flat[partner[i]] if partner.get(i, -1) >= 0 else item
             for run in runs:
                 if item[0].startswith("("):
-                    walk(run, mine[2], inside)
+                    groups.append(run)
+                    yield run, mine[2], inside
                     continue
                 for node in run:
                     if node[0] == SLOT:
-                        keep(node, mine, inside)
+                        yield node, mine, inside
                     elif not (_never(node[0]) if inside or _main(node[0]) else _skipped(node[0])):
-                        walk(node[1], mine[2], inside or _main(node[0]))
-
-    def keep(node: list, slot: list, inside: bool) -> None:
-        # On a page without a marked article: text that is not mostly links, nor the same on different pages of the host.
-        if inside if marked else (single or slot[2] != [_sum(node), 0]) and node[3] * 2 <= node[2]:
-            text = " ".join(html.unescape(_text(node)).split())
-            if text:
-                blocks.append(text)
-
-    walk(root[1], whole, False)
+                        yield node[1], mine[2], inside or _main(node[0])
+
+    # Lists made for groups are kept, as the memo knows lists by their place in memory.
+    groups: list = []
+    todo = [(root[1], whole, False)]
+    while todo:
+        nodes, items, inside = todo.pop()
+        if nodes and nodes[0] == SLOT:
+            keep(nodes, items, inside)
+        else:
+            todo += reversed(list(steps(nodes, items, inside)))
     return " ".join(blocks)
 
 
@@ -286,7 +365,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null and empty html: empty text. Pages without a host form one host. Rows are returned
     one for one, null ids and repeated rows too; other columns are left out. An empty table
-    gives an empty result.
+    gives an empty result. Elements may be nested to any depth.
     """
     spark = pages.sparkSession
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
@@ -307,8 +386,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def union(group: pa.Table) -> pa.Table:
         whole = None
         for text in sorted(group.column("wrapper").to_pylist()):
-            whole = json.loads(text) if whole is None else align(whole, json.loads(text))
-        return pa.Table.from_arrays([group.column("host").slice(0, 1), pa.chunked_array([[json.dumps(whole)]])], ["host", "wrapper"])
+            whole = loads(text) if whole is None else align(whole, loads(text))
+        return pa.Table.from_arrays([group.column("host").slice(0, 1), pa.chunked_array([[dumps(whole)]])], ["host", "wrapper"])
 
     parts = src.select("html", "host").mapInArrow(infer, "host string, wrapper string").distinct()
     # Two levels: a host seen by very many tasks is first united in 64 parts.
@@ -323,7 +402,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 if wrapper not in known:
                     if len(known) > 2000:
                         known.clear()
-                    shape = json.loads(wrapper) if wrapper else []
+                    shape = loads(wrapper) if wrapper else []
                     known[wrapper] = (shape, not varies(shape))
                 texts.append(read(page or "", *known[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
@@ -333,4 +412,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 
 def _table(found: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([json.dumps(w) for w in found.values()], pa.string())})
+    return pa.RecordBatch.from_pydict({"host": pa.array(list(found), pa.string()), "wrapper": pa.array([dumps(w) for w in found.values()], pa.string())})

@@ -86,3 +86,12 @@ def test_search_and_licences(spark):
     hits = [r for r in search.top_k(docs, docs.filter("doc_id = 8"), k=2).collect()]
     assert [(r["rank"], r["doc_id"]) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, 8), (2, 9)]
     assert licences.scan_licences(docs).collect() == []
+
+
+def test_deeply_nested_pages(spark):
+    deep = "<div>" * 5000 + "<p>deep {0}</p>" + "</div>" * 5000 + "<nav>" * 1200 + "menu"
+    rows = [(i, "https://deep.example/", "<article>" + deep.format(i) + "</article>") for i in range(2)] + [(i, "https://plain.example/", deep.format(i)) for i in (2, 3)]
+    out = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"deep {i}" for i in range(4)}
+    shape = wrappers.fold(wrappers.parse(deep + "<ul>" + "<li>x</li>" * 3 + "</ul>")[1])[0]
+    assert wrappers.dumps(wrappers.loads(wrappers.dumps(shape))) == wrappers.dumps(shape)
