@@ -127,14 +127,19 @@ def facet_values(province: str = "province") -> dict[str, Column]:
 def facet_options(df: DataFrame, profile: dict[str, str], values: dict[str, Column] | None = None) -> DataFrame:
     """(facet, value, n) under all other facet choices, in one pass over the rows.
 
-    A row counts for a facet if it misses no chosen facet except possibly that one.
+    A row counts for a facet if it misses no chosen facet except possibly that one. Rows of equal facets
+    are counted first, so only their few combinations are written out by facet.
     """
     values = values or facet_values()
-    df = df.select(*[c.alias(f) for f, c in values.items()])
+    raw = {f: f"_{f}" for f in values}
+    # Facets follow from the raw columns: the raw combinations are counted before any text is parsed.
+    used = [c for c in ("experience", "education", "company_size", "employment_type", "province") if c in df.columns] if values.keys() == facet_values().keys() and "province" in df.columns else []
+    cells = df.groupBy(*used).agg(F.count(F.lit(1)).alias("_n")) if used else df.withColumn("_n", F.lit(1))
+    df = cells.select("_n", *[c.alias(raw[f]) for f, c in values.items()]).groupBy(*raw.values()).agg(F.sum("_n").alias("_n")).select("_n", *[F.col(r).alias(f) for f, r in raw.items()])
     missed = {f: (F.col(f) != profile[f]).cast("int") if profile.get(f) else F.lit(0) for f in values}
     total = sum(missed.values(), F.lit(0))
     pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value"), (total - missed[f] == 0).alias("keep")) for f in values])
-    return (df.select(F.explode(pairs).alias("p")).filter("p.keep").groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n")))
+    return df.select("_n", F.explode(pairs).alias("p")).filter("p.keep").groupBy("p.facet", "p.value").agg(F.sum("_n").alias("n"))
 
 
 def assess_fit(postings: DataFrame, profiles: DataFrame, most_profiles: int = 10_000) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.core import SPACE, compact, filled, first_per_key, halfwidth, let, rnd, text, top_rows
@@ -145,23 +146,44 @@ def learn_role_keywords(df: DataFrame, title_pattern: str, algorithm: str = "tfi
     return top_rows(out, [F.col("rank")], k).drop("_seeds", "_rows")
 
 
-def match_keywords(df: DataFrame, keywords: DataFrame, minimum: int = 2, body: Column | None = None, batch: int = 1000) -> DataFrame:
+def match_keywords(df: DataFrame, keywords: DataFrame, minimum: int = 2, body: Column | None = None, block_bytes: int = 1 << 25) -> DataFrame:
     """Postings with enough independent keyword hits; a keyword inside a longer hit does not count.
 
-    Keywords reach the postings in batches of about `batch`, which bounds each broadcast row;
-    every keyword is matched.
+    Every text is read once by an automaton of all keywords, whatever their number; keywords of more
+    than `block_bytes` go through in several automata, which bounds what a task holds.
     """
-    words = keywords.select(F.lower(F.regexp_replace(halfwidth("term"), SPACE, "")).alias("w")).filter("w <> ''").distinct()
-    parts = max(1, -(-words.count() // batch))
+    words = cut_lineage(keywords.select(F.lower(F.regexp_replace(halfwidth("term"), SPACE, "")).alias("w")).filter("w <> ''").distinct())
+    size = words.agg(F.coalesce(F.sum(F.octet_length("w") + 32), F.lit(0))).first()[0]
+    parts = max(1, -(-size // block_bytes))
     out = df.withColumns({"_s": match_key(body if body is not None else duties_text()), "_hits": F.array().cast("array<string>")})
     for i in range(parts):
-        some = words.filter(F.pmod(F.xxhash64("w"), F.lit(parts)) == i).agg(F.array_sort(F.collect_set("w")).alias("_some"))
-        out = out.crossJoin(F.broadcast(some)).withColumn("_hits", F.concat("_hits", F.filter("_some", lambda w: F.col("_s").contains(w)))).drop("_some")
+        some = [r["w"] for r in words.filter(F.pmod(F.xxhash64("w"), F.lit(parts)) == i).collect()]
+        if some:
+            out = out.withColumn("_hits", F.concat("_hits", keyword_finder(df.sparkSession, some)(F.col("_s"))))
     out = out.withColumn("_hits", F.array_sort("_hits"))
     out = out.withColumn("keyword_hits", F.filter("_hits", lambda w: ~F.exists("_hits", lambda o: (o != w) & o.contains(w))))
     return out.withColumn("matched", F.size("keyword_hits") >= minimum).drop("_s", "_hits")
 
 
+def keyword_finder(spark: SparkSession, words: Sequence[str]):
+    """A column function from a text to the distinct words it contains: one automaton per worker, Arrow batches of texts."""
+    sent = spark.sparkContext.broadcast(list(words))
+    made: list = []
+
+    def found(texts: pd.Series) -> pd.Series:
+        if not made:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in sent.value:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            made.append(automaton)
+        return texts.map(lambda t: sorted({w for _, w in made[0].iter(t)}) if t else [])
+
+    return F.pandas_udf(found, "array<string>")
+
+
 # Clauses of the creative occupation.
 OBJECT = "短剧|漫剧|分镜|剧本|成片|视频|镜头|动画|短片|宣传片"
 MAKE = "制作|创作|剪辑|撰写|拍摄|生成|产出|绘制|设计|编写|执导|导演"

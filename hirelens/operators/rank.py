@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,20 +137,70 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_retrieval(chunks: DataFrame, queries: DataFrame, k: int = 250, owner: str = "owner", most_queries: int = 2000) -> DataFrame:
+def dense_retrieval(chunks: DataFrame, queries: DataFrame, k: int = 250, owner: str = "owner", block: int = 2048) -> DataFrame:
     """Greatest cosine over chunks and facets per owner, the k best owners per query.
 
-    Vectors are unit length. The query set is what one request asks; its size is checked
-    before it is broadcast, larger sets go through in batches.
+    Vectors are unit length. Each task multiplies its chunks with a block of about `block` query
+    vectors at a time and keeps the k best owners of every query, so what is shuffled are at most
+    tasks x queries x k rows, whatever the number of chunks. Any number of queries goes through in
+    blocks by query. Rows with a null or odd-sized vector, or one with a null, have no score.
     """
-    few = queries.select("query_id", F.col("vector").alias("_q")).limit(most_queries + 1)
-    if few.count() > most_queries:
-        raise ValueError("run the queries in batches")
-    scored = chunks.select(owner, "vector").crossJoin(F.broadcast(few)).select("query_id", owner, dot(F.col("vector"), F.col("_q")).alias("_s"))
-    best = scored.groupBy("query_id", owner).agg(F.max("_s").alias("score"))
+    kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (chunks, owner))}
+    asked = cut_lineage(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("query_id IS NOT NULL AND vector IS NOT NULL"))
+    blocks = max(1, -(-asked.count() // block))
+    src = chunks.filter(F.col(owner).isNotNull() & F.col("vector").isNotNull()).select(F.col(owner).alias("_o"), F.col("vector").cast("array<double>").alias("_v"))
+    every = None
+    for i in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        if some.num_rows:
+            part = src.mapInArrow(_products(some, k), f"query_id {kinds['query_id']}, {owner} {kinds[owner]}, _s double")
+            every = part if every is None else every.unionByName(part)
+    if every is None:
+        every = chunks.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, {owner} {kinds[owner]}, _s double")
+    best = every.groupBy("query_id", owner).agg(F.max("_s").alias("score"))
     return first_per_key(best, ["query_id"], [rnd("score", 8).desc(), F.col(owner)], k, "rank")
 
 
+def _products(asked: pa.Table, k: int):
+    """The work of a task: (query, owner, score) of the k best owners of each query among the task's vectors."""
+    names = asked.column("query_id").combine_chunks().dictionary_encode()
+    number, ids = names.indices.to_numpy(), names.dictionary
+    lists = asked.column("vector").to_pylist()
+
+    def run(batches):
+        tops: dict[int, tuple] = {}
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            for size in sorted({len(v) for v in lists}):
+                at = np.array([i for i, v in enumerate(rows) if len(v) == size and None not in v], np.int64)
+                q = np.array([i for i, v in enumerate(lists) if len(v) == size and None not in v], np.int64)
+                if not len(at) or not len(q) or not size:
+                    continue
+                chunk, owners = np.array([rows[i] for i in at]), batch.column(0).take(pa.array(at))
+                scores = chunk @ np.array([lists[i] for i in q]).T
+                for n in np.unique(number[q]):
+                    best = scores[:, number[q] == n].max(axis=1)
+                    fine = np.flatnonzero(~np.isnan(best) & (best >= tops[n][2]) if n in tops else ~np.isnan(best))
+                    if len(fine):
+                        held = tops.get(n, (owners.slice(0, 0), np.zeros(0), -np.inf))
+                        tops[n] = _best_owners(pa.concat_arrays([held[0], owners.take(pa.array(fine))]), np.concatenate((held[1], best[fine])), k)
+        for n, (owner, score, _) in tops.items():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(score), n))), owner, pa.array(score)], ["query_id", "owner", "_s"])
+
+    return run
+
+
+def _best_owners(owners: pa.Array, scores: np.ndarray, k: int) -> tuple:
+    """(owners, scores, least score that can still matter): the k best distinct owners, equal rounded scores by owner."""
+    rank = pc.rank(owners, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    order = np.lexsort((-scores, rank))
+    order = order[np.diff(rank[order], prepend=-1) != 0]
+    shown = np.floor(np.round(scores, 10) * 1e8 + 0.5)
+    order = order[np.lexsort((rank[order], -shown[order]))][:k]
+    floor = scores[order].min() - 2e-8 if len(order) == k else -np.inf
+    return owners.take(pa.array(order)), scores[order], floor
+
+
 def rrf(lists: Sequence[DataFrame], key: str, by: Sequence[str] = ("query_id",), k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; ties by key."""
     every = None
@@ -176,7 +229,7 @@ def cluster_representatives(df: DataFrame, nearest: int = 24, keep: int = 5, far
     own = F.coalesce(F.nullif(text("company"), F.lit("")), F.col(ident).cast("string"))
     reps = first_per_key(near.withColumn("_company", own), ["cluster", "_company"], [F.col("distance"), F.col(ident)])
     reps = first_per_key(reps, ["cluster"], [F.col("distance"), F.col(ident)], keep, "place").select("cluster", ident, "place", F.lit("center").alias("kind"))
-    rim = first_per_key(df.join(F.broadcast(reps.select("cluster", ident)), ["cluster", ident], "left_anti"), ["cluster"], [F.col("distance").desc(), F.col(ident)], far, "place")
+    rim = first_per_key(df.join(reps.select("cluster", ident), ["cluster", ident], "left_anti"), ["cluster"], [F.col("distance").desc(), F.col(ident)], far, "place")
     rim = rim.select("cluster", ident, "place", F.lit("boundary").alias("kind"))
     used = reps.unionByName(rim).select("cluster", ident)
     rest = df.join(used, ["cluster", ident], "left_anti").withColumn("_h", F.sha2(F.concat(F.lit(salt), F.col(ident).cast("string")), 256))

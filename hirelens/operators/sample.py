@@ -23,7 +23,7 @@ def even_sample(df: DataFrame, order: Sequence[tuple[str, bool]], n: int, ends:
     if ends and n == 1:
         at = F.lit((total - 1) // 2)
     wanted = df.sparkSession.range(n).select((at + 1).cast("long").alias("_at")).distinct()
-    return position_within(df, order, name="_at").withColumn("_at", F.col("_at").cast("long")).join(F.broadcast(wanted), "_at", "left_semi").drop("_at")
+    return position_within(df, order, name="_at").withColumn("_at", F.col("_at").cast("long")).join(wanted, "_at", "left_semi").drop("_at")
 
 
 def stratified_sample(source: DataFrame, n: int, background: DataFrame | None = None, ident: str = "id", company: str = "company") -> DataFrame:
@@ -37,7 +37,7 @@ def stratified_sample(source: DataFrame, n: int, background: DataFrame | None =
     rq, tq = int(n * 0.2), int(n * 0.6)
     lq = n - rq - tq
     picked = even_sample(source, [(ident, True)], rq, ends=False).withColumn("stratum", F.lit("random_source")) if rq else source.limit(0).withColumn("stratum", F.lit(""))
-    rest = source.join(F.broadcast(picked.select(ident)), ident, "left_anti")
+    rest = source.join(picked.select(ident), ident, "left_anti")
     rest = rest.withColumn("_company", F.coalesce(F.nullif(compact(halfwidth(company)), F.lit("")), F.concat(F.lit("row:"), F.col(ident).cast("string"))))
 
     def ordered(rows: DataFrame, group: Sequence[str], first: Sequence[Column]) -> DataFrame:
@@ -68,7 +68,7 @@ def stratified_sample(source: DataFrame, n: int, background: DataFrame | None =
 
     out = picked.unionByName(named(t, take_t, more_t, "target")).unionByName(named(r, take_l, more_l, "related"))
     if left > 0:
-        spare = source.join(F.broadcast(out.select(ident)), ident, "left_anti")
+        spare = source.join(out.select(ident), ident, "left_anti")
         fill = even_sample(spare, [(ident, True)], left, ends=False)
         out = out.unionByName(fill.select(*source.columns, F.lit("source_fallback").alias("stratum")))
         left -= fill.count()
