@@ -130,9 +130,13 @@ def g11(spark, sf):
     return rank.latest_per_context(o).select("context_key", "snapshot_key")
 
 
-@query("G12_evidence_snippet", with_(DOCP, SECTIONED, SENT.replace("SELECT job_id, location,", "SELECT job_id, pos, location,").replace("'duties' AS location, unnest(", "'duties' AS location, generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'岗位职责')+4, instr(job_description,'任职要求')-instr(job_description,'岗位职责')-4), '[。；;\\n]'),1) AS pos, unnest(").replace("SELECT job_id, 'requirements', unnest(", "SELECT job_id, 'requirements', 100000+generate_subscripts(regexp_split_to_array(substr(job_description, instr(job_description,'任职要求')+4), '[。；;\\n]'),1), unnest(")) + """
-, h AS (SELECT job_id, pos, quote, (contains(lower(regexp_replace(quote,'\\s','','g')),'there'))::INT + (contains(lower(regexp_replace(quote,'\\s','','g')),'ing'))::INT AS hits FROM sent WHERE length(quote)>=16), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY hits DESC, pos)=1)
-SELECT d.job_id, coalesce(CAST(hits AS INT),0) AS snippet_hits, sha256(coalesce(substr(quote,1,650),'未提供可引用原文')) AS digest FROM docp d LEFT JOIN b ON b.job_id=d.job_id""")
+@query("G12_evidence_snippet", with_(DOCP, SECTIONED) + r""", cut AS (SELECT job_id, job_description AS d, instr(job_description, '岗位职责') AS i, instr(job_description, '任职要求') AS j FROM sec),
+ sn AS MATERIALIZED (SELECT job_id, regexp_split_to_array(substr(d, i + 4, j - i - 4), '[。；;\n]') AS du, regexp_split_to_array(substr(d, j + 4), '[。；;\n]') AS rq FROM cut),
+ sp AS (SELECT job_id, generate_subscripts(du, 1) AS pos, unnest(du) AS q FROM sn UNION ALL SELECT job_id, 100000 + generate_subscripts(rq, 1), unnest(rq) FROM sn),
+ sent AS MATERIALIZED (SELECT job_id, pos, trim(q, E' \t\n\r' || chr(12288) || chr(160)) AS quote FROM sp),
+ h AS (SELECT job_id, pos, quote, contains(lower(regexp_replace(quote, '\s', '', 'g')), 'there')::INT + contains(lower(regexp_replace(quote, '\s', '', 'g')), 'ing')::INT AS hits FROM sent WHERE length(quote) >= 16),
+ b AS (SELECT job_id, arg_max(struct_pack(hits, quote), (hits, -pos)) AS x FROM h GROUP BY job_id)
+SELECT d.job_id, coalesce(CAST(x.hits AS INT), 0) AS snippet_hits, sha256(coalesce(substr(x.quote, 1, 650), '未提供可引用原文')) AS digest FROM docp d LEFT JOIN b ON b.job_id = d.job_id""")
 def g12(spark, sf):
     return rank.evidence_snippet(sectioned(spark, sf), "ing there").select("job_id", "snippet_hits", F.sha2("snippet", 256).alias("digest"))
 
