@@ -13,6 +13,7 @@ from hirelens.functions import groups
 from hirelens.functions.labels import career_stage, cohort_needs_review, hiring_cohorts, minimum_degree
 from hirelens.functions.salary import parse_salary
 from hirelens.functions.text import sections
+from hirelens.session import cut_lineage
 
 SENTINEL = r"^9\.9[-~～–—至到]9\.9千(?:/月)?$"
 
@@ -142,20 +143,16 @@ def facet_options(df: DataFrame, profile: dict[str, str], values: dict[str, Colu
     return df.select("_n", F.explode(pairs).alias("p")).filter("p.keep").groupBy("p.facet", "p.value").agg(F.sum("_n").alias("n"))
 
 
-def assess_fit(postings: DataFrame, profiles: DataFrame, most_profiles: int = 10_000) -> DataFrame:
-    """Every posting × profile with reject reasons, checks, tier, target match and priority.
+FIT_FACTS = ("_min", "_intern", "_campus", "_years", "_review", "_firm", "_senior", "_school", "_agent", "_top")
+PROFILE = ("profile_education", "profile_preference", "profile_graduation_year", "profile_roles")
 
-    Profiles are the few candidates asked about; their number is bounded by the limit
-    and checked, so the pairing is a broadcast against the postings.
-    """
-    bounded = profiles.limit(most_profiles + 1)
-    if bounded.count() > most_profiles:
-        raise ValueError("score profiles in batches")
+
+def _fit_facts(postings: DataFrame) -> DataFrame:
+    """What the fit of a posting depends on, worked out once from its texts."""
     title, body, exp = text("job_name"), F.coalesce("job_description", F.lit("")), F.coalesce("experience", F.lit(""))
-    level = lambda c: F.when(c == "大专", 1).when(c == "本科", 2).when(c == "硕士", 3).when(c == "博士", 4)
     # What depends on the posting alone is worked out before the pairing.
     years_asked = number_in(exp, r"(\d+)\s*(?:[-–~至到]\s*\d+\s*)?年", 1)
-    jobs = postings.withColumns({
+    return postings.withColumns({
         "_min": minimum_degree(), "_intern": title.contains("实习") | (text("employment_type") == "实习"),
         "_campus": F.concat_ws(" ", title, exp).rlike("校招|应届|届|在校生"), "_years": hiring_cohorts(), "_review": cohort_needs_review(),
         "_firm": (years_asked >= 1) & ~exp.rlike("以下|不限|应届"), "_senior": title.rlike("高级|资深|专家|总监|架构师"),
@@ -163,7 +160,12 @@ def assess_fit(postings: DataFrame, profiles: DataFrame, most_profiles: int = 10
         "_agent": F.concat_ws(" ", title, body).rlike(r"(?i)智能体|(?<![A-Za-z0-9_])agent(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])RAG(?![A-Za-z0-9_])|大模型应用"),
         "_top": F.when(title.rlike(r"(?i)智能体|(?<![A-Za-z0-9_])agent(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])LLM(?![A-Za-z0-9_])|大模型|AI\s*应用"), 3)
         .when(title.rlike("(?i)AI.{0,8}(?:开发|应用|研发)|(?:开发|研发).{0,8}AI"), 2).otherwise(0)})
-    df = jobs.crossJoin(F.broadcast(bounded))
+
+
+def _judged_fit(df: DataFrame) -> DataFrame:
+    """Reject reasons, checks, tier, target match and priority of rows that hold the facts of a posting and a profile."""
+    exp = F.coalesce("experience", F.lit(""))
+    level = lambda c: F.when(c == "大专", 1).when(c == "本科", 2).when(c == "硕士", 3).when(c == "博士", 4)
     pe, pref, year = F.col("profile_education"), F.col("profile_preference"), F.col("profile_graduation_year")
     own, need = level(pe), level(F.col("_min"))
     intern, campus = F.col("_intern"), F.col("_campus")
@@ -191,7 +193,45 @@ def assess_fit(postings: DataFrame, profiles: DataFrame, most_profiles: int = 10
         "fit_eligible": ~rejected, "target_match": match,
         "fit_tier": F.when(rejected, 3).when(pref == "实习", F.when(intern, 0).when(campus, 1).otherwise(2)).otherwise(0),
         "target_priority": F.when(wants & (F.col("_top") > 0), F.col("_top")).when(match, 1).otherwise(0)
-    }).drop("_min", "_intern", "_campus", "_years", "_review", "_firm", "_senior", "_school", "_agent", "_top")
+    })
+
+
+def assess_fit(postings: DataFrame, profiles: DataFrame, block: int = 10_000) -> DataFrame:
+    """Every posting × profile with reject reasons, checks, tier, target match and priority.
+
+    The result is the pairs, for the few candidates asked about; profiles go through in blocks. For the
+    best postings of many profiles use `best_fits`.
+    """
+    jobs, out = _fit_facts(postings), None
+    blocks = max(1, -(-profiles.count() // block))
+    for i in range(blocks):
+        some = profiles.filter(F.pmod(F.xxhash64(*PROFILE), F.lit(blocks)) == i) if blocks > 1 else profiles
+        part = _judged_fit(jobs.crossJoin(F.broadcast(some))).drop(*FIT_FACTS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_fits(postings: DataFrame, profiles: DataFrame, k: int = 20, ident: str = "seq", profile: str = "pid", order: Sequence[Column] = ()) -> DataFrame:
+    """The k best eligible postings of every profile: (profile, rank, ident, fit_tier, target_match, target_priority).
+
+    Ordered by tier, target match, priority, `order` and ident. Postings of equal facts form a class, and
+    so do profiles of equal wishes; fit is judged for pairs of classes, whose number depends on how many
+    facts there are and not on the rows. Each class sends its k best postings only, so no table of
+    postings × profiles arises. Postings without an ident are left out.
+    """
+    jobs = _fit_facts(postings.filter(F.col(ident).isNotNull()))
+    jobs = jobs.withColumns({"_employment": text("employment_type"), "_experience": F.coalesce("experience", F.lit("")), "_families": F.array_sort(F.coalesce("role_families", F.array().cast("array<string>")))})
+    facts = [*FIT_FACTS, "_employment", "_experience", "_families"]
+    jobs = jobs.withColumn("_class", F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256))
+    names = [f"_o{i}" for i in range(len(order))]
+    narrow = cut_lineage(jobs.select("_class", *facts, F.col(ident), *[c.alias(n) for c, n in zip(order, names)]))
+    classes = narrow.groupBy("_class").agg(*[F.first(c).alias(c) for c in facts]).withColumnsRenamed({"_employment": "employment_type", "_experience": "experience", "_families": "role_families"})
+    wishes = profiles.withColumn("_wish", F.sha2(F.to_json(F.struct(*PROFILE), {"ignoreNullFields": "false"}), 256))
+    asked = wishes.select("_wish", *PROFILE).dropDuplicates(["_wish"])
+    fits = _judged_fit(classes.crossJoin(asked)).filter("fit_eligible").select("_wish", "_class", "fit_tier", "target_match", "target_priority")
+    best = first_per_key(narrow.select("_class", ident, *names), ["_class"], [*names, F.col(ident)], k)
+    ranked = first_per_key(fits.join(best, "_class"), ["_wish"], [F.col("fit_tier"), F.col("target_match").desc(), F.col("target_priority").desc(), *names, F.col(ident)], k, "rank")
+    return wishes.select(profile, "_wish").join(ranked, "_wish").select(profile, "rank", ident, "fit_tier", "target_match", "target_priority")
 
 
 # Names a label kind goes by.

@@ -53,16 +53,28 @@ def d4(spark, sf):
     return admit.facet_options(postings(spark, sf, False), CHOSEN)
 
 
-@query("D5_assess_fit", with_(P_WHOLE) + """, pr AS (SELECT * FROM (VALUES ('a','本科','实习',2026),('b','硕士','校招',NULL),('c','','未明确',NULL)) t(pid, e, pref, y)), x AS (SELECT *, CASE education WHEN '大专' THEN 1 WHEN '本科' THEN 2 WHEN '硕士' THEN 3 END AS need, CASE e WHEN '本科' THEN 2 WHEN '硕士' THEN 3 END AS own, employment_type='实习' AS intern,
+FIT = with_(P_WHOLE) + """, pr AS (SELECT * FROM (VALUES ('a','本科','实习',2026),('b','硕士','校招',NULL),('c','','未明确',NULL)) t(pid, e, pref, y)), x AS (SELECT *, CASE education WHEN '大专' THEN 1 WHEN '本科' THEN 2 WHEN '硕士' THEN 3 END AS need, CASE e WHEN '本科' THEN 2 WHEN '硕士' THEN 3 END AS own, employment_type='实习' AS intern,
  experience LIKE '%应届%' AS campus, experience IN ('1-3年','3-5年','5-10年') AS firm FROM postings, pr),
- z AS (SELECT *, (coalesce(need>own,false))::INT + (pref='校招' AND intern)::INT + ((pref='校招' OR (pref='实习' AND NOT intern)) AND firm)::INT AS rej FROM x)
-SELECT pid, rej=0 AS fit_eligible, CAST(CASE WHEN rej>0 THEN 3 WHEN pref='实习' THEN CASE WHEN intern THEN 0 WHEN campus THEN 1 ELSE 2 END ELSE 0 END AS INT) AS fit_tier,
+ z AS (SELECT *, (coalesce(need>own,false))::INT + (pref='校招' AND intern)::INT + ((pref='校招' OR (pref='实习' AND NOT intern)) AND firm)::INT AS rej FROM x)"""
+
+
+@query("D5_assess_fit", FIT + """SELECT pid, rej=0 AS fit_eligible, CAST(CASE WHEN rej>0 THEN 3 WHEN pref='实习' THEN CASE WHEN intern THEN 0 WHEN campus THEN 1 ELSE 2 END ELSE 0 END AS INT) AS fit_tier,
  CAST((e<>'' AND need IS NULL)::INT + (y IS NOT NULL)::INT + (pref='实习')::INT AS INT) AS checks, count(*) AS n FROM z GROUP BY ALL""")
 def d5(spark, sf):
+    p, profiles = fit_tables(spark, sf)
+    return admit.assess_fit(p, profiles).groupBy("pid", "fit_eligible", "fit_tier", F.size("fit_checks").alias("checks")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("D5_best_fits", FIT + """, t AS (SELECT pid, seq, CAST(CASE WHEN pref='实习' THEN CASE WHEN intern THEN 0 WHEN campus THEN 1 ELSE 2 END ELSE 0 END AS INT) AS fit_tier FROM z WHERE rej=0)
+SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY fit_tier, seq) AS INT) AS rank, seq, fit_tier, true AS target_match, CAST(1 AS INT) AS target_priority FROM t QUALIFY rank <= 50""")
+def d5b(spark, sf):
+    return admit.best_fits(*fit_tables(spark, sf), 50)
+
+
+def fit_tables(spark, sf):
     p = whole_postings(spark, sf).withColumns({"role_families": F.array(F.lit("x"))})
     rows = [("a", "本科", "实习", 2026, []), ("b", "硕士", "校招", None, []), ("c", "", "未明确", None, [])]
-    profiles = spark.createDataFrame(rows, "pid string, profile_education string, profile_preference string, profile_graduation_year int, profile_roles array<string>")
-    return admit.assess_fit(p, profiles).groupBy("pid", "fit_eligible", "fit_tier", F.size("fit_checks").alias("checks")).agg(F.count(F.lit(1)).alias("n"))
+    return p, spark.createDataFrame(rows, "pid string, profile_education string, profile_preference string, profile_graduation_year int, profile_roles array<string>")
 
 
 def label_tables(spark, sf):

@@ -73,3 +73,20 @@ def test_facets_of_any_columns(spark):
     assert out[("province", "A")] == 5 and out[("employment_type", "全职")] == 5 and ("employment_type", "实习") not in out and ("education", "硕士") not in out
     own = admit.facet_options(df.withColumnRenamed("province", "p"), {"x": "B"}, {"x": F.col("p"), "y": F.col("education")})
     assert {(r["facet"], r["value"], r["n"]) for r in own.collect()} == {("x", "A", 5), ("x", "B", 2), ("y", "硕士", 1), ("y", "", 1)}
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_best_fits_equal_all_pairs(spark, k):
+    draw = random.Random(6)
+    jobs = [(i if i % 41 else None, draw.choice(["AI应用开发", "资深大模型", "行政", "校招 后端", "算法实习", None]), draw.choice(["经验不限", "3-5年", "应届毕业生", None]), draw.choice(["大专", "硕士", "", None]),
+             draw.choice(["全职", "实习", ""]), draw.choice(["面向2026届毕业生", "要求985高校本科", "RAG 平台", None]), draw.choice([["后端开发"], [], None])) for i in range(300)]
+    postings = spark.createDataFrame(jobs, "seq long, job_name string, experience string, education string, employment_type string, job_description string, role_families array<string>")
+    people = [("a", "本科", "实习", 2026, []), ("b", "硕士", "校招", 2026, ["智能体/大模型应用"]), ("c", "", "未明确", None, ["后端开发"]), ("d", "本科", "实习", 2026, []), ("e", None, None, None, [])]
+    profiles = spark.createDataFrame(people, "pid string, profile_education string, profile_preference string, profile_graduation_year int, profile_roles array<string>")
+    want = {}
+    for r in admit.assess_fit(postings, profiles, block=2).filter("fit_eligible AND seq IS NOT NULL").collect():
+        want.setdefault(r["pid"], []).append((r["fit_tier"], not r["target_match"], -r["target_priority"], r["seq"]))
+    got = {}
+    for r in admit.best_fits(postings, profiles, k).orderBy("pid", "rank").collect():
+        got.setdefault(r["pid"], []).append((r["fit_tier"], not r["target_match"], -r["target_priority"], r["seq"]))
+    assert got == {p: sorted(rows)[:k] for p, rows in want.items()} and len(got) == 5
