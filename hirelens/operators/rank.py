@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hirelens.core import SPACE, compact, filled, first_per_key, halfwidth, hot_key_join, position_within, rnd, text, top_rows
 from hirelens.functions.text import sections, tokens
+from hirelens.operators import scans
 from hirelens.operators.stats import narrowed_quantile
 from hirelens.session import cut_lineage
 
@@ -92,45 +93,111 @@ def _python_terms(query: str) -> list[str]:
     return re.findall(r"[a-z][a-z0-9+#.-]*|[一-鿿]{2}", unicodedata.normalize("NFKC", query).lower())
 
 
-def lexical_rank(df: DataFrame, queries: DataFrame, k: int = 20, body: Sequence[str] = ("job_name", "skills_text", "job_description"), key: str = "job_id") -> DataFrame:
+def _query_blocks(asked: DataFrame, most: int):
+    """Arrow tables of the queries' rows, every query whole in one, of about `most` rows each."""
+    asked = cut_lineage(asked)
+    blocks = max(1, -(-asked.count() // most))
+    for i in range(blocks):
+        rows = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked).toArrow().combine_chunks()
+        if rows.num_rows:
+            yield rows
+
+
+def lexical_rank(df: DataFrame, queries: DataFrame, k: int = 20, body: Sequence[str] = ("job_name", "skills_text", "job_description"), key: str = "job_id", most: int = 200_000) -> DataFrame:
     """Postings per query by skill overlap (Dice), then summed IDF of matched query terms.
 
-    queries: query_id, query_text, query_skills. Only terms some query asks are kept from
-    the postings before anything is shuffled by term.
+    queries: query_id, query_text, query_skills. Texts are scanned by `scans`: queries go to the tasks in
+    blocks of about `most` terms, and each task keeps its k best postings of a query.
     """
     words = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in body])
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    asked = queries.select("query_id", F.explode(tokens("query_text")).alias("term"))
-    post = df.select(F.col(key).alias("_key"), F.explode(tokens(words)).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    spread = post.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = spread.crossJoin(F.broadcast(total)).select("term", F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
-    lex = post.join(asked.join(idf, "term"), "term").groupBy("query_id", "_key").agg(F.sum("_idf").alias("lexical"))
-    want = queries.select("query_id", F.size(F.array_distinct("query_skills")).alias("_want"), F.explode(F.array_distinct("query_skills")).alias("skill"))
-    have = df.select(F.col(key).alias("_key"), F.size(F.array_distinct("skills")).alias("_have"), F.explode(F.array_distinct("skills")).alias("skill"))
-    both = have.join(want, "skill").groupBy("query_id", "_key").agg(F.count(F.lit(1)).alias("overlap"), F.max(F.col("_want") + F.col("_have")).alias("_sum"))
-    both = both.select("query_id", "_key", "overlap", (2 * F.col("overlap") / F.col("_sum")).alias("matching"))
-    all_ = lex.join(both, ["query_id", "_key"], "full_outer").na.fill(0, ["lexical", "overlap", "matching"])
-    return first_per_key(all_, ["query_id"], [F.col("matching").desc(), F.col("overlap").desc(), rnd("lexical", 8).desc(), F.col("_key")], k, "rank").withColumnRenamed("_key", key)
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 250, key: str = "doc_id", body: str = "text") -> DataFrame:
+    kinds = queries.schema["query_id"].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), tokens(words).alias("_t"), F.array_distinct(F.coalesce(F.col("skills"), F.array().cast("array<string>"))).alias("_s"))
+    total = df.count()
+    terms = queries.select("query_id", F.explode(tokens("query_text")).alias("term"))
+    idf = scans.frequencies(rows, "_t", terms).select("term", F.log(1 + (F.lit(total) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
+    skills = queries.select("query_id", F.explode(F.array_distinct("query_skills")).alias("term"))
+    asked = terms.distinct().join(idf, "term").select("query_id", "term", "_idf", F.lit(False).alias("skill")).unionByName(skills.select("query_id", "term", F.lit(1.0).alias("_idf"), F.lit(True).alias("skill")))
+    columns, every = ["matching", "overlap", "lexical"], None
+    for block in _query_blocks(asked, most):
+        part = scans.scan(rows, _lexical_scores(block), _names(block), k, kinds, columns, len(_names(block)))
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        every = df.sparkSession.createDataFrame([], f"query_id {kinds[0]}, _key {kinds[1]}, matching double, overlap double, lexical double")
+    every = every.withColumn("overlap", F.col("overlap").cast("long"))
+    return first_per_key(every, ["query_id"], [F.col("matching").desc(), F.col("overlap").desc(), rnd("lexical", 8).desc(), F.col("_key")], k, "rank").withColumnRenamed("_key", key)
+
+
+def _names(block: pa.Table) -> pa.Array:
+    return block.column("query_id").combine_chunks().unique()
+
+
+def _lexical_scores(block: pa.Table):
+    names = _names(block)
+    query = pc.index_in(block.column("query_id").combine_chunks(), names).to_numpy().astype(np.int64)
+    term, idf, skill = block.column("term").to_pylist(), block.column("_idf").to_numpy(), np.array(block.column("skill").to_pylist())
+    pick = lambda mask: scans.Postings([t for t, m in zip(term, mask) if m], query[mask])
+    texts, skills = pick(~skill), pick(skill)
+    weight = dict(zip([t for t, m in zip(term, skill) if not m], idf[~skill]))
+    value = np.array([weight[t] for t in texts.terms.to_pylist()])
+    want = np.bincount(query[skill], minlength=len(names))
+
+    def score(batch: pa.RecordBatch):
+        n = batch.num_rows
+        row, at, _ = scans.cells(batch.column(1), texts.terms)
+        lexical = texts.sums(row, at, value[at] if len(at) else np.zeros(0), n, len(names))
+        row, at, _ = scans.cells(batch.column(2), skills.terms)
+        overlap = skills.sums(row, at, np.ones(len(at)), n, len(names))
+        have = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        matching = 2 * overlap / np.maximum(1, have[:, None] + want[None, :])
+        hit = np.nonzero((lexical > 0) | (overlap > 0))
+        return hit[0], hit[1], np.stack((matching[hit], overlap[hit], lexical[hit]), 1)
+
+    return score
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 250, key: str = "doc_id", body: str = "text", most: int = 200_000) -> DataFrame:
     """Greatest BM25 score over the facets of a query, the k best texts per query.
 
-    queries: query_id, facet, query_text. Lengths and term arrays stay with their text;
-    only terms some query asks leave it.
+    queries: query_id, facet, query_text. Texts are scanned by `scans`: queries go to the tasks in blocks of
+    about `most` terms, and each task keeps its k best texts of a query.
     """
-    toks = docs.select(F.col(key).alias("_key"), tokens(body, "mixed").alias("_t")).withColumn("_len", F.size("_t"))
-    stats = toks.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
-    asked = queries.select("query_id", "facet", F.explode(F.array_distinct(tokens("query_text", "mixed"))).alias("term"))
-    post = (toks.select("_key", "_len", F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-            .groupBy("_key", "_len", "term").agg(F.count(F.lit(1)).alias("_f")))
-    spread = post.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = spread.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"), "_avg")
-    score = F.col("_idf") * F.col("_f") * (k1 + 1) / (F.col("_f") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    weighted = post.join(idf, "term").select("_key", "term", score.alias("_w"))
-    per = weighted.join(asked, "term").groupBy("query_id", "facet", "_key").agg(F.sum("_w").alias("_s"))
-    best = per.groupBy("query_id", "_key").agg(F.max("_s").alias("score"))
-    return first_per_key(best, ["query_id"], [rnd("score", 8).desc(), F.col("_key")], k, "rank").withColumnRenamed("_key", key)
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), tokens(body, "mixed").alias("_t"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("average")).first()
+    terms = queries.select("query_id", "facet", F.explode(F.array_distinct(tokens("query_text", "mixed"))).alias("term")).distinct()
+    idf = scans.frequencies(rows, "_t", terms).select("term", F.log(1 + (F.lit(stats["n"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
+    every = None
+    for block in _query_blocks(terms.join(idf, "term").select("query_id", F.col("facet").cast("string").alias("facet"), "term", "_idf"), most):
+        score, width = _bm25_scores(block, k1, b, float(stats["average"] or 1.0))
+        part = scans.scan(rows, score, _names(block), k, kinds, ["score"], width)
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        every = docs.sparkSession.createDataFrame([], f"query_id {kinds[0]}, _key {kinds[1]}, score double")
+    return first_per_key(every, ["query_id"], [rnd("score", 8).desc(), F.col("_key")], k, "rank").withColumnRenamed("_key", key)
+
+
+def _bm25_scores(block: pa.Table, k1: float, b: float, average: float):
+    names = _names(block)
+    query = pc.index_in(block.column("query_id").combine_chunks(), names).to_numpy().astype(np.int64)
+    pairs = list(zip(query.tolist(), block.column("facet").to_pylist()))
+    # Facets of a query stand side by side, so their greatest score is one reduction.
+    number = {p: i for i, p in enumerate(sorted(set(pairs), key=lambda p: (p[0], p[1] is None, p[1] or "")))}
+    heads = np.searchsorted([q for q, _ in number], np.arange(len(names)))
+    term = block.column("term").to_pylist()
+    texts = scans.Postings(term, [number[p] for p in pairs])
+    weight = dict(zip(term, block.column("_idf").to_pylist()))
+    value = np.array([weight[t] for t in texts.terms.to_pylist()])
+
+    def score(batch: pa.RecordBatch):
+        n = batch.num_rows
+        row, at, times = scans.cells(batch.column(1), texts.terms)
+        length = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        gain = value[at] * times * (k1 + 1) / (times + k1 * (1 - b + b * length[row] / average)) if len(at) else np.zeros(0)
+        best = np.maximum.reduceat(texts.sums(row, at, gain, n, len(number)), heads, axis=1)
+        hit = np.nonzero(best > 0)
+        return hit[0], hit[1], best[hit][:, None]
+
+    return score, len(number)
 
 
 def dot(a: Column, b: Column) -> Column:

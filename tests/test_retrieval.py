@@ -90,3 +90,41 @@ def test_best_fits_equal_all_pairs(spark, k):
     for r in admit.best_fits(postings, profiles, k).orderBy("pid", "rank").collect():
         got.setdefault(r["pid"], []).append((r["fit_tier"], not r["target_match"], -r["target_priority"], r["seq"]))
     assert got == {p: sorted(rows)[:k] for p, rows in want.items()} and len(got) == 5
+
+
+@pytest.mark.parametrize("most", [200_000, 4])
+def test_bm25_with_a_term_in_most_texts(spark, most):
+    import math
+
+    draw = random.Random(3)
+    texts = [" ".join(["hot"] * (draw.random() < 0.8) + [draw.choice(["aa", "bb", "cc", "dd"]) for _ in range(draw.randint(0, 12))]) for _ in range(400)] + ["hot aa"] * 40 + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "hot aa")], "doc_id long, text string").repartition(5)
+    asks = [(q, f, t) for q in range(6) for f, t in (("x", draw.choice(["hot aa", "bb cc", "hot"])), ("y", draw.choice(["dd zz", "aa", "zz"])))] + [(7, "x", None)]
+    got = {}
+    for r in rank.bm25(docs, spark.createDataFrame(asks, "query_id long, facet string, query_text string"), k=12, most=most).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    words = [(t or "").split() for t in texts]
+    n, average = len(texts), sum(map(len, words)) / len(texts)
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w in ("hot", "aa", "bb", "cc", "dd") for d in [sum(w in x for x in words)]}
+    want = {}
+    for q in {q for q, _, _ in asks}:
+        scores = []
+        for i, x in enumerate(words):
+            per = [sum(idf[w] * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / average)) for w in set(t.split()) if w in x) for p, _, t in asks if p == q and t]
+            if max(per, default=0) > 0:
+                scores.append((-round(max(per), 8), i))
+        if scores:
+            want[q] = [i for _, i in sorted(scores)[:12]]
+    assert got == want
+
+
+def test_scans_shuffle_top_rows_only(spark, monkeypatch):
+    from hirelens.operators import scans
+
+    made = []
+    plain = scans.scan
+    monkeypatch.setattr(scans, "scan", lambda *a: made.append(plain(*a)) or made[-1])
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot w"), F.col("id").cast("string")).alias("text"), F.array(F.lit("s")).alias("skills"), F.lit("hot").alias("job_name")).repartition(4)
+    asks = spark.createDataFrame([(q, "f", "hot", ["s"]) for q in range(3)], "query_id long, facet string, query_text string, query_skills array<string>")
+    assert rank.bm25(docs, asks, k=5).count() == 15 and rank.lexical_rank(docs, asks, 5, ("job_name",), "doc_id").count() == 15
+    assert len(made) == 2 and all(m.count() <= 4 * 3 * 5 for m in made)
