@@ -8,6 +8,7 @@ distinct values are unbounded.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -332,33 +333,33 @@ def skill_pairs(df: DataFrame, field: str = "skills", k: int = 15, least: int =
 def frequent_sets(df: DataFrame, field: str = "skills", top_skills: int = 26, sizes: Sequence[int] = (2, 3, 4), least: int = 5, rate: float = 0.03, k: int = 12) -> DataFrame:
     """F16: label sets of two to four among the most frequent labels, the k most frequent per size.
 
-    Works on distinct label sets; sets grow one label at a time and every size is cut to
-    the minimum count before the next grows from it.
+    Frequent sets are found by parallel FP-growth: conditional trees by groups of labels, so rows are not
+    written out by set. Medians are taken for the sets that are kept, at most k for each size.
     """
+    from pyspark.ml.fpm import FPGrowth
+
     rows = df.filter(F.col(K).isNotNull())
-    sets = label_sets(rows, field)
-    total = sets.agg(F.sum("_n").alias("_total"))
+    sets = cut_lineage(label_sets(rows, field))
+    total = sets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     single = sets.select(F.explode("_set").alias("name"), "_n").groupBy("name").agg(F.sum("_n").alias("c"))
-    floor = F.greatest(F.lit(6), F.ceil(F.col("_total") * 0.03))
-    spec = top_rows(single.crossJoin(F.broadcast(total)).filter(F.col("c") >= floor), [F.col("c").desc(), F.col("name")], top_skills).agg(F.array_sort(F.collect_list("name")).alias("_spec"))
-    sets = sets.crossJoin(F.broadcast(spec)).select(F.array_intersect("_set", "_spec").alias("_set"), "_k", "_n").groupBy("_set", "_k").agg(F.sum("_n").alias("_n"))
-    frontier = sets.select("_set", "_k", "_n", F.explode("_set").alias("_a")).select("_set", "_k", "_n", F.array("_a").alias("items"))
-    out = None
-    for size in range(2, max(sizes) + 1):
-        grown = frontier.select("_set", "_k", "_n", "items", F.explode(F.filter("_set", lambda s: s > F.element_at("items", -1))).alias("_b"))
-        grown = grown.select("_set", "_k", "_n", F.concat("items", F.array("_b")).alias("items"))
-        counted = grown.groupBy("items").agg(F.sum("_n").alias("n"), _weighted_median().alias("raw_median_salary_k"))
-        counted = counted.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(least), F.ceil(F.col("_total") * rate)))
-        frontier = grown.join(counted.select("items"), "items", "left_semi")
-        if size in sizes:
-            one = counted.withColumn("size", F.lit(size))
-            out = one if out is None else out.unionByName(one)
-    logs = out.select("items", "n", "size", "_total", "raw_median_salary_k", F.explode("items").alias("name")).join(single, "name").groupBy("items", "n", "size", "_total", "raw_median_salary_k").agg(F.product(F.col("c") / F.col("_total")).alias("_expected"))
-    support = F.col("n") / F.col("_total")
-    scored = logs.withColumns({"support": support, "lift": support / F.greatest("_expected", 1 / F.col("_total"))})
-    kept = first_per_key(scored, ["size"], [F.col("n").desc(), F.col("lift").desc(), F.col("items")], k)
-    return kept.select(F.array_join("items", " + ").alias("name"), "size", "n", rnd("support", 3).alias("support"), rnd("lift", 2).alias("lift"), "raw_median_salary_k",
-                       F.when(F.col("n") >= 20, "中等").when(F.col("n") >= 10, "谨慎参考").otherwise("低").alias("reliability"))
+    spec = top_rows(single.filter(F.col("c") >= max(6, math.ceil(total * 0.03))), [F.col("c").desc(), F.col("name")], top_skills).collect()
+    counts = F.create_map(*[F.lit(x) for r in spec for x in (r["name"], float(r["c"]))]) if spec else F.create_map().cast("map<string,double>")
+    known = F.array(*[F.lit(r["name"]) for r in spec]).cast("array<string>")
+    floor = max(least, math.ceil(total * rate))
+    # Equal sets are one row with a number; the trees take them one by one again.
+    tx = sets.select(F.array_intersect("_set", known).alias("items"), F.explode(F.expr("sequence(1L, _n)")).alias("_copy")).select("items")
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, min(1.0, (floor - 0.5) / max(1, total)))).fit(tx).freqItemsets
+    found = found.select(F.array_sort("items").alias("items"), F.size("items").alias("size"), F.col("freq").alias("n")).filter(F.col("size").isin(*sizes) & (F.col("n") >= floor))
+    support = F.col("n") / F.lit(max(1, total))
+    expected = F.aggregate("items", F.lit(1.0), lambda t, i: t * (counts[i] / max(1, total)))
+    scored = found.withColumns({"support": support, "lift": support / F.greatest(expected, F.lit(1 / max(1, total)))})
+    kept = cut_lineage(first_per_key(scored, ["size"], [F.col("n").desc(), F.col("lift").desc(), F.col("items")], k))
+    names = F.array(*[F.array(*[F.lit(x) for x in r["items"]]) for r in kept.select("items").collect()]).cast("array<array<string>>")
+    inside = sets.select(F.explode(F.filter(names, lambda x: F.size(F.array_except(x, "_set")) == 0)).alias("items"), "_k", "_n")
+    medians = inside.groupBy("items").agg(_weighted_median().alias("raw_median_salary_k"))
+    return kept.join(medians, "items").select(
+        F.array_join("items", " + ").alias("name"), "size", "n", rnd("support", 3).alias("support"), rnd("lift", 2).alias("lift"), "raw_median_salary_k",
+        F.when(F.col("n") >= 20, "中等").when(F.col("n") >= 10, "谨慎参考").otherwise("低").alias("reliability"))
 
 
 def channel_completeness(df: DataFrame) -> DataFrame:

@@ -167,3 +167,27 @@ def test_order_statistics(spark):
     assert stats.narrowed_quantile(frame.filter("g = 'b'"), "v", 0.5).first()["n"] == 40 and stats.narrowed_quantile(frame.filter("g = 'd'"), "v", 0.5).collect() == []
     copies = spark.createDataFrame([(1.0, 2), (3.0, 3), (9.0, 1)], "v double, n long")
     assert stats.narrowed_quantile(copies, "v", 0.4, copies="n").first()["value"] == 3.0
+
+
+def test_frequent_sets_equal_every_combination(spark):
+    import itertools
+    from collections import Counter
+
+    draw = random.Random(12)
+    rows = [(float(draw.randint(5, 40)), [s for s in "abcdefg" if draw.random() < (0.8 if s in "ab" else 0.35)] * draw.choice([1, 2])) for _ in range(300)] + [(None, ["a", "b"])] * 20 + [(9.0, [])] * 10
+    df = spark.createDataFrame(rows, "salary_midpoint_k double, skills array<string>")
+    used = [(k, sorted(set(s))) for k, s in rows if k is not None]
+    n, pays = Counter(), {}
+    for k, s in used:
+        for size in (2, 3, 4):
+            for c in itertools.combinations(s, size):
+                n[c] += 1
+                pays.setdefault(c, []).append(k)
+    single = Counter(x for _, s in used for x in s)
+    lift = lambda c: n[c] / len(used) / max(math.prod(single[x] / len(used) for x in c), 1 / len(used))
+    want = set()
+    for size in (2, 3, 4):
+        best = sorted((c for c in n if len(c) == size and n[c] >= max(5, math.ceil(len(used) * 0.03))), key=lambda c: (-n[c], -lift(c), c))[:12]
+        want |= {(" + ".join(c), n[c], round(float(np.median(pays[c])), 1)) for c in best}
+    assert {(r["name"], r["n"], r["raw_median_salary_k"]) for r in stats.frequent_sets(df).collect()} == want and len(want) == 36
+    assert stats.frequent_sets(df.limit(0)).collect() == [] and stats.frequent_sets(df.filter("size(skills) = 0")).collect() == []
