@@ -224,3 +224,13 @@ def test_sharding_of_awkward_rows(spark):
     assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in shards_of(rows).values())
     assert sharding.shard_documents(docs.limit(0)).collect() == []
     assert {r["shard"] for r in sharding.shard_documents(docs, shards=1).collect()} == {0}
+
+
+def test_query_rows_of_one_id_have_lists_of_their_own(spark):
+    from hirelens.llm import search
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text{i}") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "word1 common"), (1, "word1 common"), (1, "word2"), (2, "word1 common")], "doc_id long, text string")
+    hits = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.top_k(docs, asked, k=4).collect()]
+    one = sorted((rank, doc) for q, rank, doc in hits if q == 2)
+    two = sorted((r["rank"], r["doc_id"]) for r in search.top_k(docs, asked.filter("text = 'word2'"), k=4).collect())
+    assert len(one) == 4 and sorted((rank, doc) for q, rank, doc in hits if q == 1) == sorted(one + one + two)
