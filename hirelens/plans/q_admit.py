@@ -11,7 +11,8 @@ from hirelens.plans.q_functions import SAL, SECTIONED, WORDS, sectioned
 from hirelens.plans.registry import query
 from hirelens.plans.views import DOCP, P_LEAN, P_WHOLE, SALARY, doc_postings, postings, table, whole_postings, with_
 
-ADMIT = """adm AS MATERIALIZED (SELECT *, CASE WHEN bad THEN NULL ELSE month_k END AS k FROM (SELECT *, seq % 11 = 0 AS closed, CASE WHEN seq % 2 = 0 THEN 'include' ELSE 'review' END AS decision, seq % 13 = 0 AND platform <> '5-LOW' AS bad, education='' AS noedu FROM sal))"""
+ADMIT = """adm AS MATERIALIZED (SELECT * REPLACE (CASE WHEN quoted THEN '9.9-9.9千/月' ELSE salary END AS salary, CASE WHEN quoted THEN 'month' ELSE period END AS period, CASE WHEN quoted THEN 9900.0 ELSE lo END AS lo, CASE WHEN quoted THEN 9900.0 ELSE mid END AS mid, CASE WHEN quoted THEN 9900.0 ELSE hi END AS hi), seq % 11 = 0 AS closed, CASE WHEN seq % 2 = 0 THEN 'include' ELSE 'review' END AS decision,
+ quoted AND count(*) FILTER (quoted) OVER (PARTITION BY platform) >= 5 AS bad, education='' AS noedu FROM (SELECT *, seq % 13 = 0 AND platform <> '5-LOW' AS quoted FROM sal))"""
 
 
 def admitted(spark, sf):
@@ -29,7 +30,7 @@ def d1(spark, sf):
 
 
 @query("D2_admission_summary", with_(P_WHOLE, SAL, ADMIT) + """SELECT 'total' AS item, count(*) AS n FROM adm UNION ALL SELECT 'retrieval_admitted', count(*) FROM adm WHERE decision='include' AND NOT closed UNION ALL SELECT 'salary_admitted', count(*) FROM adm WHERE decision='include' AND NOT closed AND NOT bad AND salary<>'面议'
- UNION ALL SELECT 'salary_unparsed', count(*) FROM adm WHERE salary='面议' AND NOT bad UNION ALL SELECT 'repeated_9_9k_pending_verification', count(*) FROM adm WHERE bad UNION ALL SELECT 'education_unknown', count(*) FROM adm WHERE noedu UNION ALL SELECT 'explicitly_closed', count(*) FROM adm WHERE closed""")
+ UNION ALL SELECT 'salary_unparsed', count(*) FROM adm WHERE salary='面议' AND NOT bad HAVING count(*) > 0 UNION ALL SELECT 'repeated_9_9k_pending_verification', count(*) FROM adm WHERE bad HAVING count(*) > 0 UNION ALL SELECT 'education_unknown', count(*) FROM adm WHERE noedu HAVING count(*) > 0 UNION ALL SELECT 'explicitly_closed', count(*) FROM adm WHERE closed HAVING count(*) > 0""")
 def d2(spark, sf):
     return admit.admission_summary(admitted(spark, sf))
 

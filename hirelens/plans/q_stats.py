@@ -10,7 +10,7 @@ from hirelens.operators import clean, stats
 from hirelens.plans.q_admit import ADMIT, FACET_SQL, admitted
 from hirelens.plans.q_functions import ASK, QX, SAL, asking
 from hirelens.plans.registry import query
-from hirelens.plans.views import CONV, P_LEAN, R, doc_postings, postings, table, with_
+from hirelens.plans.views import CONV, P_LEAN, P_WHOLE, R, doc_postings, postings, table, with_
 
 USABLE = "CASE WHEN mk<=200 AND (mk>=3 OR (period='day' AND mk>0)) THEN mk END"
 U = f"u AS MATERIALIZED (SELECT *, {USABLE} AS v, str_split(skills,' ') AS sk FROM sal)"
@@ -62,7 +62,7 @@ def f3m(spark, sf):
 BENCH = f"b AS MATERIALIZED (SELECT *, decision='include' AND NOT closed AND NOT bad AND salary<>'面议' AS ok FROM adm)"
 
 
-@query("F4_salary_benchmark", with_(P_LEAN, SAL, ADMIT, BENCH) + f"""SELECT CASE grouping_id(city, platform) WHEN 3 THEN 'period' WHEN 1 THEN 'city' ELSE 'role' END AS level, period, city, platform AS role, count(*) AS n, {R('quantile_cont(mid,0.5)',4)} AS median, CASE WHEN count(*)>=5 THEN {R('quantile_cont(mid,0.25)',4)} END AS p25, min(lo) AS quote_min, max(hi) AS quote_max
+@query("F4_salary_benchmark", with_(P_WHOLE, SAL, ADMIT, BENCH) + f"""SELECT CASE grouping_id(city, platform) WHEN 3 THEN 'period' WHEN 1 THEN 'city' ELSE 'role' END AS level, period, city, platform AS role, count(*) AS n, {R('quantile_cont(mid,0.5)',4)} AS median, CASE WHEN count(*)>=5 THEN {R('quantile_cont(mid,0.25)',4)} END AS p25, min(lo) AS quote_min, max(hi) AS quote_max
  FROM b WHERE ok AND education IN ('大专','本科') GROUP BY GROUPING SETS ((period),(city,period),(city,platform,period))""")
 def f4(spark, sf):
     p = admitted(spark, sf).withColumn("role_families", F.array("platform"))
@@ -70,7 +70,7 @@ def f4(spark, sf):
     return out.select("level", "period", "city", "role", "n", rnd("median", 4).alias("median"), rnd("p25", 4).alias("p25"), "quote_min", "quote_max")
 
 
-@query("F4_benchmark_exclusions", with_(P_LEAN, SAL, ADMIT, BENCH) + """SELECT count(*) AS matched_jobs, count(*) FILTER (ok AND education IN ('大专','本科')) AS benchmark_jobs, CAST(0 AS BIGINT) AS unknown_cohort_rows, count(*) FILTER (education NOT IN ('大专','本科')) AS education_excluded, count(*) FILTER (NOT ok) AS salary_quality_excluded FROM b""")
+@query("F4_benchmark_exclusions", with_(P_WHOLE, SAL, ADMIT, BENCH) + """SELECT count(*) AS matched_jobs, count(*) FILTER (ok AND education IN ('大专','本科')) AS benchmark_jobs, CAST(0 AS BIGINT) AS unknown_cohort_rows, count(*) FILTER (education NOT IN ('大专','本科')) AS education_excluded, count(*) FILTER (NOT ok) AS salary_quality_excluded FROM b""")
 def f4x(spark, sf):
     p = admitted(spark, sf).withColumn("role_families", F.array("platform"))
     return stats.salary_benchmark(p, {"education": "本科"})[1]
