@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -382,17 +383,74 @@ def quality_report(df: DataFrame, fields: Sequence[str] = ("job_id", "job_name",
     return out
 
 
-def coverage_report(df: DataFrame, fields: Sequence[str], methods: Sequence[str] = ("match_method", "confidence_band")) -> DataFrame:
-    """rate of filled fields, and counts per match method and confidence band; audit rows come from H1."""
+def collection_funnel(df: DataFrame, reason: str = "filter_reason", key: Sequence[str] = ("platform", "job_id"), order: str = "seq", target: int | None = None) -> DataFrame:
+    """(step, n) from the rows read to the rows written.
+
+    Rows without a key and repeated keys go first, then keys whose first row by `order` (a
+    number) has a reason against it, then those beyond `target`. Rows without a key are one
+    group that is counted in each task before it moves. An empty table gives zeros.
+    """
+    known = reduce(lambda a, b: a & b, [filled(c) for c in key])
+    per = df.groupBy(*[F.when(known, F.col(c)).alias(f"_k{i}") for i, c in enumerate(key)]).agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(filled(reason).cast("int"), F.col(order)).alias("_bad"))
+    has = F.col("_k0").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = per.agg(total(F.col("_n")).alias("input_rows"), total(F.when(~has, F.col("_n"))).alias("missing_key_rows"), total(F.when(has, F.col("_n") - 1)).alias("duplicate_rows"),
+                  F.count_if(has).alias("unique_rows"), F.count_if(has & (F.col("_bad") == 1)).alias("excluded_rows"))
+    one = one.withColumn("eligible_rows", F.col("unique_rows") - F.col("excluded_rows"))
+    one = one.withColumn("trimmed_rows", F.greatest(F.col("eligible_rows") - F.lit(target), F.lit(0)) if target is not None else F.lit(0)).withColumn("output_rows", F.col("eligible_rows") - F.col("trimmed_rows"))
+    steps = ("input_rows", "missing_key_rows", "duplicate_rows", "unique_rows", "excluded_rows", "eligible_rows", "trimmed_rows", "output_rows")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("step"), F.col(c).cast("long").alias("n")) for c in steps])))
+
+
+def filter_reasons(df: DataFrame, reason: str = "filter_reason", key: Sequence[str] = ("platform", "job_id"), order: str = "seq", source: str = "platform") -> DataFrame:
+    """(source, reason, n) of the keys that the funnel excludes; only key, order, reason and source move."""
+    known = reduce(lambda a, b: a & b, [filled(c) for c in key])
+    narrow = df.filter(known).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col(order).alias("_o"), F.col(reason).alias("reason"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
+    first = first_per_key(narrow, [f"_k{i}" for i in range(len(key))], [F.col("_o")])
+    return first.filter(filled("reason")).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage_report(df: DataFrame, fields: Sequence[str], methods: Sequence[str] = ("match_method", "confidence_band"), role: str = "role_family", matched: str = "matched") -> DataFrame:
+    """rate of filled fields, counts per match method and confidence band, and role segments.
+
+    Where `role` is a column, `input_role` counts all rows of a role and `role` the matched
+    ones (all if there is no column `matched`). Audit rows come from `audit_examples`.
+    """
     wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(filled(f)).alias(f) for f in fields])
     out = wide.select(F.inline(F.array(*[F.struct(F.lit("field").alias("section"), F.lit(f).alias("item"), F.col(f).alias("n"), rnd(F.try_divide(f, "_rows"), 3).alias("rate")) for f in fields])))
+    no_rate = F.lit(None).cast("double").alias("rate")
     for c in methods:
         if c in df.columns:
             one = df.filter(filled(c)).groupBy(F.col(c).alias("item")).agg(F.count(F.lit(1)).alias("n"))
-            out = out.unionByName(one.select(F.lit(c).alias("section"), "item", "n", F.lit(None).cast("double").alias("rate")))
+            out = out.unionByName(one.select(F.lit(c).alias("section"), "item", "n", no_rate))
+    if role in df.columns:
+        hit = F.coalesce(F.col(matched), F.lit(False)) if matched in df.columns else F.lit(True)
+        one = df.filter(filled(role)).groupBy(F.col(role).alias("item")).agg(F.count(F.lit(1)).alias("input_role"), F.count_if(hit).alias("role"))
+        rows = one.select("item", F.inline(F.array(*[F.struct(F.lit(c).alias("section"), F.col(c).alias("n")) for c in ("input_role", "role")])))
+        out = out.unionByName(rows.filter("n > 0").select("section", "item", "n", no_rate))
     return out
 
 
+#: What rows that match nothing are called in the audit.
+UNMATCHED = "未匹配"
+
+
+def audit_examples(df: DataFrame, order: str = "seq", method: str = "match_method", matched: str = "matched", k: int = 12) -> DataFrame:
+    """up to `k` rows of each match method at even distances in the order, first and last included, and as many unmatched ones.
+
+    Columns of df with `audit_group` and `audit_no`. Positions are numbered without gathering a group.
+    """
+    group = F.when(F.coalesce(F.col(matched), F.lit(False)), F.coalesce(F.col(method).cast("string"), F.lit(""))).otherwise(UNMATCHED)
+    tagged = df.withColumn("audit_group", group)
+    placed = position_within(tagged, [(order, True)], group=["audit_group"], name="_at")
+    sizes = tagged.groupBy("audit_group").agg(F.count(F.lit(1)).alias("_n"))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / max(1, k - 1)) + 1)
+    at = F.when(F.col("_n") <= k, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(F.array_distinct(spaced))
+    wanted = sizes.select("audit_group", F.posexplode(at).alias("audit_no", "_at")).withColumns({"audit_no": F.col("audit_no") + 1, "_at": F.col("_at").cast("long")})
+    return placed.withColumn("_at", F.col("_at").cast("long")).join(wanted, ["audit_group", "_at"]).drop("_at")
+
+
 def compare_roles(df: DataFrame, roles: Sequence[str], k: int = 10) -> tuple[DataFrame, DataFrame]:
     """statistics per role and its k most frequent skills; a posting counts in each of its roles."""
     rows = df.withColumn("role", F.explode("role_families")).filter(F.col("role").isin(*roles))

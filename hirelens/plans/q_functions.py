@@ -209,3 +209,12 @@ def c22(spark, sf):
     d = table(spark, sf, "documents")
     body = F.concat(_cycle(F.col("doc_id"), 4, "博士 2025.6（预计毕业）\n", "硕士 2026届\n", "求职意向：Python开发 数据分析 实习\n本科\n", "无\n"), F.regexp_replace("text", "(?i)llm|agent", ""))
     return labels.profile_from_text(d.withColumn("text", body)).groupBy("profile_education", "profile_student", "profile_graduation_year", "profile_preference", F.array_join("profile_roles", "|").alias("roles")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("C22_resume_skills", r"""WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '不熟悉the、没有大型que经验' || chr(10) WHEN 1 THEN '熟悉que；不会der' || chr(10) ELSE '' END || coalesce(text,'') AS b FROM documents),
+ k AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(b, '[\n。；;]'), lambda x: NOT regexp_matches(x, '不熟悉|不会|未掌握|未接触|没有.{0,8}经验|计划学习|准备学习|待学习')), chr(10)) AS k FROM b)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(k,'(^|[^A-Za-z0-9+#])(?i:the)($|[^A-Za-z0-9+#])') THEN 'the' END, CASE WHEN regexp_matches(k,'(^|[^A-Za-z0-9+#])(?i:der)($|[^A-Za-z0-9+#])') THEN 'der' END, CASE WHEN regexp_matches(k,'(^|[^A-Za-z0-9+#])(?i:que)($|[^A-Za-z0-9+#])') THEN 'que' END], lambda x: x IS NOT NULL), '|') AS skills FROM k""".replace("\\n", "\n"))
+def c22s(spark, sf):
+    d = table(spark, sf, "documents")
+    ahead = F.when(F.col("doc_id") % 3 == 0, "不熟悉the、没有大型que经验\n").when(F.col("doc_id") % 3 == 1, "熟悉que；不会der\n").otherwise("")
+    return d.select("doc_id", F.array_join(labels.resume_skills(F.concat(ahead, F.coalesce("text", F.lit(""))), ["the", "der", "que"]), "|").alias("skills"))

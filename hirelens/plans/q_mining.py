@@ -38,7 +38,20 @@ def i2(spark, sf):
     return mining.contrast_keywords(d.filter("lang = 'fr'"), d.filter("lang <> 'fr'")).select("term", "seed_df", "negative_df", "score", "rank")
 
 
-@query("I3_textrank_keywords")
+def centrality_sql(rounds: int = 40, window: int = 4, damping: float = 0.85) -> str:
+    """The rounds of word centrality, one after the other, over the words `w` of French documents."""
+    steps = [f"""wx AS MATERIALIZED (SELECT doc_id, i, a FROM (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE lang='fr')),
+ pr AS (SELECT DISTINCT x.a, y.a AS b FROM (SELECT doc_id, a, i, unnest(range(1, {window + 1})) AS d FROM wx) AS x JOIN wx AS y ON y.doc_id = x.doc_id AND y.i = x.i + x.d WHERE x.a <> y.a),
+ ed AS MATERIALIZED (SELECT a, b FROM pr UNION SELECT b, a FROM pr), dg AS MATERIALIZED (SELECT a AS word, count(*) AS d FROM ed GROUP BY 1),
+ ew AS MATERIALIZED (SELECT ed.a, b, {damping} / d AS h FROM ed JOIN dg ON word = b), c0 AS (SELECT word, 1.0::DOUBLE AS c FROM dg)"""]
+    steps += [f"c{n + 1} AS MATERIALIZED (SELECT a AS word, {1 - damping} + sum(h * c) AS c FROM ew JOIN c{n} ON word = b GROUP BY 1)" for n in range(rounds)]
+    return ",\n".join(steps)
+
+
+@query("I3_textrank_keywords", with_(TERMS, centrality_sql()) + f""", sp AS (SELECT a AS term, [a] AS p FROM wr WHERE lang='fr' UNION ALL SELECT a||b, [a,b] FROM wr WHERE lang='fr' AND b IS NOT NULL UNION ALL SELECT a||b||c, [a,b,c] FROM wr WHERE lang='fr' AND c IS NOT NULL),
+ mn AS (SELECT term, min(p) AS p FROM sp SEMI JOIN sd USING (term) GROUP BY 1), sm AS (SELECT term, sum(c) AS c FROM (SELECT term, unnest(p) AS word FROM mn) JOIN c40 USING (word) GROUP BY 1),
+ k AS (SELECT term, seed_df, {R('c / greatest(1.0, length(term) / 2) * seed_df / s', 6)} AS score FROM sd JOIN sm USING (term), ns)
+SELECT term, seed_df, score, CAST(row_number() OVER (ORDER BY score DESC, term) AS INT) AS rank FROM k WHERE score > 0 QUALIFY rank <= 100""")
 def i3(spark, sf):
     return mining.textrank_keywords(term_docs(spark, sf).filter("lang = 'fr'")).select("term", "seed_df", "score", "rank")
 
@@ -72,6 +85,15 @@ def i7(spark, sf):
     return kw.select("term", "seed_df", "score", "rank")
 
 
+@query("I7_match_seed_model", with_(P_WHOLE) + r"""SELECT province='ASIA' AND ring AS direct, (province='ASIA' AND ring) OR (NOT outside AND province='ASIA' AND hits>=2) AS matched, count(*) AS n FROM (SELECT province, skills LIKE '%ring%' AS ring, skills LIKE '%rod%' AND skills NOT LIKE '%ring%' AS outside,
+ len(list_filter(['ther','ation','ung','leur'], lambda w: contains(regexp_replace(lower(job_description),'[\s\x{3000}\x{00a0}]','','g'), w))) AS hits FROM postings) GROUP BY 1,2""")
+def i7m(spark, sf):
+    p = whole_postings(spark, sf, F.when(F.col("province") == "ASIA", "独立制作动画短片。").otherwise("负责行政。"))
+    p = p.withColumn("job_name", F.when(F.col("skills").contains("ring"), "AI漫剧制作").when(F.col("skills").contains("rod"), "动画评测").otherwise("助理"))
+    kw = spark.createDataFrame([(t,) for t in ("ther", "ation", "ung", "leur")], "term string")
+    return mining.match_seed_model(p, kw).groupBy(mining.strict_seed().alias("direct"), "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("I8_topic_keywords", with_(P_LEAN) + f""", t AS (SELECT DISTINCT seq, skills LIKE '%ring%' AS seed, unnest(regexp_extract_all(lower(job_name||'。'||skills), '[a-z][a-z0-9+#.-]*|[一-鿿]{{2}}')) AS name FROM postings), z AS (SELECT count(*) AS rows, count(*) FILTER (skills LIKE '%ring%') AS seeds FROM postings), g AS (SELECT name, count(*) AS total_count, count(*) FILTER (seed) AS seed_count FROM t GROUP BY 1),
  h AS (SELECT *, seed_count/seeds AS sr, total_count/rows AS gr, (seed_count/seeds)/greatest(total_count/rows,1/rows) AS lf FROM g, z WHERE seed_count>0)
 SELECT name, CASE WHEN lf>=2.2 AND gr<=0.28 AND sr>=0.035 THEN 'strong' ELSE 'supporting' END AS strength, seed_count, total_count, {R('sr',3)} AS seed_rate, {R('lf',2)} AS lift, {R('sr*(ln((rows+1)/(total_count+1))+1)*ln(1+lf)',4)} AS score FROM h WHERE seed_count>=greatest(3,ceil(seeds*0.015)) AND sr>=0.025 AND lf>=1.8 AND gr<=0.35""")
@@ -137,6 +159,17 @@ def i12(spark, sf):
     return out.select("category", "term", "seed_df", "background_df")
 
 
-@query("I13_pmi_phrases")
+@query("I13_pmi_phrases", f"""WITH q AS (SELECT doc_id, unnest(q) AS q, generate_subscripts(q, 1) AS s FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[。；;\n.]') AS q FROM documents)),
+ t AS (SELECT doc_id, s, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, s, regexp_extract_all(q, '[a-z0-9]+|[一-鿿]{{2}}') AS w FROM q)),
+ r AS MATERIALIZED (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id, s ORDER BY i)),
+ g AS (SELECT doc_id, [a, b] AS parts FROM r WHERE b IS NOT NULL UNION ALL SELECT doc_id, [a, b, c] FROM r WHERE c IS NOT NULL),
+ d AS (SELECT count(*) AS docs FROM documents), u AS MATERIALIZED (SELECT a AS word, count(*) AS f FROM r GROUP BY 1), z AS (SELECT sum(f) AS total FROM u),
+ p AS MATERIALIZED (SELECT parts, count(DISTINCT doc_id) AS df, count(*) AS n FROM g WHERE length(array_to_string(parts, ' ')) BETWEEN 3 AND 28 GROUP BY 1 HAVING count(DISTINCT doc_id) >= greatest(5, ceil((SELECT docs FROM d) * 0.005))),
+ e AS (SELECT parts, n, parts[i] AS l, parts[i + 1] AS h FROM p, range(1, 3) x(i) WHERE i < len(parts)),
+ m AS (SELECT parts, min(log2(n * total / (ul.f * CAST(uh.f AS DOUBLE)))) AS pmi FROM e JOIN u AS ul ON ul.word = l JOIN u AS uh ON uh.word = h, z GROUP BY 1),
+ k AS MATERIALIZED (SELECT parts, df, pmi FROM p JOIN m USING (parts) WHERE pmi >= 2),
+ o AS (SELECT df AS odf, parts[1:2] AS parts FROM k WHERE len(parts) = 3 UNION ALL SELECT df, parts[2:3] FROM k WHERE len(parts) = 3),
+ f AS (SELECT array_to_string(parts, ' ') AS name, df, {R('pmi', 6)} AS pmi, {R('df/docs*(ln((docs+1)/(df+1))+1)', 8)} AS score FROM k, d WHERE parts NOT IN (SELECT k.parts FROM k JOIN o USING (parts) WHERE odf >= df * 0.75))
+SELECT *, CAST(row_number() OVER (ORDER BY score DESC, name) AS INT) AS rank FROM f QUALIFY rank <= 200""")
 def i13(spark, sf):
     return mining.pmi_phrases(table(spark, sf, "documents"), F.col("text"), "doc_id")

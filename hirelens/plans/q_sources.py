@@ -142,3 +142,14 @@ def a9(spark, sf):
         one = one.select(F.lit(scope).alias("scope"), "platform", "n", "first_seq")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("A4_split_area", """WITH a AS (SELECT s_suppkey, replace(CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || '-' || s_name ELSE n_name || ' — ' || r_name || '-' || s_name END, '—', '-') AS a FROM supplier JOIN nation ON n_nationkey=s_nationkey JOIN region ON r_regionkey=n_regionkey)
+SELECT s_suppkey, trim(split_part(a,'-',1)) AS city, CASE WHEN contains(a,'-') THEN trim(substr(a, instr(a,'-')+1)) ELSE '' END AS district FROM a""")
+def a4s(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    d = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    k = F.col("s_suppkey") % 3
+    area = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat_ws("-", "n_name", "s_name")).otherwise(F.concat("n_name", F.lit(" — "), "r_name", F.lit("-"), "s_name"))
+    city, district = readers.split_area(area)
+    return d.select("s_suppkey", city.alias("city"), district.alias("district"))

@@ -180,6 +180,51 @@ def f19(spark, sf):
     return stats.coverage_report(postings(spark, sf, False).withColumn("match_method", F.col("platform")), ["education"])
 
 
+# Some rows without a key, keys of several rows, and two reasons against a row.
+FUNNEL = """f AS MATERIALIZED (SELECT platform, CASE WHEN seq % 11 = 0 THEN '' ELSE job_id END AS job_id, seq, CASE WHEN education='' THEN 'no education' WHEN employment_type='' THEN 'no type' END AS reason FROM postings),
+ k AS MATERIALIZED (SELECT platform, job_id, count(*) AS c, min_by(coalesce(reason,''), seq) AS reason FROM f WHERE job_id<>'' AND platform<>'' GROUP BY 1,2),
+ z AS (SELECT (SELECT count(*) FROM f) AS i, (SELECT count(*) FROM f WHERE job_id='' OR platform='') AS m, (SELECT CAST(coalesce(sum(c-1),0) AS BIGINT) FROM k) AS d, (SELECT count(*) FROM k) AS u, (SELECT count(*) FROM k WHERE reason<>'') AS x)"""
+
+
+def filtered(spark, sf):
+    p = postings(spark, sf, False)
+    return p.withColumns({"job_id": F.when(F.col("seq") % 11 == 0, "").otherwise(F.col("job_id")), "filter_reason": F.when(F.col("education") == "", "no education").when(F.col("employment_type") == "", "no type")})
+
+
+@query("F18_collection_funnel", with_(P_LEAN, FUNNEL) + """SELECT 'input_rows' AS step, i AS n FROM z UNION ALL SELECT 'missing_key_rows', m FROM z UNION ALL SELECT 'duplicate_rows', d FROM z UNION ALL SELECT 'unique_rows', u FROM z UNION ALL SELECT 'excluded_rows', x FROM z
+ UNION ALL SELECT 'eligible_rows', u-x FROM z UNION ALL SELECT 'trimmed_rows', greatest(u-x-1000,0) FROM z UNION ALL SELECT 'output_rows', least(u-x,1000) FROM z""")
+def f18f(spark, sf):
+    return stats.collection_funnel(filtered(spark, sf), target=1000)
+
+
+@query("F18_filter_reasons", with_(P_LEAN, FUNNEL) + "SELECT platform AS source, reason, count(*) AS n FROM k WHERE reason<>'' GROUP BY 1,2")
+def f18r(spark, sf):
+    return stats.filter_reasons(filtered(spark, sf))
+
+
+# Texts matched by one of two words, the language as the role.
+AUDIT = """a AS MATERIALIZED (SELECT doc_id, lang, CASE WHEN contains(text,'ung') THEN 'ung' WHEN contains(text,'tion') THEN 'tion' END AS method FROM documents)"""
+
+
+def audited(spark, sf):
+    d = table(spark, sf, "documents")
+    method = F.when(F.col("text").contains("ung"), "ung").when(F.col("text").contains("tion"), "tion")
+    return d.select("doc_id", F.col("lang").alias("role_family"), method.alias("match_method"), method.isNotNull().alias("matched"))
+
+
+@query("F19_role_segments", with_(AUDIT) + f"""SELECT 'field' AS section, 'match_method' AS item, count(method) AS n, {R('count(method)/count(*)',3)} AS rate FROM a UNION ALL SELECT 'match_method', method, count(*), NULL FROM a WHERE method IS NOT NULL GROUP BY method
+ UNION ALL SELECT 'input_role', lang, count(*), NULL FROM a WHERE lang<>'' GROUP BY lang UNION ALL SELECT 'role', lang, count(method), NULL FROM a WHERE lang<>'' GROUP BY lang HAVING count(method)>0""")
+def f19r(spark, sf):
+    return stats.coverage_report(audited(spark, sf), ["match_method"])
+
+
+@query("F19_audit_examples", with_(AUDIT) + """, b AS (SELECT *, coalesce(method,'未匹配') AS audit_group FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY audit_group ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY audit_group) AS n FROM b),
+ w AS (SELECT DISTINCT audit_group, CASE WHEN n<=12 THEN i ELSE i*(n-1)//11 END AS p, i FROM (SELECT DISTINCT audit_group, n FROM r), range(12) t(i) WHERE i<n)
+SELECT audit_group, CAST(i+1 AS INT) AS audit_no, doc_id FROM w JOIN r USING (audit_group, p)""")
+def f19a(spark, sf):
+    return stats.audit_examples(audited(spark, sf), "doc_id").select("audit_group", "audit_no", "doc_id")
+
+
 @query("F20_compare_roles", with_(P_LEAN, SAL, U) + f"SELECT city AS role, count(*) AS matched_jobs, count(v) AS valid_salary_rows, {q('v',.5)} AS median_salary_k, {q('v',.25)} AS p25_salary_k, {q('v',.75)} AS p75_salary_k, array_to_string(list_sort(list(DISTINCT platform)),'|') AS platforms FROM u WHERE city IN ('NATION_1','NATION_2') GROUP BY 1")
 def f20(spark, sf):
     return stats.compare_roles(base(spark, sf).withColumn("role_families", F.array("city", "province")), ["NATION_1", "NATION_2"])[0]
@@ -210,6 +255,26 @@ def f22(spark, sf):
     return m.select("lang", "n", "tp", "tn", "fp", "fn", *[rnd(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
+# Two thirds of the labelled documents validate, one third tests.
+RELEASE = """t AS (SELECT lang, doc_id % 3 = 0 AS test, quality=1 AS g, n_chars>1200 AS p FROM documents JOIN labels USING (doc_id)),
+ c AS (SELECT lang, test, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND NOT p) AS tn, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM t GROUP BY 1,2),
+ l AS (SELECT *, least(tp+fn, tn+fp) AS least_class, coalesce(tp/nullif(tp+fp,0)>=0.9 AND tp/nullif(tp+fn,0)>=0.85 AND 2*tp/nullif(2*tp+fp+fn,0)>=0.87, false) AS good,
+  CASE WHEN tp+fp>0 THEN (tp/(tp+fp)+z2/(2*(tp+fp))-sqrt(z2)*sqrt(tp/(tp+fp)*(1-tp/(tp+fp))/(tp+fp)+z2/(4*(tp+fp)*(tp+fp))))/(1+z2/(tp+fp)) ELSE 0 END AS plow,
+  CASE WHEN tp+fn>0 THEN (tp/(tp+fn)+z2/(2*(tp+fn))-sqrt(z2)*sqrt(tp/(tp+fn)*(1-tp/(tp+fn))/(tp+fn)+z2/(4*(tp+fn)*(tp+fn))))/(1+z2/(tp+fn)) ELSE 0 END AS rlow FROM c, (SELECT 1.959963984540054*1.959963984540054::DOUBLE AS z2))"""
+
+
+@query("F22_release_reasons", with_(RELEASE) + """SELECT t.lang, array_to_string(list_filter([CASE WHEN t.n<30 THEN '独立测试不足30篇' END, CASE WHEN t.least_class<10 THEN '独立测试每类不足10篇' END, CASE WHEN v.least_class<5 THEN '验证集每类不足5篇' END, CASE WHEN NOT v.good THEN '验证指标未达到精确率90%、召回率85%、F1 87%' END,
+ CASE WHEN NOT t.good THEN '测试指标未达到精确率90%、召回率85%、F1 87%' END, CASE WHEN t.plow<0.7 THEN '测试精确率95%置信区间下界不足70%' END, CASE WHEN t.rlow<0.7 THEN '测试召回率95%置信区间下界不足70%' END], lambda x: x IS NOT NULL), '|') AS reasons
+FROM l AS t JOIN l AS v ON t.lang=v.lang AND t.test AND NOT v.test""")
+def f22r(spark, sf):
+    side = lambda c: F.when(c, "include").otherwise("exclude")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", (F.col("doc_id") % 3 == 0).alias("test"), side(F.col("quality") == 1).alias("gold"), side(F.col("n_chars") > 1200).alias("prediction"))
+    m = stats.classification_metrics(d, ["lang", "test"])
+    part = lambda of, name: m.filter(of).select("lang", F.struct("*").alias(name))
+    both = part(F.col("test"), "t").join(part(~F.col("test"), "v"), "lang")
+    return both.select("lang", F.array_join(stats.release_reasons(), "|").alias("reasons"))
+
+
 @query("F23_requirement_coverage", """WITH i AS (SELECT l_orderkey AS k, count(*) AS items, count(DISTINCT l_linenumber) AS ids, count(*) FILTER (l_returnflag<>'R') AS total, count(*) FILTER (l_returnflag='A') AS matched FROM lineitem GROUP BY 1),
  p AS (SELECT o_orderkey AS k, CASE WHEN items=ids AND total>0 THEN 100.0*matched/total END AS pct FROM orders LEFT JOIN i ON k=o_orderkey)
 SELECT k AS "key", CAST(round(CAST(pct AS DECIMAL(28,10)),4) AS DOUBLE) AS percentage, row_number() OVER (ORDER BY (pct IS NULL)::INT, -coalesce(pct,0), k) AS place FROM p""")

@@ -182,3 +182,21 @@ def test_plans_stay_on_the_engine(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
     assert not re.search(r"Exchange SinglePartition[\s\S]{0,400}Window", plan) or "WindowGroupLimit" in plan
+
+
+def test_collection_funnel(spark):
+    rows = [("p", "1", 1, None), ("p", "1", 2, "late"), ("p", "2", 3, "short"), ("p", "2", 4, None), ("q", "1", 5, ""), ("q", None, 6, None), ("", "3", 7, "x"), ("q", "4", 8, None)]
+    df = spark.createDataFrame(rows, "platform string, job_id string, seq long, filter_reason string")
+    steps = {r["step"]: r["n"] for r in stats.collection_funnel(df, target=2).collect()}
+    assert steps == {"input_rows": 8, "missing_key_rows": 2, "duplicate_rows": 2, "unique_rows": 4, "excluded_rows": 1, "eligible_rows": 3, "trimmed_rows": 1, "output_rows": 2}
+    assert [tuple(r) for r in stats.filter_reasons(df).collect()] == [("p", "short", 1)]
+    assert all(r["n"] == 0 for r in stats.collection_funnel(df.limit(0)).collect())
+
+
+def test_audit_examples(spark):
+    df = spark.range(1, 31).select(F.col("id").alias("seq"), F.when(F.col("id") <= 25, "a").otherwise("b").alias("match_method"), F.when(F.col("id") != 30, F.col("id") != 28).alias("matched"))
+    out = {}
+    for r in stats.audit_examples(df, k=5).orderBy("audit_no").collect():
+        out.setdefault(r["audit_group"], []).append(r["seq"])
+    assert out == {"a": [1, 7, 13, 19, 25], "b": [26, 27, 29], "未匹配": [28, 30]}
+    assert stats.audit_examples(df.limit(0)).count() == 0
