@@ -230,7 +230,12 @@ def b22k(spark, sf):
     return out.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
 
 
-@query("B23_gram_overlap_filter")
+# Grams of five letters without white space, marks and digits; every pair of texts of a like length that shares one is counted.
+@query("B23_gram_overlap_filter", with_(DOCP) + r"""t AS (SELECT job_id, company_name='src0' AS stop, regexp_replace(lower(job_description), '[\p{P}\p{S}\d\s\x{3000}\x{00a0}]', '', 'g') AS x FROM docp WHERE company_name IS NOT NULL),
+ g AS MATERIALIZED (SELECT DISTINCT job_id, stop, length(x) AS n, hash(substr(x, i, 5)) AS h FROM (SELECT *, unnest(range(1, length(x) - 3)) AS i FROM t WHERE length(x) >= 5)),
+ m AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS m FROM g),
+ p AS (SELECT a.job_id, count(*) AS c, any_value(a.m) AS ma, any_value(b.m) AS mb FROM m AS a JOIN m AS b ON a.h = b.h AND a.m * 0.8 <= b.m AND b.m * 0.8 <= a.m AND least(a.n, b.n) / greatest(a.n, b.n) >= 0.75 WHERE NOT a.stop AND b.stop GROUP BY a.job_id, b.job_id)
+SELECT job_id FROM docp WHERE company_name <> 'src0' AND job_id NOT IN (SELECT job_id FROM p WHERE c / (ma + mb - c) >= 0.8)""".replace("t AS (", ", t AS (", 1))
 def b23(spark, sf):
     d = doc_postings(spark, sf)
     return near.gram_overlap_filter(d.filter("company_name <> 'src0'"), d.filter("company_name = 'src0'")).select("job_id")

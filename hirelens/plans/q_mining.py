@@ -19,6 +19,16 @@ TERMS = r"""w AS MATERIALIZED (SELECT doc_id, lang, list_filter(regexp_extract_a
  sd AS (SELECT term, count(*) AS seed_df FROM tm WHERE lang='fr' GROUP BY 1 HAVING count(*)>=2), ns AS (SELECT count(*) FILTER (lang='fr') AS s, count(*) FILTER (lang<>'fr') AS o, count(*) AS n FROM documents)"""
 
 
+def centrality_sql(rounds: int = 40, window: int = 4, damping: float = 0.85, seed: str = "lang='fr'") -> str:
+    """The rounds of word centrality, one after the other, over the words `w` of the seeds."""
+    steps = [f"""wx AS MATERIALIZED (SELECT doc_id, i, a FROM (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE {seed})),
+ pr AS (SELECT DISTINCT x.a, y.a AS b FROM (SELECT doc_id, a, i, unnest(range(1, {window + 1})) AS d FROM wx) AS x JOIN wx AS y ON y.doc_id = x.doc_id AND y.i = x.i + x.d WHERE x.a <> y.a),
+ ed AS MATERIALIZED (SELECT a, b FROM pr UNION SELECT b, a FROM pr), dg AS MATERIALIZED (SELECT a AS word, count(*) AS d FROM ed GROUP BY 1),
+ ew AS MATERIALIZED (SELECT ed.a, b, {damping} / d AS h FROM ed JOIN dg ON word = b), c0 AS (SELECT word, 1.0::DOUBLE AS c FROM dg)"""]
+    steps += [f"c{n + 1} AS MATERIALIZED (SELECT a AS word, {1 - damping} + sum(h * c) AS c FROM ew JOIN c{n} ON word = b GROUP BY 1)" for n in range(rounds)]
+    return ",\n".join(steps)
+
+
 def term_docs(spark, sf):
     d = table(spark, sf, "documents").withColumn("seq", F.col("doc_id"))
     return mining.term_documents(d, F.col("text"))
@@ -38,16 +48,6 @@ def i2(spark, sf):
     return mining.contrast_keywords(d.filter("lang = 'fr'"), d.filter("lang <> 'fr'")).select("term", "seed_df", "negative_df", "score", "rank")
 
 
-def centrality_sql(rounds: int = 40, window: int = 4, damping: float = 0.85) -> str:
-    """The rounds of word centrality, one after the other, over the words `w` of French documents."""
-    steps = [f"""wx AS MATERIALIZED (SELECT doc_id, i, a FROM (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w WHERE lang='fr')),
- pr AS (SELECT DISTINCT x.a, y.a AS b FROM (SELECT doc_id, a, i, unnest(range(1, {window + 1})) AS d FROM wx) AS x JOIN wx AS y ON y.doc_id = x.doc_id AND y.i = x.i + x.d WHERE x.a <> y.a),
- ed AS MATERIALIZED (SELECT a, b FROM pr UNION SELECT b, a FROM pr), dg AS MATERIALIZED (SELECT a AS word, count(*) AS d FROM ed GROUP BY 1),
- ew AS MATERIALIZED (SELECT ed.a, b, {damping} / d AS h FROM ed JOIN dg ON word = b), c0 AS (SELECT word, 1.0::DOUBLE AS c FROM dg)"""]
-    steps += [f"c{n + 1} AS MATERIALIZED (SELECT a AS word, {1 - damping} + sum(h * c) AS c FROM ew JOIN c{n} ON word = b GROUP BY 1)" for n in range(rounds)]
-    return ",\n".join(steps)
-
-
 @query("I3_textrank_keywords", with_(TERMS, centrality_sql()) + f""", sp AS (SELECT a AS term, [a] AS p FROM wr WHERE lang='fr' UNION ALL SELECT a||b, [a,b] FROM wr WHERE lang='fr' AND b IS NOT NULL UNION ALL SELECT a||b||c, [a,b,c] FROM wr WHERE lang='fr' AND c IS NOT NULL),
  mn AS (SELECT term, min(p) AS p FROM sp SEMI JOIN sd USING (term) GROUP BY 1), sm AS (SELECT term, sum(c) AS c FROM (SELECT term, unnest(p) AS word FROM mn) JOIN c40 USING (word) GROUP BY 1),
  k AS (SELECT term, seed_df, {R('c / greatest(1.0, length(term) / 2) * seed_df / s', 6)} AS score FROM sd JOIN sm USING (term), ns)
@@ -56,10 +56,37 @@ def i3(spark, sf):
     return mining.textrank_keywords(term_docs(spark, sf).filter("lang = 'fr'")).select("term", "seed_df", "score", "rank")
 
 
-@query("I4_learn_role_keywords")
-def i4(spark, sf):
-    d = sectioned(spark, sf).withColumn("job_name", F.col("platform"))
-    return mining.learn_role_keywords(d, "^fr$").select("term", "seed_df", "background_df", rnd("lift", 4).alias("lift"))
+# The terms of the duties, whose heading is the words 位职 and 职责; seeds are the first of equal French duties.
+DUTIES = r"""du AS MATERIALIZED (SELECT *, coalesce(lang='fr' AND row_number() OVER (PARTITION BY lang, flat ORDER BY doc_id) = 1, false) AS seed FROM (SELECT doc_id, lang, x, regexp_replace(lower(x),'[\s\x{3000}\x{00a0}]','','g') AS flat FROM (
+  SELECT seq AS doc_id, platform AS lang, substr(job_description, instr(job_description,'岗位职责'), instr(job_description,'任职要求')-instr(job_description,'岗位职责')) AS x FROM sec))),
+ w AS MATERIALIZED (SELECT doc_id, lang, seed, list_concat(['位职','职责'], list_filter(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda t: length(t)>=2 AND NOT regexp_matches(t,'^\d+$') AND t NOT IN ('ai','aigc'))) AS w FROM du),
+ wr AS MATERIALIZED (SELECT doc_id, lang, seed, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM (SELECT doc_id, lang, seed, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ sp AS MATERIALIZED (SELECT doc_id, lang, seed, a AS term, [a] AS p FROM wr UNION ALL SELECT doc_id, lang, seed, CASE WHEN b='职责' THEN '位职责' ELSE a||b END, [a,b] FROM wr WHERE b IS NOT NULL UNION ALL SELECT doc_id, lang, seed, CASE WHEN b='职责' THEN '位职责'||c ELSE a||b||c END, [a,b,c] FROM wr WHERE c IS NOT NULL),
+ tm AS MATERIALIZED (SELECT DISTINCT doc_id, lang, seed, term FROM sp JOIN (SELECT doc_id, flat FROM du) USING (doc_id) WHERE len(p)=1 OR (length(term)<=12 AND contains(flat, term))),
+ sd AS (SELECT term, count(*) AS seed_df FROM tm WHERE seed GROUP BY 1 HAVING count(*)>=2), bd AS (SELECT term, count(*) AS background_df FROM tm GROUP BY 1), nd AS (SELECT term, count(*) AS c FROM tm WHERE lang<>'fr' GROUP BY 1),
+ ns AS (SELECT count(*) FILTER (seed) AS s, count(*) FILTER (lang<>'fr') AS o, count(*) AS n FROM du)"""
+TOP = "SELECT *, row_number() OVER (ORDER BY score DESC, term) AS rank FROM ({}) WHERE score > 0 QUALIFY rank <= {}"
+RANKED = {
+    "tfidf": "li AS (" + TOP.format(f"SELECT term, seed_df, {R('seed_df/s*(ln((n+1)/(background_df+1))+1)', 6)} AS score FROM sd JOIN bd USING (term), ns", 100) + ")",
+    "contrast": "li AS (" + TOP.format(f"SELECT term, seed_df, {R('ln(((seed_df+0.5)/(s-seed_df+0.5))/((coalesce(c,0)+0.5)/(o-coalesce(c,0)+0.5)))*seed_df/s', 6)} AS score FROM sd LEFT JOIN nd USING (term), ns", 100) + ")",
+    "textrank": centrality_sql(seed="seed") + f""", mn AS (SELECT term, min(p) AS p FROM sp SEMI JOIN sd USING (term) WHERE seed GROUP BY 1), sm AS (SELECT term, sum(c) AS c FROM (SELECT term, unnest(p) AS word FROM mn) JOIN c40 USING (word) GROUP BY 1),
+ li AS (""" + TOP.format(f"SELECT term, seed_df, {R('c / greatest(1.0, length(term) / 2) * seed_df / s', 6)} AS score FROM sd JOIN sm USING (term), ns", 100) + ")"}
+RANKED["fusion"] = RANKED["tfidf"].replace("li AS", "l1 AS") + ", " + RANKED["textrank"].replace("li AS", "l2 AS") + ", li AS (" + TOP.format("SELECT term, max(seed_df) AS seed_df, round(sum(1 / (60 + rank)), 10) AS score FROM (SELECT term, seed_df, rank FROM l1 UNION ALL SELECT term, seed_df, rank FROM l2) GROUP BY 1", 200) + ")"
+
+
+def _role_keywords(algorithm: str):
+    """I4 by one of its four rankings; seeds are the French documents."""
+    sql = with_(DOCP, SECTIONED, DUTIES, RANKED[algorithm]) + f"""SELECT term, seed_df, background_df, {R('(seed_df/s)/(background_df/n)', 4)} AS lift FROM li JOIN bd USING (term), ns
+ WHERE seed_df >= greatest(2, ceil(s * 0.02)) AND (seed_df/s)/(background_df/n) >= 2.5 QUALIFY row_number() OVER (ORDER BY rank) <= 40"""
+
+    @query("I4_learn_role_keywords" if algorithm == "tfidf" else f"I4_{algorithm}", sql)
+    def run(spark, sf):
+        d = sectioned(spark, sf).withColumn("job_name", F.col("platform"))
+        return mining.learn_role_keywords(d, "^fr$", algorithm).select("term", "seed_df", "background_df", rnd("lift", 4).alias("lift"))
+
+
+for _algorithm in RANKED:
+    _role_keywords(_algorithm)
 
 
 @query("I5_match_keywords", """SELECT doc_id, array_to_string(list_sort(list_filter(h, lambda w: len(list_filter(h, lambda o: o<>w AND contains(o,w)))=0)),'|') AS hits FROM (SELECT doc_id, list_filter(['ther','the','ing','tion','ation','ung','que','leur'], lambda w: contains(regexp_replace(lower(text),'[\\s\\x{3000}\\x{00a0}]','','g'), w)) AS h FROM documents)""")
@@ -159,6 +186,24 @@ def i12(spark, sf):
     return out.select("category", "term", "seed_df", "background_df")
 
 
+@query("I12_learnt_tail", with_(DOCP) + r"""x AS MATERIALIZED (SELECT seq AS doc_id, platform, lower(regexp_replace(job_description,'[\s\x{3000}\x{00a0}]','','g')) AS x, job_description FROM docp),
+ u AS MATERIALIZED (SELECT *, regexp_replace(x,'[。；;]','','g') AS y, coalesce(platform='fr' AND row_number() OVER (PARTITION BY platform, x ORDER BY doc_id)=1, false) AS seed FROM x),
+ w AS MATERIALIZED (SELECT doc_id, seed, list_filter(regexp_extract_all(lower(job_description), '[a-z0-9]+'), lambda t: length(t)>=2 AND NOT regexp_matches(t,'^\d+$') AND t NOT IN ('ai','aigc')) AS w FROM u),
+ wr AS MATERIALIZED (SELECT doc_id, seed, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM (SELECT doc_id, seed, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ ph AS (SELECT DISTINCT doc_id, seed, a||b AS term FROM wr WHERE length(a||b)<=12 UNION SELECT doc_id, seed, a||b||c FROM wr WHERE length(a||b||c)<=12),
+ tm AS MATERIALIZED (SELECT DISTINCT doc_id, seed, a AS term FROM wr UNION SELECT doc_id, ph.seed, term FROM ph JOIN (SELECT doc_id, y FROM u) USING (doc_id) WHERE contains(y, term)),
+ ns AS (SELECT count(*) FILTER (seed) AS s, count(*) AS n FROM u), ct AS (SELECT term, count(*) FILTER (seed) AS seed_df, count(*) AS background_df FROM tm GROUP BY 1),
+ lt AS (SELECT 'b' AS category, term, seed_df, background_df, 'learned_unknown' AS source FROM ct, ns WHERE regexp_matches(term, '^[a-z]{7,}$') AND seed_df >= greatest(3, ceil(s*0.005))),
+ v AS (SELECT 'a' AS category, 'the' AS term, regexp_matches(y,'(^|[^a-z0-9])the($|[^a-z0-9])') AS h, seed FROM u UNION ALL SELECT 'a','que', regexp_matches(y,'(^|[^a-z0-9])que($|[^a-z0-9])'), seed FROM u UNION ALL SELECT 'b','é', contains(y,'é'), seed FROM u),
+ vo AS (SELECT category, term, count(*) FILTER (h AND seed) AS seed_df, count(*) FILTER (h) AS background_df, 'observed_dictionary' AS source FROM v GROUP BY 1,2),
+ k AS (SELECT *, """.replace("x AS MATERIALIZED", ", x AS MATERIALIZED", 1) + R("seed_df/s*(ln((n+1)/(background_df+1))+1)", 6) + """ AS score FROM (SELECT * FROM vo, ns WHERE seed_df >= greatest(3, ceil(s*0.005)) UNION ALL SELECT * FROM lt, ns)),
+ t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, term) AS turn FROM k QUALIFY turn <= 100)
+SELECT category, term, seed_df, background_df, score, source, CAST(row_number() OVER (ORDER BY turn, category, term) AS INT) AS rank FROM t QUALIFY rank <= 100""")
+def i12t(spark, sf):
+    out = mining.category_cloud(doc_postings(spark, sf), F.col("platform") == "fr", {"a": ["the", "que"], "b": ["é"]}, tail=("b", "^[a-z]{7,}$"))
+    return out.select("category", "term", "seed_df", "background_df", "score", "source", "rank")
+
+
 @query("I13_pmi_phrases", f"""WITH q AS (SELECT doc_id, unnest(q) AS q, generate_subscripts(q, 1) AS s FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[。；;\n.]') AS q FROM documents)),
  t AS (SELECT doc_id, s, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, s, regexp_extract_all(q, '[a-z0-9]+|[一-鿿]{{2}}') AS w FROM q)),
  r AS MATERIALIZED (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id, s ORDER BY i)),
