@@ -102,7 +102,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes:
     return names, np.log(documents[documents > 0] / max(1, documents.sum())), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def _predicted(texts: pa.Array, model: tuple, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+def _scored(texts: pa.Array, model: tuple, sizes: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, log likelihoods with prior [language, row], n-grams of each row, does it have a letter) for slices of whole texts."""
     names, prior, table = model
     for lo, rows, grams, letters in gram_buckets(texts, sizes, bits):
         sums = np.repeat(prior[:, None], rows, axis=1) if names else np.zeros((1, rows))
@@ -110,9 +111,21 @@ def _predicted(texts: pa.Array, model: tuple, sizes: tuple[int, ...], bits: int)
             starts = np.flatnonzero(np.diff(row, prepend=-1))
             for i in range(len(names) if len(starts) else 0):
                 sums[i, row[starts]] += np.add.reduceat(table[i][buckets], starts)
-        known = (letters > 0) & bool(names)
-        share = np.where(known, 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0), 0.0)
-        yield lo, rows, [names[b] if k else "und" for b, k in zip(sums.argmax(axis=0), known)], share
+        yield lo, rows, sums, sum(np.bincount(row, minlength=rows) for _, row in grams), (letters > 0) & bool(names)
+
+
+def _posterior(sums: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return np.where(known, 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0), 0.0)
+
+
+def noise_level(model: tuple[list[str], np.ndarray, np.ndarray]) -> np.ndarray:
+    """Per language the mean log-probability of an n-gram halfway between the language's own texts and chance.
+
+    The first is what the model expects of itself, the sum of p log p; the second is that of
+    buckets drawn evenly. Both are means for an n-gram, so the level holds for texts of any length.
+    """
+    table = model[2]
+    return ((np.exp(table) * table).sum(axis=1) - np.log(table.shape[1])) / 2
 
 
 def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text",
@@ -126,8 +139,10 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
 
     def score(batches):
         for batch in batches:
-            for lo, rows, found, share in _predicted(batch.column(1), spread.value, sizes, bits):
-                part = batch.slice(lo, rows)
+            names = spread.value[0]
+            for lo, rows, sums, _, known in _scored(batch.column(1), spread.value, sizes, bits):
+                part, share = batch.slice(lo, rows), _posterior(sums, known)
+                found = [names[b] if k else "und" for b, k in zip(sums.argmax(axis=0), known)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string()), pa.array(share)], ["id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
@@ -136,13 +151,25 @@ def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.nda
 
 def keep_languages(docs: DataFrame, model: tuple, least: float = 0.5, languages: tuple[str, ...] | None = None, text_col: str = "text",
                    sizes: tuple[int, ...] = (1, 2, 3), bits: int = 16) -> DataFrame:
-    """The rows whose language is predicted with a score of `least` or more, of those wanted if any are named; all columns, no join."""
-    spread, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    """The rows whose language is predicted with a score of `least` or more, of those wanted if any are named; all columns, no join.
+
+    The posterior of a whole text is near 1 for any text, as it only compares languages. So the
+    mean log-likelihood of its n-grams must also reach the `noise_level` of the language
+    found: text that is nearer to chance than to the language goes, whatever its length.
+    Null texts, texts without a letter and, if nothing was learned, all rows go.
+    """
+    spread, at = docs.sparkSession.sparkContext.broadcast((model, noise_level(model))), docs.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
-            for lo, rows, found, share in _predicted(batch.column(at), spread.value, sizes, bits):
-                good = [s >= least and f != "und" and (languages is None or f in languages) for f, s in zip(found, share)]
+            (names, prior, table), level = spread.value
+            wanted = np.array([languages is None or n in languages for n in names], bool)
+            for lo, rows, sums, count, known in _scored(batch.column(at), (names, prior, table), sizes, bits):
+                good = known & (_posterior(sums, known) >= least)
+                if names:
+                    best = sums.argmax(axis=0)
+                    mean = (sums[best, np.arange(rows)] - prior[best]) / np.maximum(count, 1)
+                    good &= wanted[best] & (mean >= level[best])
                 yield batch.slice(lo, rows).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

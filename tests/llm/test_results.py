@@ -1,6 +1,7 @@
 """Operators against brute force, the tokenizer, planted cases and SQL on the small tables."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from hirelens.llm import embeddings, licences, minhash, packing, pretokens, quality, search, wrappers
+from hirelens.llm import embeddings, language, licences, minhash, packing, pretokens, quality, search, wrappers
 from hirelens.llm.queries import QUERIES, SQL, WORD_BPE
 from tests.oracle import compare, connect
 
@@ -118,6 +119,20 @@ def test_language_held_out(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_filter_drops_noise_and_keeps_clean_texts(spark, docs):
+    model = language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(words)) for words in (4, 20, 200, 5000) for _ in range(5)]
+    noise += ["\u4e00\u9fa5\u7684\u662f" * 50, "\u0416\u0449\u044b\u0434 " * 30]
+    other = [(None,), ("",), ("12 34",)]
+    rows = [(-1 - i, t) for i, t in enumerate(noise)] + [(-1000 - i, *t) for i, t in enumerate(other)] + [(i, r["text"]) for i, r in docs.items()]
+    kept = language.keep_languages(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    clean = {i for i, r in docs.items() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert {r["doc_id"] for r in kept.collect()} == clean
+    only = language.keep_languages(spark.createDataFrame(rows, "doc_id long, text string"), model, languages=("fr",))
+    assert 0 < only.count() < len(clean)
+
+
 def test_mixing_equals_sql(spark):
     assert compare(spark, connect(SF), QUERIES["op5_mix_sources"], SQL["op5_mix_sources"], SF) is None
 
