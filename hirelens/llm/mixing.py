@@ -110,4 +110,5 @@ def mixing_sql(rounds: int = 10) -> str:
     drawn AS (SELECT doc_id, marked.source, marked.lang, topic, tokens, ratio, least(ratio, 1) AS probability,
         CAST(CAST('0x' || substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM marked JOIN rates USING (source, lang, topic))
     SELECT doc_id, source, lang, topic, tokens, round(ratio, 6) AS ratio, round(probability, 6) AS probability,
-        round(CASE WHEN probability > 0 THEN ratio / probability ELSE 0 END, 6) AS epochs, u < probability AS kept FROM drawn"""
+        round(CASE WHEN probability > 0 THEN ratio / probability ELSE 0 END, 6) AS epochs, u < probability AS kept,
+        CAST(floor(ratio) + CASE WHEN u < ratio - floor(ratio) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM drawn"""

@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mix_sources", mixing_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_documents(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", "topic", "tokens", *(F.round(c, 6).alias(c) for c in ("ratio", "probability", "epochs")), "kept")
+    return rows.select("doc_id", "source", "lang", "topic", "tokens", *(F.round(c, 6).alias(c) for c in ("ratio", "probability", "epochs")), "kept", "copies")
 
 
 @query("op6_minhash_near_dedup")
