@@ -209,7 +209,9 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", spreadsheet: b
         df = flat_text(df)
         if spreadsheet:
             df = df.select([sheet_safe(c).alias(c) for c in df.columns])
-        df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+        # Spark's CSV writer trims every value unless it is told not to.
+        whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="", **whole).csv(path)
     elif fmt == "json":
         df.write.mode("overwrite").json(path)
     else:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hirelens.core import rnd
 from hirelens.functions import groups, labels, salary, text
 from hirelens.operators import clean
+from hirelens.sources import readers
 
 
 @pytest.mark.parametrize("raw,period,low,high,pay", [
@@ -69,3 +70,9 @@ def test_valid_posting(spark):
 
 def test_rounding_is_half_up(spark):
     assert spark.createDataFrame([(3.805,), (2.675,), (float("nan"),)], "x double").select(rnd("x", 2)).collect()[:2] == [(3.81,), (2.68,)]
+
+
+def test_written_csv_keeps_white_space_at_the_ends(spark, tmp_path):
+    rows = [("1", " both "), ("2", "cut after a word "), ("3", "\tin\n"), ("4", ""), ("5", " ")]
+    readers.write_dataset(spark.createDataFrame(rows, "job_id string, extra string"), str(tmp_path / "out"), "csv", spreadsheet=True)
+    assert sorted((r["job_id"], r["extra"]) for r in readers.read_channel_csv(spark, str(tmp_path / "out")).collect()) == rows
