@@ -128,3 +128,10 @@ def test_scans_shuffle_top_rows_only(spark, monkeypatch):
     asks = spark.createDataFrame([(q, "f", "hot", ["s"]) for q in range(3)], "query_id long, facet string, query_text string, query_skills array<string>")
     assert rank.bm25(docs, asks, k=5).count() == 15 and rank.lexical_rank(docs, asks, 5, ("job_name",), "doc_id").count() == 15
     assert len(made) == 2 and all(m.count() <= 4 * 3 * 5 for m in made)
+
+
+def test_the_best_anchor_wins_a_near_tie(spark):
+    anchors = spark.createDataFrame([(1, "other", [1.0 - 5e-8, 0.0]), (2, "target", [1.0, 0.0])], "anchor_id int, kind string, vector array<double>")
+    rows = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id int, embedding array<double>")
+    for tie, want in ((1e-7, (2, "review")), (0.0, (2, "include"))):
+        assert [(r["winner"], r["decision"]) for r in models.nearest_reference(rows, anchors, tie=tie).collect()] == [want]
