@@ -135,3 +135,10 @@ def test_the_best_anchor_wins_a_near_tie(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id int, embedding array<double>")
     for tie, want in ((1e-7, (2, "review")), (0.0, (2, "include"))):
         assert [(r["winner"], r["decision"]) for r in models.nearest_reference(rows, anchors, tie=tie).collect()] == [want]
+
+
+def test_cloud_threshold_is_three_seeds_and_a_share(spark):
+    rows = [(i, str(i), "岗位职责：文本" + str(i) + ("有é" if i < 3 else "") + "。") for i in range(1000)]
+    df = spark.createDataFrame(rows, "seq long, job_id string, job_description string")
+    for rate, want in ((0.0, [("b", "é", 3)]), (0.005, [])):
+        assert [(r["category"], r["term"], r["seed_df"]) for r in mining.category_cloud(df, F.lit(True), {"b": ["é"]}, rate=rate).collect()] == want
