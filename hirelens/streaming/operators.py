@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, Row, StringType, StructField, StructType
 
 from hirelens.core import filled, first_per_key, position_within, text
-from hirelens.operators.clean import meaningful_change, merge_postings
+from hirelens.operators.clean import TIMES, meaningful_change, merge_postings
 from hirelens.streaming.batches import PARTS, exists, read_batches, stream_name, write_batch
 
 
@@ -82,10 +82,10 @@ def stream_ingest(stream: DataFrame, path: str, checkpoint: str, changes: str |
         try:
             if changes:
                 old = read_batches(rows.sparkSession, path, rows, POSTING, buckets, but=(name, batch_id))
-                before = merge_postings(None, old.drop(*PARTS)) if old is not None else None
-                after = merge_postings(before, rows)
+                before = merge_postings(None, old.drop(*PARTS), times=TIMES) if old is not None else None
+                after = merge_postings(before, rows, times=TIMES)
                 before = before if before is not None else after.limit(0)
-                meaningful_change(before, after, ignore=["seq"]).write.mode("overwrite").parquet(f"{changes}/stream={name}/batch={batch_id}")
+                meaningful_change(before, after, ignore=["seq", TIMES]).write.mode("overwrite").parquet(f"{changes}/stream={name}/batch={batch_id}")
             write_batch(rows, path, POSTING, name, batch_id, buckets)
         finally:
             rows.unpersist()

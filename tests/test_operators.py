@@ -24,6 +24,18 @@ def test_merge_does_not_depend_on_partitioning(spark, parts):
     assert {tuple(r[c] for c in ("job_id", "city", "job_description")) for r in again} == {("1", "c", "long text here"), ("2", "x", "y")}
 
 
+def test_late_rows_are_placed_by_their_own_seq(spark):
+    schema = "platform string, job_id string, job_name string, city string, job_description string, seq long"
+    rows = [("p", "1", "a", "old", "text", 1), ("p", "1", "b", "", "longer text", 5), ("p", "1", "c", "late", "even longer text", 3), ("p", "1", "d", "", "", 4)]
+    some, rest, every = (spark.createDataFrame(r, schema) for r in (rows[:2], rows[2:], rows))
+    first = clean.ingest_versions(None, None, None, some, "t")
+    second = clean.ingest_versions(first["jobs"], first["new_versions"], first["new_memberships"], rest, "t")
+    pick = lambda d: [tuple(r) for r in d.select("job_name", "city", "job_description", "seq", "content_hash").collect()]
+    assert pick(second["jobs"]) == pick(clean.ingest_versions(None, None, None, every, "t")["jobs"])
+    assert [tuple(r) for r in second["jobs"].select("job_name", "city").collect()] == [("b", "late")]
+    assert [tuple(r) for r in second["change"].collect()] == [(0, 1, 0, 0)]
+
+
 def test_positions_are_exact_under_skew(spark):
     df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("v"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("g"))
     got = position_within(df, [("v", False)], ["g"], rows_each=1250).toPandas()
