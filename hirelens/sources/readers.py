@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelens.core import SPACE, filled, first_per_key, lookup, position_within, text, value
+from hirelens.core import SPACE, filled, first_per_key, let, lookup, position_within, text, value
 from hirelens.rules import tables
 
 
@@ -129,21 +129,27 @@ ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"
 
 def decode_entities(c: Column) -> Column:
     """Numeric and named entities to characters, each entity decoded once."""
+    # The name is cut out once for each piece; patterns are tried on numeric entities only.
+    name = lambda p: F.when(F.instr(F.substring(p, 1, 10), ";") > 0, F.lower(F.substring_index(p, ";", 1)))
 
-    def point(piece: Column) -> Column:
+    def point(x: Column) -> Column:
+        piece, head = x["piece"], x["head"]
         dec = F.regexp_extract(piece, r"^#(\d{1,7});", 1)
         hexa = F.regexp_extract(piece, r"(?i)^#x([0-9a-f]{1,6});", 1)
         code = F.coalesce(dec.try_cast("long"), F.conv(F.nullif(hexa, F.lit("")), 16, 10).try_cast("long"))
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        named = F.lit(None).cast("string")
-        for name, sign in ENTITIES:
-            named = F.when(piece.rlike(f"(?i)^{name};"), F.concat(F.lit(sign), F.regexp_replace(piece, f"(?i)^{name};", ""))).otherwise(named)
-        ok = code.isNotNull() & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(ok, F.concat(char, F.regexp_replace(piece, "^#[^;]*;", ""))).otherwise(F.coalesce(named, F.concat(F.lit("&"), piece)))
+        rest = F.substring(piece, F.length(head) + 2, F.length(piece))
+        char = let(code, lambda n: F.when((n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+        asis = F.concat(F.lit("&"), piece)
+        out = F.when(head.isNull(), asis)
+        for known, sign in reversed(ENTITIES):
+            out = out.when(head == known, F.concat(F.lit(sign), rest))
+        return out.when(head.startswith("#"), F.coalesce(F.concat(char, rest), asis)).otherwise(asis)
 
-    pieces = F.split(c, "&")
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), point)
-    return F.when(c.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(c)
+    def decoded(t: Column) -> Column:
+        pieces = F.transform(F.split(t, "&"), lambda p: F.struct(p.alias("piece"), name(p).alias("head")))
+        return F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x["piece"]).otherwise(point(x))), "")
+
+    return let(c, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def html_to_text(c: str | Column) -> Column:
@@ -162,8 +168,8 @@ def input_value(html: str | Column, field: str) -> Column:
     """Decoded value of the <input> with the given id, NULL if absent."""
     t = F.col(html) if isinstance(html, str) else html
     tag = F.regexp_extract(t, rf"""(?i)(<input\b[^>]*\bid\s*=\s*["']{field}["'][^>]*>)""", 1)
-    raw = F.regexp_extract(tag, r"""(?i)\bvalue\s*=\s*"([^"]*)\"""", 1)
-    return F.when(tag != "", decode_entities(raw))
+    raw = lambda x: F.regexp_extract(x, r"""(?i)\bvalue\s*=\s*"([^"]*)\"""", 1)
+    return let(tag, lambda x: F.when(x != "", decode_entities(raw(x))))
 
 
 def extract_embedded_json(df: DataFrame, col: str, field: str, schema: str, counters: Sequence[str] = ()) -> DataFrame:
