@@ -141,6 +141,15 @@ def test_ingest_rejects_other_tasks(spark):
         clean.ingest_versions(None, None, None, df, "t1")["change"].collect()
 
 
+def test_aliases_read_the_texts_once(spark):
+    rows = [(i, f"k{i}", "a", "n", "c", "t e x t" if i % 3 == 0 else f"own {i}") for i in range(30)] + [(30, "k30", "a", "n", "c", None), (31, "k31", "a", "n", "c", " ")]
+    df = spark.createDataFrame(rows, "seq long, job_id string, company_name string, job_name string, city string, job_description string")
+    kept, aliases = clean.identity_dedupe(df)
+    assert sorted((r["kept_key"], r["alias_key"]) for r in aliases.collect()) == sorted([("k0", f"k{i}") for i in range(3, 30, 3)] + [("k30", "k31")])
+    assert kept.count() == 22
+    assert "job_description" not in aliases._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_changed_sources(spark):
     listing = spark.createDataFrame([("a", "1:1"), ("b", "2:2")], "path string, signature string")
     seen = spark.createDataFrame([("a", "1:1"), ("b", "2:1")], "path string, signature string")
