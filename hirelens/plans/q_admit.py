@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hirelens.core import first_per_key, rnd
+from hirelens.core import first_per_key, rnd, shuffle_width
 from hirelens.functions import groups
 from hirelens.operators import admit, clean
 from hirelens.plans.q_functions import SAL, SECTIONED, WORDS, sectioned
@@ -133,7 +133,9 @@ SELECT doc_id AS "key", w AS name, 'E' || place AS evidence_id FROM f WHERE leng
 def d10(spark, sf):
     """Every word of a text is a tag with its first line as evidence; words of the first line have a misspelt double and one whose evidence does not exist."""
     lines = F.filter(F.split("text", r"[.\n]+"), lambda x: F.trim(F.lit(" \t\r"), x) != "")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.posexplode(lines).alias("place", "quote")).withColumn("evidence_id", F.concat(F.lit("E"), (F.col("place") + 1).cast("string")))
+    texts = table(spark, sf, "documents")
+    # Texts move, not their words.
+    d = texts.select("doc_id", "text").repartition(shuffle_width(texts), "doc_id").select(F.col("doc_id").alias("key"), F.posexplode(lines).alias("place", "quote")).withColumn("evidence_id", F.concat(F.lit("E"), (F.col("place") + 1).cast("string")))
     words = d.select("key", "place", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("quote"), F.lit("([a-z]+)"), 1))).alias("w")).groupBy("key", "w").agg(F.min("place").alias("place"))
     words = words.withColumn("evidence_id", F.concat(F.lit("E"), (F.col("place") + 1).cast("string")))
     mention = lambda name, proof: F.struct(F.lit("skills").alias("field"), name.alias("name"), proof.alias("evidence_id"))
