@@ -1,6 +1,26 @@
 """Long texts take time in proportion to their length, and words do not move where their texts can."""
 
-from hirelens.operators import admit
+import time
+
+from pyspark.sql import functions as F
+
+from hirelens.operators import admit, mining
+
+
+def seconds(df) -> tuple[float, list]:
+    t = time.time()
+    rows = df.collect()
+    return time.time() - t, rows
+
+
+def words(n: int) -> list[str]:
+    return ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(n)]
+
+
+def test_pmi_of_a_long_sentence(spark):
+    rows = [(i, " ".join(words(30_000)) if i == 0 else "aa bb cc dd") for i in range(6)]
+    took, out = seconds(mining.pmi_phrases(spark.createDataFrame(rows, "job_id long, t string"), F.col("t"), least=5))
+    assert {r["name"] for r in out} == {"aa bb cc", "bb cc dd"} and took < 60
 
 
 def test_tags_move_once_by_posting(spark):
