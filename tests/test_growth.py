@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from hirelens.functions.text import sections
 from hirelens.operators import admit, mining
 
 
@@ -17,6 +18,12 @@ def words(n: int) -> list[str]:
     return ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(n)]
 
 
+def test_sections_of_a_long_text(spark):
+    body = "岗位职责" + "\n".join(f"line {i}" for i in range(60_000))
+    took, rows = seconds(spark.createDataFrame([(body,)], "t string").select(sections("t").alias("s")).select(F.size("s"), F.col("s")[59_999]["location"]))
+    assert rows[0][0] == 60_000 and rows[0][1] == "duties" and took < 30
+
+
 def test_pmi_of_a_long_sentence(spark):
     rows = [(i, " ".join(words(30_000)) if i == 0 else "aa bb cc dd") for i in range(6)]
     took, out = seconds(mining.pmi_phrases(spark.createDataFrame(rows, "job_id long, t string"), F.col("t"), least=5))
