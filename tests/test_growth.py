@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import sections
+from hirelens.functions.text import phrases, sections, tokens
 from hirelens.operators import admit, mining
 
 
@@ -24,6 +24,20 @@ def test_sections_of_a_long_text(spark):
     assert rows[0][0] == 60_000 and rows[0][1] == "duties" and took < 30
 
 
+def test_phrases_of_a_long_text(spark):
+    text = " ".join(words(60_000)) + ", xx"
+    df = spark.createDataFrame([(text,), ("ab, cd ef",), (None,)], "t string").withColumn("w", tokens("t", "words"))
+    took, rows = seconds(df.select(phrases("w", F.regexp_replace("t", " ", "")).alias("p")))
+    # Three words of four letters have twelve; across the comma nothing stands in the text.
+    assert [len(r["p"]) for r in rows] == [59_999 + 59_998, 1, 0] and rows[1]["p"] == ["cdef"] and took < 30
+
+
+def test_phrases_across_marks_that_stand_elsewhere(spark):
+    df = spark.createDataFrame([("ab, cd abcd 大数据",)], "t string").withColumn("w", tokens("t", "words"))
+    few, many = (df.select(phrases("w", F.regexp_replace("t", " ", ""), few=n).alias("p")).first()["p"] for n in (200, 0))
+    assert few == many and few == ["abcd", "cdabcd", "abcd大数", "大数据", "cdabcd大数", "abcd大数据"]
+
+
 def test_pmi_of_a_long_sentence(spark):
     rows = [(i, " ".join(words(30_000)) if i == 0 else "aa bb cc dd") for i in range(6)]
     took, out = seconds(mining.pmi_phrases(spark.createDataFrame(rows, "job_id long, t string"), F.col("t"), least=5))
