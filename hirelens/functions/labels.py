@@ -19,6 +19,11 @@ def hits(source: Column, rules: Rules) -> Column:
     return F.array_compact(F.array(*[F.when(source.rlike(p), F.lit(name)) for name, p in rules]))
 
 
+def named(source: Column, lowered: Column, names: Sequence[str]) -> Column:
+    """Names standing in the text. Only texts that hold the letters of a name are searched by its pattern."""
+    return F.array_compact(F.array(*[F.when(lowered.contains(n.lower()) & source.rlike(_skill_pattern(n)), F.lit(n)) for n in names]))
+
+
 def tag_skills(df: DataFrame, rules: Rules | None = None, columns: Sequence[str] = ("job_name", "skills", "job_description"),
                out: str = "skill_tags") -> DataFrame:
     """C14: distinct skill names found in title, skills and body."""
@@ -122,9 +127,10 @@ def rule_label(df: DataFrame, skills: Sequence[str] = tuple(LABEL_SKILLS), tasks
     title, body, skill_text, tags = text("job_name"), text("job_description"), text("skills"), text("tags")
     df = df.withColumn("_full", F.concat_ws("\n", title, tags, skill_text, body))
     full = F.col("_full")
+    df = df.withColumn("_lower", F.lower(full))
     df = df.withColumns({
         "_title": ~title.rlike(OTHER_COLLECTION) & title.rlike(TITLE_CUE), "_web": F.concat_ws("\n", skill_text, body).rlike(WEB_CUE),
-        "_coll": full.rlike(COLLECTION_CUE), "label_skills": hits(full, [(s, _skill_pattern(s)) for s in skills])})
+        "_coll": full.rlike(COLLECTION_CUE), "label_skills": named(full, F.col("_lower"), skills)})
     no_cue = ~F.col("_title") & ~F.col("_web") & ~F.col("_coll")
     df = df.withColumn("relevance_grade", F.when((F.col("relevance_level") == "平台关键词匹配") & no_cue, OFF_TARGET)
                        .when(F.col("_title") | F.col("_web") | (F.col("relevance_level") == "职责直接匹配"), "高")
@@ -179,7 +185,7 @@ def rule_label(df: DataFrame, skills: Sequence[str] = tuple(LABEL_SKILLS), tasks
              .when(F.col("label_status") == "待AI复核", F.least(score, F.lit(0.74))).otherwise(score))
     score = F.when(F.size("evidence") == 0, F.least(score, F.lit(0.5))).otherwise(score)
     return df.withColumns({"evidence_coverage": rnd("_cov", 3), "confidence": rnd(F.greatest(F.lit(0.0), F.least(F.lit(0.95), score)), 3)}
-                          ).drop("_full", "_title", "_web", "_coll", "_cov")
+                          ).drop("_full", "_lower", "_title", "_web", "_coll", "_cov")
 
 
 def minimum_degree(body: str | Column = "job_description", education: str | Column = "education") -> Column:
