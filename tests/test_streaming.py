@@ -83,3 +83,18 @@ def test_low_yield_stream_equals_the_batch_under_restart(spark, tmp_path):
         assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_ingest_query_writes_and_reads_with_many_tasks(spark, tmp_path, monkeypatch):
+    from hirelens.plans import q_streaming
+    from tests.oracle import compare, connect
+    sf, made, whole = "/root/testdata/sf0.001", [], q_streaming.postings
+
+    def scratch(_):
+        made.append(tmp_path / f"s{len(made)}")
+        return str(made[-1])
+    monkeypatch.setattr(q_streaming, "scratch", scratch)
+    monkeypatch.setattr(q_streaming, "postings", lambda *a: whole(*a).repartition(4))
+    assert compare(spark, connect(sf), q_streaming.k4, q_streaming.query.__globals__["SQL"]["K4_stream_ingest"], sf) is None
+    # Three lots of four files each, taken as three batches.
+    assert len(list(made[1].glob("*.parquet"))) == 12 and len(list(made[0].glob("stream=*/batch=*"))) == 3
