@@ -49,3 +49,26 @@ def test_tags_move_once_by_posting(spark):
     kept = admit.validate_tags(tags, spark.createDataFrame([(1, "E1", "k8s and c++")], "key long, evidence_id string, quote string"))[0]
     assert kept.count() == 1
     assert kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
+
+
+def test_strata_of_a_text_with_a_long_blank(spark):
+    from hirelens.operators import sample
+    terms = {"title": ["Ring"], "duty": ["bolt", "c++"], "adjacent": ["rod", "热轧"], "skill": ["blue"], "business": ["old"]}
+    rows = [("a ring", "bolt" + " " * 300_000 + "x BLUE"), ("rings", "told ｏｌｄ c++"), ("rod", "rod_热轧x"), (None, None)]
+    df = spark.createDataFrame(rows, "job_name string, job_description string")
+    names = ["hit_title", "hit_duty", "adjacent_title", "adjacent", "hit_skill", "hit_business"]
+    took, out = seconds(sample.retrieval_strata(df, terms).select(*names))
+    assert [tuple(r) for r in out] == [(["Ring"], ["bolt"], [], [], ["blue"], []), ([], ["c++"], [], [], [], ["old"]), ([], [], ["rod"], ["rod", "热轧"], [], []), ([], [], [], [], [], [])]
+    assert took < 30
+    across = sample.retrieval_strata(spark.createDataFrame([("deep ", "\tlearning"), ("deep", "x learning")], "job_name string, job_description string"), {"adjacent": ["deep learning"]})
+    assert [r["adjacent"] for r in across.collect()] == [["deep learning"], []]
+
+
+def test_sample_keeps_texts_out_of_the_choice(spark):
+    from hirelens.operators import sample
+    df = spark.range(400).select("id", F.concat(F.lit("c"), (F.col("id") % 9).cast("string")).alias("company"), (F.col("id") % 4 == 0).alias("target"), (F.col("id") % 4 == 1).alias("related"), (F.col("id") % 5).cast("int").alias("score"),
+                                F.array().cast("array<string>").alias("adjacent_title"), F.array(F.lit("r")).alias("adjacent"), F.repeat(F.lit("long text "), 9).alias("body"))
+    out = sample.stratified_sample(df, 100)
+    assert out.columns == [*df.columns, "stratum"] and out.count() == 100 and out.filter("body is null").count() == 0
+    plan = out.select("id", "stratum")._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan and "repeat" not in plan
