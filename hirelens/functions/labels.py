@@ -2,21 +2,65 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.core import SPACE, UNKNOWN, col, filled, rnd, text, value, word
+from hirelens.core import SPACE, UNKNOWN, col, filled, let, rnd, text, value, word
 from hirelens.functions.groups import employment_type_in_context
 from hirelens.rules import tables
 
 Rules = Sequence[tuple[str, str]]
 
 
-def hits(source: Column, rules: Rules) -> Column:
-    """Names of the rules whose pattern occurs in the text, in rule order."""
-    return F.array_compact(F.array(*[F.when(source.rlike(p), F.lit(name)) for name, p in rules]))
+def hits(source: Column, rules: Rules, lowered: Column | None = None) -> Column:
+    """Names of the rules whose pattern occurs in the text, in rule order.
+
+    With the text in lower case too, a pattern runs only on texts that hold letters which each of its matches has.
+    """
+    def found(p: str) -> Column:
+        cues = letters_of(p) if lowered is not None else []
+        return reduce(or_, [lowered.contains(c) for c in cues]) & source.rlike(p) if cues else source.rlike(p)
+    return F.array_compact(F.array(*[F.when(found(p), F.lit(name)) for name, p in rules]))
+
+
+def letters_of(pattern: str) -> list[str]:
+    """Lower-case letters of which every match of the pattern holds some; none if that can't be told.
+
+    Only forms that Java and Python read alike are looked into: top-level alternatives, each
+    one run of plain characters between boundaries, as `word` makes it, or beside other parts.
+    """
+    out = []
+    for part in _alternatives(re.sub(r"^\(\?i\)", "", pattern)):
+        part = re.sub(r"\(\?<?[!=](?:\[[^\]\\]*\]|[^()\[\]\\])*\)", "\0", part)
+        while re.fullmatch(r"\0?\(\?:[^()]*\)\0?", part):
+            inner = part.strip("\0")[3:-1]
+            if "|" in inner:
+                return []
+            part = inner
+        if re.search(r"[(){}|]|\[|\\[^.+]", part.replace("\\s*", "")):
+            return []
+        # A character before ? or * may be absent; it, escapes of classes and lone dots end a run.
+        runs = re.split(r"\\s\*|(?:\\.|[^\\])[?*]|(?<!\\)[.+^$]|\0", part)
+        best = max((r.replace("\\", "") for r in runs), key=len)
+        if len(best) < 2 or any(c.lower() != c.upper() and not c.isascii() for c in best):
+            return []
+        out.append(best.lower())
+    return out
+
+
+def _alternatives(pattern: str) -> list[str]:
+    parts, depth, at = [], 0, 0
+    for m in re.finditer(r"\\.|\[[^\]]*\]|[()|]", pattern):
+        depth += {"(": 1, ")": -1}.get(m.group(), 0)
+        if m.group() == "|" and depth == 0:
+            parts.append(pattern[at:m.start()])
+            at = m.end()
+    return [*parts, pattern[at:]]
 
 
 def named(source: Column, lowered: Column, names: Sequence[str]) -> Column:
@@ -27,8 +71,10 @@ def named(source: Column, lowered: Column, names: Sequence[str]) -> Column:
 def tag_skills(df: DataFrame, rules: Rules | None = None, columns: Sequence[str] = ("job_name", "skills", "job_description"),
                out: str = "skill_tags") -> DataFrame:
     """C14: distinct skill names found in title, skills and body."""
-    df = df.withColumn("_all", F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    return df.withColumn(out, hits(F.col("_all"), rules if rules is not None else tables.SKILLS)).drop("_all")
+    rules = rules if rules is not None else tables.SKILLS
+    every = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
+    # Bound, so that a filter pushed down does not put text and lower case into every rule.
+    return df.withColumn(out, let(every, lambda t: let(F.lower(t), lambda low: hits(t, rules, low))))
 
 
 def tag_tasks(df: DataFrame, family: str = "", rules: dict[str, Rules] | None = None, body: str = "job_description",
@@ -96,7 +142,6 @@ OFF_TARGET = "非目标"
 
 
 def _skill_pattern(name: str) -> str:
-    import re
     if re.fullmatch(r"[A-Za-z0-9+#/.]+", name):
         return rf"(?i)(?<![A-Za-z0-9+#]){re.escape(name)}(?![A-Za-z0-9+#])"
     return "(?i)" + re.escape(name)
