@@ -72,3 +72,12 @@ def test_sample_keeps_texts_out_of_the_choice(spark):
     assert out.columns == [*df.columns, "stratum"] and out.count() == 100 and out.filter("body is null").count() == 0
     plan = out.select("id", "stratum")._jdf.queryExecution().optimizedPlan().toString()
     assert "body" not in plan and "repeat" not in plan
+
+
+def test_group_stats_read_their_source_once(spark):
+    from hirelens.functions.salary import with_salary
+    from hirelens.operators import stats
+    df = with_salary(spark.range(12).select((F.col("id") % 7).alias("g"), F.concat(F.col("id") + 3, F.lit("-"), F.col("id") + 5, F.lit("K")).alias("salary")))
+    out = stats.salary_group_stats(df, ["g"], 2)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["g"]: (r["n"], r["median"], r["raw_quotes"]) for r in out.collect()} == {g: (2, 7500.0 + 1000 * g, None) if g < 5 else (1, 4000.0 + 1000 * g, f"{g + 3}-{g + 5}K") for g in range(7)}
