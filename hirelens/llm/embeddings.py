@@ -1,18 +1,17 @@
-"""Embedding near-duplicates: a forest of random splits with spill, exact comparison within leaves, union of the links."""
+"""Embedding near-duplicates: all pairs of a label in blocks of matrix products, union of the links."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelens.core import shuffle_width
 from hirelens.llm.common import components, local_components, stored
 
-#: A tree is ("leaf", number) or (direction, threshold, left, right).
-Tree = tuple
+#: Numbers of the vectors on one side of a block; a block is at most two sides.
+SIDE = 1 << 21
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -22,139 +21,96 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def grow_tree(x: np.ndarray, draw: np.random.Generator, leaf: float, margin: float, next_leaf, depth: int = 0) -> Tree:
-    """Split at random, recursively, until `leaf` rows are left or a split would put most rows on both sides.
+def _linked(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosines of the rows a of x and b of y reach the threshold, a bounded number at a time."""
+    step = max(1, SIDE // x.shape[1])
+    parts = [np.einsum("ij,ij->i", x[a[lo:lo + step]], y[b[lo:lo + step]]) >= threshold for lo in range(0, len(a), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, rows: int, same: bool):
+    """(a, b) of rows of x and y with a cosine of `threshold` or more, `rows` rows of x at a time; of one block with itself each pair once.
 
-    Of several random directions and quantiles the one with the fewest rows within the
-    margin is taken, so a dense group goes to one side as a whole.
+    Products are taken in single precision; those that its error could turn are taken again in double precision.
     """
-    if len(x) > leaf and depth < 40:
-        directions = draw.standard_normal((12, x.shape[1]))
-        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-        best = None
-        for direction, at in zip(directions, x @ directions.T if len(x) < 2 else (x @ directions.T).T):
-            for cut in np.quantile(at, (0.3, 0.5, 0.7)):
-                left, right = at <= cut + margin, at >= cut - margin
-                cost = (left.sum() + right.sum()) / len(x) + 0.3 * abs(left.sum() - right.sum()) / len(x)
-                if best is None or cost < best[0]:
-                    best = (cost, direction, cut, left, right)
-        _, direction, cut, left, right = best
-        if max(left.sum(), right.sum()) < 0.95 * len(x) and left.sum() + right.sum() < 1.6 * len(x):
-            return (direction, cut, grow_tree(x[left], draw, leaf, margin, next_leaf, depth + 1), grow_tree(x[right], draw, leaf, margin, next_leaf, depth + 1))
-    return ("leaf", next_leaf())
-
-
-def route(tree: Tree, x: np.ndarray, rows: np.ndarray, margin: float, out: list) -> None:
-    """Append (rows, leaf) for every leaf; rows within the margin of a split go both ways."""
-    if not len(rows):
-        return
-    if isinstance(tree[0], str):
-        out.append((rows, tree[1]))
-        return
-    at = x[rows] @ tree[0]
-    route(tree[2], x, rows[at <= tree[1] + margin], margin, out)
-    route(tree[3], x, rows[at >= tree[1] - margin], margin, out)
+    small, other = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+    error = (x.shape[1] + 8) * 2.0 ** -23
+    for lo in range(0, len(x), rows):
+        first = lo + 1 if same else 0
+        if first >= len(y):
+            return
+        cosine = small[lo:lo + rows] @ other[:, first:]
+        at = np.flatnonzero(cosine >= np.float32(threshold - 2 * error))
+        if not len(at):
+            continue
+        a, b = np.divmod(at, cosine.shape[1])
+        unsure = np.flatnonzero(cosine.ravel()[at] < np.float32(threshold + 2 * error))
+        a, b = a + lo, b + first
+        keep = b > a if same else np.ones(len(a), bool)
+        keep[unsure] &= _linked(x, y, a[unsure], b[unsure], threshold)
+        if keep.any():
+            yield a[keep], b[keep]
 
 
 def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93,
-                    trees: int = 4, leaf_rows: int = 256, sample_values: int = 1 << 22, block: int = 2048) -> DataFrame:
+                    leaf_rows: int = 256, block: int | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are cosines of `threshold` or more within a label.
 
-    Equal vectors of a label become one with a weight. The trees are fitted on the vectors
-    with the smallest hash, `sample_values` numbers in all at most; every vector is then sent
-    down all trees of its label. Vectors of a leaf are compared with each other, a leaf of
-    over `block` rows in blocks that are tasks of their own. A pair counts in the first leaf
-    that both share, so no pair leaves a task: what leaves is a sum and the smallest id a
-    vector is tied to. Splits that lose a pair in one tree are made good by the others.
+    Equal vectors of a label become one with a weight. The vectors of a label are dealt into
+    parts of about `block` (as many as `SIDE` numbers hold, if not given); every two parts
+    meet in a task of their own, `leaf_rows` rows in one product, so every pair is compared
+    once, in one task. What leaves a task is a sum and the smallest id a vector is tied to;
+    nothing of the vectors reaches the driver. Comparisons grow with the square of a label.
 
     Null label, null or empty vector, null or non-finite component, zero vector: 0 links,
     stands alone. Vectors of different length are never linked. A row without an id stands
     alone (component null, kept). Rows of one id and vector count as two vectors. Other
     columns are left out. An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    src = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single precision stays as it is: half the bytes wherever vectors move.
+    number = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    src = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(number).alias("v"))
     # Double.MaxValue and below only: NaN sorts above all numbers.
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & (F.abs(x) <= 1.7976931348623157e308)) & F.exists("v", lambda x: x != 0), F.lit(False))
     src = src.withColumn("ok", F.col("id").isNotNull() & F.col("label").isNotNull() & good)
     usable = src.filter("ok").select("id", "label", "v")
     kind = src.schema["id"].dataType.simpleString()
     reps = stored(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("v")))
-    about = reps.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
-    n, dim = about["n"], about["dim"] or 1
-    most = max(1, sample_values // dim)
-    share = min(1.0, 1.25 * most / max(1, n))
-    picked = reps.withColumn("h", F.xxhash64("rep", F.lit(3))).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("h").limit(most).select("label", "dim", "v").toArrow().combine_chunks()
-    forest = _forest(picked, trees, max(8.0, leaf_rows * picked.num_rows / max(1, n)), threshold)
-    spread = spark.sparkContext.broadcast(forest)
-
-    def leaves(batches):
-        forest = spread.value
-        for batch in batches:
-            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()))
-            for key in sorted(set(keys)):
-                rows = np.array([i for i, k in enumerate(keys) if k == key])
-                if key not in forest:
-                    for i in rows:
-                        found[i].append(-1)
-                    continue
-                x = _matrix(batch.column(1).take(pa.array(rows)), key[1])
-                for tree in forest[key]:
-                    out: list = []
-                    route(tree, x, np.arange(len(rows)), _margin(threshold, key[1]), out)
-                    for at, leaf in out:
-                        for i in rows[at]:
-                            found[i].append(leaf)
-            yield batch.append_column("leaves", pa.array(found, pa.list_(pa.int32())))
-
-    routed = stored(reps.select("label", "v", "rep", "m", "dim").mapInArrow(leaves, f"label string, v array<double>, rep {kind}, m long, dim int, leaves array<int>"))
-    placed = routed.withColumn("leaf", F.explode("leaves"))
-    at = ["label", "dim", "leaf"]
-    parts = placed.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).filter("parts > 1")
-    blocks = placed.join(parts, at, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    at = ["label", "dim"]
+    side = F.lit(block) if block else F.greatest(F.lit(leaf_rows), F.floor(F.lit(SIDE) / F.col("dim")))
+    sizes = reps.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / side).cast("int"))
+    tasks = sizes.agg(F.sum(F.when(F.col("parts") > 1, F.col("parts") * (F.col("parts") + 1) / 2))).first()[0] or 0
+    blocks = reps.join(sizes.select(*at, "parts"), at).withColumn("own", F.pmod(F.xxhash64("rep", "v"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    blocks = blocks.withColumn("own", own).withColumn("pair", F.explode(pairs)).select(*at, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "rep", "m", "v", "leaves")
+    blocks = blocks.withColumn("pair", F.explode(pairs)).select(*at, F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "own", "rep", "m", "v")
+
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        dim, leaf, i, j = (group.column(c)[0].as_py() for c in ("dim", "leaf", "i", "j"))
+        dim, i, j = (group.column(c)[0].as_py() for c in ("dim", "i", "j"))
         names_of = group.column("rep").chunk(0)
         rep, own, m = (group.column(c).chunk(0).to_numpy(zero_copy_only=False) for c in ("rep", "own", "m"))
         x = _matrix(group.column("v").chunk(0), dim)
-        # Which earlier leaves hold a vector: pairs that share one were counted there.
-        lists = group.column("leaves").chunk(0)
-        of, flat = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-        of, flat = of[flat < leaf], flat[flat < leaf]
-        names, flat = np.unique(flat, return_inverse=True)
-        earlier = np.zeros((len(rep), len(names)), np.float32)
-        earlier[of, flat] = 1
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         order = np.argsort(rep, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        a_all, b_all = [], []
-        for lo in range(0, len(left), 256):
-            rows = left[lo:lo + 256]
-            hit = x[rows] @ x[right].T >= threshold
-            if i == j:
-                hit &= rank[rows][:, None] < rank[right][None, :]
-            a, b = np.nonzero(hit)
-            if len(a):
-                new = (earlier[rows] @ earlier[right].T)[a, b] == 0
-                a, b = rows[a], right[b]
-                np.add.at(links, a[new], m[b[new]])
-                np.add.at(links, b[new], m[a[new]])
-                a_all.append(a)
-                b_all.append(b)
-        if a_all:
-            label = local_components(rank, np.concatenate(a_all), np.concatenate(b_all))
-            root = order[label]
+        links, label = np.zeros(len(rep), np.int64), rank
+        for a, b in close_pairs(x[left], x[right], threshold, leaf_rows, i == j):
+            a, b = left[a], right[b]
+            np.add.at(links, a, m[b])
+            np.add.at(links, b, m[a])
+            # Sets found so far are joined by their smallest ranks, so pairs need not be held.
+            p, q = label[a], label[b]
+            apart = p != q
+            if apart.any():
+                label = local_components(np.arange(len(rep)), p[apart], q[apart])[label]
+        root = order[label]
         tied = np.flatnonzero((links > 0) | (root != np.arange(len(rep))))
         return pa.Table.from_arrays([names_of.take(pa.array(tied)), pa.array(links[tied]), names_of.take(pa.array(root[tied]))], ["rep", "links", "root"])
 
-    tied = stored(blocks.groupBy(*at, "i", "j").applyInArrow(compare, f"rep {kind}, links long, root {kind}"))
+    # A number of partitions of its own: adaptive execution would put blocks that are small but dear into one task.
+    dealt = blocks.repartition(min(20_000, shuffle_width(vectors) + 2 * int(tasks)), *at, "i", "j")
+    tied = stored(dealt.groupBy(*at, "i", "j").applyInArrow(compare, f"rep {kind}, links long, root {kind}"))
     sums = tied.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(tied.filter("rep <> root").select(F.col("root").alias("a"), F.col("rep").alias("b")))
     known = reps.join(sums, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -162,23 +118,3 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = src.join(known.withColumn("ok", F.lit(True)), ["label", "v", "ok"], "left")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _margin(threshold: float, dim: int) -> float:
-    """How far a linked pair lies apart in a random direction: the spread of its projection at the threshold."""
-    return math.sqrt(max(0.0, 2 - 2 * threshold)) / math.sqrt(dim)
-
-
-def _forest(sample: pa.Table, trees: int, leaf: float, threshold: float) -> dict[tuple[str, int], list[Tree]]:
-    keys = list(zip(sample.column("label").to_pylist(), sample.column("dim").to_pylist())) if sample.num_rows else []
-    forest, number = {}, iter(range(1 << 31))
-    for key in sorted(set(keys)):
-        rows = [i for i, k in enumerate(keys) if k == key]
-        x = _matrix(sample.column("v").take(pa.array(rows)).combine_chunks(), key[1])
-        draw = np.random.default_rng([17, key[1], len(rows)])
-        grow = lambda: grow_tree(x, draw, leaf, _margin(threshold, key[1]), lambda: next(number))  # noqa: B023,E731
-        first = grow()
-        # A label that is one leaf needs no second tree.
-        forest[key] = [first] if isinstance(first[0], str) else [first, *(grow() for _ in range(trees - 1))]
-    return forest
-

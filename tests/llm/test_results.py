@@ -278,6 +278,22 @@ def test_embeddings_against_brute_force(spark):
         assert sum(r["component_id"] == root[r["vec_id"]] for r in out) >= 0.999 * len(x)
 
 
+def test_embeddings_stay_off_the_driver_and_lose_no_pair(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((700, 12))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    close = (u @ u.T >= 0.8) & ~np.eye(len(x), dtype=bool)
+
+    def refused(*_):
+        raise AssertionError("vectors on the driver")
+
+    monkeypatch.setattr(type(df), "toArrow", refused)
+    for options in ({}, {"leaf_rows": 7, "block": 100}):
+        out = {r["vec_id"]: r["n_links"] for r in embeddings.near_embeddings(df, threshold=0.8, **options).collect()}
+        assert [out[i] for i in range(len(x))] == close.sum(axis=1).tolist() and close.any()
+
+
 def test_pages_of_the_table(spark):
     import html
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
