@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from hirelens.core import first_per_key, rnd, shuffle_width
 from hirelens.functions import groups
@@ -153,16 +157,25 @@ def d11(spark, sf):
     return admit.validate_review_labels(labels, p.filter("province <> 'ASIA'"), ["r"])[1]
 
 
-@query("D12_validate_terms", r"""WITH d AS (SELECT doc_id, text, instr(text, regexp_extract(text, '[A-Za-z]{5,}', 0)) AS p, regexp_extract(text, '[A-Za-z]{5,}', 0) AS w FROM documents WHERE regexp_matches(text, '[A-Za-z]{5,}'))
-SELECT doc_id AS job_key, w AS term FROM d WHERE length(w) <= 48 AND NOT regexp_matches(substr(text, p + length(w), 1), '[A-Za-z0-9_]') AND (p = 1 OR NOT regexp_matches(substr(text, p - 1, 1), '[A-Za-z0-9_]'))""")
+# Every word of every text; a word is told by the marks before and after it, and a term counts once, as it is first written.
+@query("D12_validate_terms", r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{5,}') AS ws, regexp_split_to_array(text, '[A-Za-z]{5,}') AS gaps FROM documents WHERE regexp_matches(text, '[A-Za-z]{5,}')),
+ h AS (SELECT doc_id, unnest(ws) AS w, unnest(gaps[1:len(ws)]) AS ahead, unnest(gaps[2:len(ws) + 1]) AS behind, generate_subscripts(ws, 1) AS i FROM d)
+SELECT doc_id AS job_key, w AS term FROM h WHERE length(w) <= 48 AND NOT regexp_matches(ahead, '[A-Za-z0-9_]$') AND NOT regexp_matches(behind, '^[A-Za-z0-9_]') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) = 1""")
 def d12(spark, sf):
-    d = table(spark, sf, "documents").filter(F.col("text").rlike("[A-Za-z]{5,}"))
+    d = table(spark, sf, "documents").filter(F.col("text").rlike("[A-Za-z]{5,}")).select(F.col("doc_id").alias("job_key"), F.xxhash64("text").cast("string").alias("content_hash"), "text")
+    # Texts move, not their words.
+    d = d.repartition(shuffle_width(d), "job_key", "content_hash")
     # One sentence per word, so that every span lies inside a short evidence sentence.
     body = F.concat(F.lit("岗位职责"), F.regexp_replace("text", "[ 。；;\n]", "\n"))
-    p = d.select(F.col("doc_id").alias("job_key"), F.lit("h").alias("content_hash"), body.alias("job_description"), F.regexp_extract("text", "[A-Za-z]{5,}", 0).alias("w"), "text")
-    at = F.instr(F.col("text"), F.col("w")) + 3
-    hits = p.select("job_key", "content_hash", at.alias("start"), (at + F.length("w")).alias("end"), F.col("w").alias("text"), F.lit(0.9).alias("score"))
-    return admit.validate_term_candidates(hits, p).select("job_key", "term")
+    words = F.arrays_zip(_word_starts("text").alias("at"), F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), 1).alias("w"))
+    start = F.col("x.at") + 4
+    hits = d.select("job_key", "content_hash", F.explode(words).alias("x")).select("job_key", "content_hash", start.alias("start"), (start + F.length("x.w")).alias("end"), F.col("x.w").alias("text"), F.lit(0.9).alias("score"))
+    return admit.validate_term_candidates(hits, d.select("job_key", "content_hash", body.alias("job_description"))).select("job_key", "term")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _word_starts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [m.start() for m in re.finditer("[A-Za-z]{5,}", t)])
 
 
 @query("D12_unscanned", with_(DOCP) + "SELECT job_id AS job_key FROM docp WHERE length(job_description) BETWEEN 16 AND 12000 AND city<>'city1' ORDER BY job_id LIMIT 50")

@@ -81,3 +81,22 @@ def test_group_stats_read_their_source_once(spark):
     out = stats.salary_group_stats(df, ["g"], 2)
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["g"]: (r["n"], r["median"], r["raw_quotes"]) for r in out.collect()} == {g: (2, 7500.0 + 1000 * g, None) if g < 5 else (1, 4000.0 + 1000 * g, f"{g + 3}-{g + 5}K") for g in range(7)}
+
+
+def test_terms_of_a_long_text_with_every_word(spark):
+    many = words(6000)
+    body = "岗位职责" + "\n".join(f"{w} {w.upper()} 0{w}" for w in many)
+    spans, at = [], 4
+    for w in many:
+        spans += [(1, "h", at, at + 4, w, 0.9), (1, "h", at + 5, at + 9, w.upper(), 0.9), (1, "h", at + 11, at + 15, w, 0.9)]
+        at += 16
+    hits = spark.createDataFrame(spans + [(1, "h", 0, 4, "aaaa", 0.9), (2, "h", 4, 8, "aaaa", 0.9)], "job_key long, content_hash string, start int, end int, text string, score double")
+    took, rows = seconds(admit.validate_term_candidates(hits, spark.createDataFrame([(1, "h", body), (1, "old", "x"), (3, "h", None)], "job_key long, content_hash string, job_description string")))
+    assert {(r["term"], r["start"], r["quote"]) for r in rows} == {(w, 4 + 16 * i, f"{w} {w.upper()} 0{w}") for i, w in enumerate(many)} and len(rows) == 6000
+    assert {r["location"] for r in rows} == {"duties"} and took < 30
+
+
+def test_query_of_terms_reads_whole_texts(spark, tmp_path):
+    from hirelens.plans.q_admit import d12
+    spark.createDataFrame([(1, "first WORDS, then 7later xlater_ words of later"), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["term"] for r in d12(spark, str(tmp_path)).collect()) == ["WORDS", "first", "later"]
