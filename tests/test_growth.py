@@ -100,3 +100,17 @@ def test_query_of_terms_reads_whole_texts(spark, tmp_path):
     from hirelens.plans.q_admit import d12
     spark.createDataFrame([(1, "first WORDS, then 7later xlater_ words of later"), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["term"] for r in d12(spark, str(tmp_path)).collect()) == ["WORDS", "first", "later"]
+
+
+def test_phrases_at_their_own_place_are_not_looked_for(spark):
+    # As put together from the words, and as found anywhere in the text: words may be missing, or stand inside others before their own place.
+    texts = ["ab, cd ef ab cd", "xab ab cd xabc d", "aa b aab aa", "ab", "", "é ab cd é, abé cd", "no marks here. at all no marks", "ab cd 大数 ab"]
+    rows = [(t, [w for w in t.replace(",", " ").replace(".", " ").split() if len(w) > 1 and w != "ef"]) for t in texts] + [("ab cd", ["zz", "ab", "cd", "zz"]), (None, ["ab"]), ("ab", None)]
+    got = spark.createDataFrame(rows, "t string, w array<string>").select("t", "w", phrases("w", F.regexp_replace("t", " ", "")).alias("p")).collect()
+    for r in got:
+        made = [p for n in (2, 3) for p in map("".join, zip(*[(r["w"] or [])[i:] for i in range(n)])) if len(p) <= 12]
+        assert r["p"] == [p for p in made if p in (r["t"] or "").replace(" ", "")]
+    many = [(" ".join(w + str(i % 7) for w in words(2000)), i) for i in range(60)]
+    df = spark.createDataFrame(many, "t string, i int").withColumn("w", tokens("t", "words")).localCheckpoint()
+    took, out = seconds(df.select(F.size(phrases("w", F.regexp_replace("t", " ", "")))))
+    assert [r[0] for r in out] == [1999] * 60 and took < 30
