@@ -66,3 +66,27 @@ def test_distances_are_those_to_the_centres(spark):
     out = models.discover_clusters(df, k=2)[0].collect()
     # Two kinds of texts, two clusters: every text is its own centre.
     assert len({r["cluster"] for r in out}) == 2 and all(r["distance"] < 1e-6 for r in out)
+
+
+def test_latin_names_as_patterns_find_them(spark):
+    from hirelens.operators import mining
+    word = "[A-Za-z][A-Za-z0-9]*(?:[.+#/-][A-Za-z0-9]*)*"
+    latin = lambda words: "|".join(w for w in words.split("|") if w.isascii())
+    unfit = rf"(?i)(?<!\S)\S(?!\S)|{latin(mining.CLOUD_NOISE)}|(?<!\S)(?:{latin(mining.CLOUD_GENERIC)}|{latin(mining.CLOUD_FRAGMENT)})(?!\S)"
+    names = F.concat(*[F.regexp_extract_all("t", F.lit(rf"(?<![A-Za-z0-9.+#/-])(?=({word}(?:\s+{word}){{{n}}})(?![A-Za-z0-9.+#/-]))"), 1) for n in range(3)])
+    want = F.filter(F.array_distinct(names), lambda x: (F.length(x) <= 32) & ~x.rlike(unfit))
+    texts = ["Spark SQL  on Kubernetes, c++ C# node.js a b 3d -x x- data Data team AI", "大数据Hive表 and\tFlink\nCDC　wide space", "9to5 to-9 e.g. strongly Experienced skill", "", None, "one two three, four averyveryverylongwordthatisover32characters x",
+             "Ünï cödé naïve ſkill Kelvin", "x/y/z + - . p.q"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", F.coalesce(want, F.array().cast("array<string>")).alias("want"), mining.latin_names(F.col("t")).alias("got")).collect():
+        assert r["got"] == r["want"], r["t"]
+
+
+def test_phrase_cloud_counts_terms_once(spark, monkeypatch):
+    from hirelens.operators import mining
+    calls, real = [], mining.tfidf_keywords
+    monkeypatch.setattr(mining, "tfidf_keywords", lambda *a, **k: calls.append(1) or real(*a, **k))
+    rows = [(i, f"岗位职责：alpha beta gamma{i} 大数据", "s") for i in range(6)] + [(9, "岗位职责：delta", "o")]
+    df = spark.createDataFrame(rows, "seq long, job_description string, kind string")
+    out = mining.phrase_cloud(df, F.col("kind") == "s", rounds=2).collect()
+    assert len(calls) == 1 and "alphabeta" in {r["term"] for r in out}
