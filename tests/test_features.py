@@ -90,3 +90,12 @@ def test_phrase_cloud_counts_terms_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "seq long, job_description string, kind string")
     out = mining.phrase_cloud(df, F.col("kind") == "s", rounds=2).collect()
     assert len(calls) == 1 and "alphabeta" in {r["term"] for r in out}
+
+
+def test_category_cloud_cuts_sections_once(spark):
+    from hirelens.operators import mining
+    rows = [(i, f"岗位职责：alphabet the gamma{i}", "s") for i in range(6)] + [(9, "岗位职责：the alphabet", "o")]
+    df = spark.createDataFrame(rows, "seq long, job_description string, kind string")
+    out = mining.category_cloud(df, F.col("kind") == "s", {"a": ["the"]}, tail=("b", "^[a-z]{7,}$"))
+    assert "job_description" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["category"], r["term"], r["seed_df"], r["background_df"]) for r in out.collect()} == {("b", "alphabet", 6, 7), ("b", "alphabetthe", 6, 6)}
